@@ -124,3 +124,26 @@ def batches(column: pa.Array, translation: bytes, limit: int = CHUNK):
 
 def encoded(texts: list[str | None]) -> pa.Array:
     return pa.array([x or "" for x in texts], pa.large_string())
+
+
+def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, index of the text) of every run of k words; a text of fewer, but not none, is one run."""
+    sizes = np.diff(words.first)
+    h, whole = words.windows(k)
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    found, of = [h[whole]], [text[whole]]
+    for n in range(1, k):
+        short = np.flatnonzero(sizes == n)
+        if len(short):
+            found.append(mix(words.windows(n)[0][words.first[short]] + np.uint64(n)))
+            of.append(short)
+    return np.concatenate(found), np.concatenate(of)
+
+
+def distinct(values: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (owner, value) pairs, sorted by owner, then value."""
+    order = np.lexsort((values, owners))
+    values, owners = values[order], owners[order]
+    keep = np.ones(len(values), bool)
+    keep[1:] = (values[1:] != values[:-1]) | (owners[1:] != owners[:-1])
+    return values[keep], owners[keep]
