@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelspark.llm import chat, decontam, fingerprint, packing
+from panelspark.llm import chat, decontam, fingerprint, langid, packing
 from panelspark.llm.shared import read
 
 
@@ -30,11 +30,17 @@ def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid.predict(docs, langid.train(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprint": op1_fingerprint,
     "op3_decontaminate": op3_decontaminate,
     "op5_chat_format": op5_chat_format,
     "op9_pack": op9_pack,
+    "op10_language": op10_language,
 }
 
 ORACLES: dict[str, str] = {}
