@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelspark.llm import chat, decontam, fingerprint, langid, packing
+from panelspark.llm import chat, decontam, fingerprint, langid, packing, quality
 from panelspark.llm.shared import read
 
 
@@ -26,6 +26,11 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_chats(rows.unionByName(probe)))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.score(docs, quality.train(docs, read(spark, sf_dir, "labels"))).drop("text")
+
+
 def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
@@ -39,6 +44,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprint": op1_fingerprint,
     "op3_decontaminate": op3_decontaminate,
     "op5_chat_format": op5_chat_format,
+    "op8_quality": op8_quality,
     "op9_pack": op9_pack,
     "op10_language": op10_language,
 }
