@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -146,9 +147,7 @@ def spans(found: DataFrame) -> DataFrame:
     """Adds ``spans``: code points of the original text under each range of hit words."""
 
     @F.pandas_udf("array<struct<start:long,end:long>>")
-    def locate(text, firsts, lasts):
-        import pandas as pd
-
+    def locate(text: pd.Series, firsts: pd.Series, lasts: pd.Series) -> pd.Series:
         return pd.Series([offsets(t, list(zip(a, b, strict=True))) if t is not None and len(a) else [] for t, a, b in zip(text, firsts, lasts, strict=True)])
 
     return found.withColumn("spans", locate("text", "firsts", "lasts"))

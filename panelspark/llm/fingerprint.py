@@ -16,6 +16,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -74,10 +75,8 @@ def fingerprint(docs: DataFrame, k: int = SHINGLE, scale: int = SCALE) -> DataFr
     """Adds ``fingerprint`` to docs(text, ...); no shuffle."""
 
     @F.pandas_udf("string")
-    def of(text):
-        import pandas as pd
-
-        found = sketches(pa.array(text, pa.large_string()), k, scale)
+    def of(text: pd.Series) -> pd.Series:
+        found = sketches(pa.array(text, pa.large_string(), from_pandas=True), k, scale)
         return pd.Series([as_text(x) for x in found])
 
     return docs.withColumn("fingerprint", of("text"))

@@ -13,10 +13,10 @@ get equal scores.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -169,15 +169,12 @@ def score(docs: DataFrame, model: Model | None, keep: float = KEEP) -> DataFrame
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("struct<p_fair:double,p_good:double>")
-    def tails(batches_of_text: Iterator["pd.Series"]) -> Iterator["pd.DataFrame"]:  # noqa: F821
-        import pandas as pd
-
-        for text in batches_of_text:
-            if shared.value is None:
-                found = np.ones((len(text), GRADES - 1))
-            else:
-                found = shared.value.tails(pa.array(text, pa.large_string(), from_pandas=True))
-            yield pd.DataFrame({"p_fair": found[:, 0], "p_good": found[:, 1]})
+    def tails(text: pd.Series) -> pd.DataFrame:
+        if shared.value is None:
+            found = np.ones((len(text), GRADES - 1))
+        else:
+            found = shared.value.tails(pa.array(text, pa.large_string(), from_pandas=True))
+        return pd.DataFrame({"p_fair": found[:, 0], "p_good": found[:, 1]})
 
     out = docs.withColumn("_tails", tails("text"))
     return out.select(*docs.columns, (F.col("_tails.p_fair") + F.col("_tails.p_good")).alias("expected_grade"), F.col("_tails.p_fair").alias("p_fair"), F.col("_tails.p_good").alias("p_good"), (F.col("_tails.p_good") >= keep).alias("keep"))
