@@ -17,6 +17,8 @@ _CODEC = pa.Codec("zstd", compression_level=1)
 
 KEYS = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("owners", pa.binary())])
 KEYS_DDL = "bucket int, keys binary, owners binary"
+OWNERS = pa.schema([("bucket", pa.int32()), ("n", pa.int64()), ("owners", pa.binary())])
+OWNERS_DDL = "bucket int, n long, owners binary"
 TEXTS = pa.schema([("bucket", pa.int32()), ("ids", pa.binary()), ("sizes", pa.binary()), ("texts", pa.binary())])
 TEXTS_DDL = "bucket int, ids binary, sizes binary, texts binary"
 
@@ -44,12 +46,39 @@ def send_keys(bucket: np.ndarray, keys: np.ndarray, owners: np.ndarray) -> pa.Re
     order = np.lexsort((owners, bucket))
     bucket, keys, owners = bucket[order], keys[order], owners[order].astype(np.int64)
     runs = list(_runs(bucket))
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in runs], pa.int32()), pa.array([keys[a:b].tobytes() for _, a, b in runs], pa.binary()), pa.array([owners[a:b].tobytes() for _, a, b in runs], pa.binary())], schema=KEYS)
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in runs], pa.int32()), pa.array([keys[a:b].tobytes() for _, a, b in runs], pa.binary()), pa.array([_squeezed(owners[a:b]) for _, a, b in runs], pa.binary())], schema=KEYS)
+
+
+def _squeezed(ascending: np.ndarray) -> bytes:
+    """Differences of ascending integers, byte plane by byte plane, compressed: about a byte each."""
+    steps = np.diff(ascending, prepend=np.int64(0))
+    return _CODEC.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), asbytes=True)
+
+
+def _unsqueezed(raw: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(_CODEC.decompress(raw, decompressed_size=8 * n, asbytes=True), np.uint8)
+    return np.cumsum(np.ascontiguousarray(planes.reshape(8, n).T).view(np.int64).ravel())
 
 
 def received_keys(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    join = lambda name: b"".join(x.as_py() for x in table.column(name))
-    return np.frombuffer(join("keys"), np.uint64), np.frombuffer(join("owners"), np.int64)
+    keys = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("keys")]
+    owners = [_unsqueezed(x.as_py(), len(k)) for k, x in zip(keys, table.column("owners"), strict=True)]
+    if not keys:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    return np.concatenate(keys), np.concatenate(owners)
+
+
+def send_owners(bucket: np.ndarray, owners: np.ndarray) -> pa.RecordBatch:
+    """As send_keys, without keys."""
+    order = np.lexsort((owners, bucket))
+    bucket, owners = bucket[order], owners[order].astype(np.int64)
+    runs = list(_runs(bucket))
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in runs], pa.int32()), pa.array([b - a for _, a, b in runs], pa.int64()), pa.array([_squeezed(owners[a:b]) for _, a, b in runs], pa.binary())], schema=OWNERS)
+
+
+def received_owners(table: pa.Table) -> np.ndarray:
+    lots = [_unsqueezed(x.as_py(), n.as_py()) for n, x in zip(table.column("n"), table.column("owners"), strict=True)]
+    return np.concatenate(lots) if lots else np.empty(0, np.int64)
 
 
 def send_texts(bucket: np.ndarray, ids: np.ndarray, texts: list[bytes]) -> pa.RecordBatch:
@@ -74,6 +103,14 @@ def received_texts(table: pa.Table) -> tuple[np.ndarray, list[bytes]]:
     return (np.concatenate(ids) if ids else np.empty(0, np.int64)), texts
 
 
+#: Stands for a null id inside blocks; it sorts first.
+NO_ID = -(1 << 63)
+
+
+def ids_of(column: pa.Array) -> np.ndarray:
+    return column.cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False)
+
+
 def raw_texts(column: pa.Array) -> list[bytes]:
     """UTF-8 of a text column; a null is empty."""
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]

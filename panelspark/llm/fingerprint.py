@@ -92,13 +92,6 @@ def _ranges(bounds: np.ndarray):
     return lambda ids: np.searchsorted(bounds, ids, side="left").astype(np.int32)
 
 
-_LEAST = -(1 << 63)
-
-
-def _ids(batch: pa.RecordBatch) -> np.ndarray:
-    return batch.column("doc_id").cast(pa.int64()).fill_null(_LEAST).to_numpy(zero_copy_only=False)
-
-
 def edited_pairs(docs: DataFrame, k: int = SHINGLE, scale: int = SCALE) -> DataFrame:
     """Each document's fingerprint, that of its text edited with the next document's, and how alike they are.
 
@@ -114,7 +107,7 @@ def edited_pairs(docs: DataFrame, k: int = SHINGLE, scale: int = SCALE) -> DataF
 
     def firsts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            ids = _ids(batch)
+            ids = blocks.ids_of(batch.column("doc_id"))
             r = range_of(ids)
             order = np.lexsort((ids, r))
             head = order[np.flatnonzero(np.diff(r[order], prepend=-1))]
@@ -126,7 +119,7 @@ def edited_pairs(docs: DataFrame, k: int = SHINGLE, scale: int = SCALE) -> DataF
     def deal(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads = np.array(sorted(guests), np.int64)
         for batch in it:
-            ids, texts = _ids(batch), blocks.raw_texts(batch.column("text"))
+            ids, texts = blocks.ids_of(batch.column("doc_id")), blocks.raw_texts(batch.column("text"))
             yield blocks.send_texts(range_of(ids), ids, texts)
             at = np.flatnonzero(np.isin(ids, heads))
             if len(at):
@@ -147,7 +140,7 @@ def edited_pairs(docs: DataFrame, k: int = SHINGLE, scale: int = SCALE) -> DataF
         other = sketches(pa.array(changed, pa.large_string()), k, scale)
         return pa.Table.from_pydict(
             {
-                "doc_id": [None if i == _LEAST else i for i, _ in rows],
+                "doc_id": [None if i == blocks.NO_ID else i for i, _ in rows],
                 "n_chars": [len(x) for x in text],
                 "edited_sha256": [hashlib.sha256(x.encode()).hexdigest() for x in changed],
                 "fingerprint": [as_text(x) for x in own_sketch],
