@@ -247,7 +247,7 @@ def signatures(tokens: np.ndarray, df: dict[int, int], percent: int, fraction: f
         for (c, _), group in groups.items():
             together = 1 if small or c == 1 else 3 if c == 3 else 2
             for some in combinations([x for x in group if x >= 0], together):
-                h = size + 1
+                h = 0 if together == 1 else size + 1  # single tokens serve partners of either class
                 for x in sorted(some):
                     h = (h * BASE + x) & 0xFFFFFFFFFFFFFFFF
                 out.add(h)
