@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-_CODEC = pa.Codec("zstd", compression_level=1)
+CODEC = pa.Codec("zstd", compression_level=1)
 
 KEYS = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("owners", pa.binary())])
 KEYS_DDL = "bucket int, keys binary, owners binary"
@@ -52,11 +52,11 @@ def send_keys(bucket: np.ndarray, keys: np.ndarray, owners: np.ndarray) -> pa.Re
 def _squeezed(ascending: np.ndarray) -> bytes:
     """Differences of ascending integers, byte plane by byte plane, compressed: about a byte each."""
     steps = np.diff(ascending, prepend=np.int64(0))
-    return _CODEC.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), asbytes=True)
+    return CODEC.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), asbytes=True)
 
 
 def _unsqueezed(raw: bytes, n: int) -> np.ndarray:
-    planes = np.frombuffer(_CODEC.decompress(raw, decompressed_size=8 * n, asbytes=True), np.uint8)
+    planes = np.frombuffer(CODEC.decompress(raw, decompressed_size=8 * n, asbytes=True), np.uint8)
     return np.cumsum(np.ascontiguousarray(planes.reshape(8, n).T).view(np.int64).ravel())
 
 
@@ -88,7 +88,7 @@ def send_texts(bucket: np.ndarray, ids: np.ndarray, texts: list[bytes]) -> pa.Re
     for b, lo, hi in _runs(bucket):
         some = [texts[i] for i in order[lo:hi].tolist()]
         sizes = np.array([len(x) for x in some], np.int64)
-        rows.append((b, ids[lo:hi].astype(np.int64).tobytes(), sizes.tobytes(), _CODEC.compress(b"".join(some), asbytes=True)))
+        rows.append((b, ids[lo:hi].astype(np.int64).tobytes(), sizes.tobytes(), CODEC.compress(b"".join(some), asbytes=True)))
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, TEXTS.types, strict=True)], schema=TEXTS)
 
 
@@ -97,7 +97,7 @@ def received_texts(table: pa.Table) -> tuple[np.ndarray, list[bytes]]:
     for row in range(table.num_rows):
         sizes = np.frombuffer(table.column("sizes")[row].as_py(), np.int64)
         ids.append(np.frombuffer(table.column("ids")[row].as_py(), np.int64))
-        joined = _CODEC.decompress(table.column("texts")[row].as_py(), decompressed_size=int(sizes.sum()), asbytes=True) if sizes.sum() else b""
+        joined = CODEC.decompress(table.column("texts")[row].as_py(), decompressed_size=int(sizes.sum()), asbytes=True) if sizes.sum() else b""
         ends = np.cumsum(sizes)
         texts += [joined[e - s : e] for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
     return (np.concatenate(ids) if ids else np.empty(0, np.int64)), texts
@@ -114,3 +114,14 @@ def ids_of(column: pa.Array) -> np.ndarray:
 def raw_texts(column: pa.Array) -> list[bytes]:
     """UTF-8 of a text column; a null is empty."""
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
+
+
+def texts_by_id(n_buckets: int):
+    """docs(doc_id, text) -> blocks of texts, dealt by id."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            ids = ids_of(batch.column("doc_id"))
+            yield send_texts(bucket_of_ids(ids, n_buckets), ids, raw_texts(batch.column("text")))
+
+    return run

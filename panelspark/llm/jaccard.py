@@ -135,15 +135,6 @@ def _counts(table: pa.Table) -> pa.Table:
     return pa.table({"id": pa.array(ids, pa.int64()), "unshared": pa.array(n, pa.int64())})
 
 
-def _send_texts(n_buckets: int):
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            ids = blocks.ids_of(batch.column("doc_id"))
-            yield blocks.send_texts(blocks.bucket_of_ids(ids, n_buckets), ids, blocks.raw_texts(batch.column("text")))
-
-    return run
-
-
 def _send_nodes(n_buckets: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -187,7 +178,7 @@ def possible_nodes(docs: DataFrame, sized: DataFrame, k: int, percent: int, frac
     each = sized.where("n > 0").select(F.coalesce("doc_id", F.lit(blocks.NO_ID)).alias("id"), "key", "n")
     nodes = each.join(counts, "id", "left").groupBy("key").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.max(F.coalesce("unshared", F.lit(0))).alias("unshared"))
     alive = nodes.where(F.col("unshared") <= F.col("n") - F.ceil(F.col("n") * percent / 100)).select("id", "key")
-    texts = docs.mapInArrow(_send_texts(n_buckets), blocks.TEXTS_DDL)
+    texts = docs.mapInArrow(blocks.texts_by_id(n_buckets), blocks.TEXTS_DDL)
     return texts.groupBy("bucket").cogroup(alive.mapInArrow(_send_nodes(n_buckets), blocks.KEYS_DDL).groupBy("bucket")).applyInArrow(_pick(k), "key long, n long, text binary")
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelspark.llm import chat, decontam, fingerprint, jaccard, langid, packing, quality
+from panelspark.llm import chat, decontam, fingerprint, jaccard, langid, packing, quality, substrings
 from panelspark.llm.shared import read
 
 
@@ -14,6 +14,10 @@ def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_pairs(read(spark, sf_dir, "documents"))
 
 
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(read(spark, sf_dir, "documents"), keep_text=False).drop("kept")
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), keep_text=False)
     return decontam.digest(found)
@@ -46,6 +50,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprint": op1_fingerprint,
+    "op2_substrings": op2_substrings,
     "op3_decontaminate": op3_decontaminate,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_chat_format": op5_chat_format,
