@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelspark.llm import chat, decontam, fingerprint, jaccard, langid, packing, quality, substrings
+from panelspark.llm import chat, decontam, fingerprint, html_text, jaccard, langid, packing, pii, quality, substrings
 from panelspark.llm.shared import read
 
 
@@ -34,6 +34,14 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_chats(rows.unionByName(probe)))
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read(spark, sf_dir, "pages"))
+
+
+def op7_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.sanitise(read(spark, sf_dir, "documents"), keep_text=False).drop("text")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.score(docs, quality.train(docs, read(spark, sf_dir, "labels"))).drop("text")
@@ -54,6 +62,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_chat_format": op5_chat_format,
+    "op6_main_text": op6_main_text,
+    "op7_sanitise": op7_sanitise,
     "op8_quality": op8_quality,
     "op9_pack": op9_pack,
     "op10_language": op10_language,
