@@ -88,7 +88,7 @@ def offsets(text: str, ranges: list[tuple[int, int]]) -> list[dict]:
     return [{"start": int(point[starts[a]]), "end": int(point[ends[b - 1]])} for a, b in ranges]
 
 
-def _scan(block: list[tuple[str, str | None]], window: int, first: bool, keep_text: bool):
+def _scan(block: list[tuple[str, str | None]], window: int, first: bool, keep_text: bool, carry: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(block, window)
         for batch in batches:
@@ -107,7 +107,8 @@ def _scan(block: list[tuple[str, str | None]], window: int, first: bool, keep_te
                 out["firsts"].append([a for a, _ in ranges])
                 out["lasts"].append([b for _, b in ranges])
                 out["items"].append(sorted(names))
-            yield pa.RecordBatch.from_pydict(out, schema=_STATE)
+            state = pa.RecordBatch.from_pydict(out, schema=_STATE)
+            yield pa.RecordBatch.from_arrays([*state.columns, *map(batch.column, carry)], names=[*_STATE.names, *carry])
 
     return run
 
@@ -125,15 +126,16 @@ def blocks_of(benchmark: DataFrame, block_words: int) -> list[list[tuple[str, st
     return [sorted(tuple(r) for r in sized.where(part == k).select("item_id", "text").collect()) for k in range(n)]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_words: int = BLOCK_WORDS, keep_text: bool = True) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_words: int = BLOCK_WORDS, keep_text: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
     """docs(doc_id, text), benchmark(item_id, text) -> doc_id, text, n_words, n_hit, items, firsts, lasts.
 
-    firsts/lasts: ranges of hit words, ends exclusive; text is null unless ``keep_text``. No shuffle: each block of items is one more pass of the same tasks.
+    firsts/lasts: ranges of hit words, ends exclusive; text is null unless ``keep_text``; columns named in ``carry`` go along. No shuffle: each block of items is one more pass of the same tasks.
     """
-    out = docs.select("doc_id", "text")
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry)
+    schema = ", ".join([_STATE_DDL, *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)])
     blocks = blocks_of(benchmark, block_words) or [[]]
     for k, block in enumerate(blocks):
-        out = out.mapInArrow(_scan(block, window, not k, keep_text or k < len(blocks) - 1), _STATE_DDL)
+        out = out.mapInArrow(_scan(block, window, not k, keep_text or k < len(blocks) - 1, carry), schema)
     n_hit = F.aggregate(F.zip_with("lasts", "firsts", lambda b, a: b - a), F.lit(0).cast("long"), lambda x, y: x + y)
     return out.withColumn("n_hit", n_hit)
 

@@ -116,7 +116,7 @@ _FOUND = pa.schema(
 _FOUND_DDL = "row long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, text string, mentions array<struct<entity:string,window:long,terms:array<string>>>"
 
 
-def _find(keep_text: bool):
+def _find(keep_text: bool, carry: tuple[str, ...]):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -137,7 +137,8 @@ def _find(keep_text: bool):
                 base = joined(spans)
                 out.append((row, doc, *(sum(k == n for _, k, _ in spans) for n in range(4)), hashlib.sha256(base.encode()).hexdigest(), base, text if spans or keep_text else None, mentions))
                 row += 1
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * len(_FOUND), _FOUND.types, strict=True)], schema=_FOUND)
+            found = [pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * len(_FOUND), _FOUND.types, strict=True)]
+            yield pa.RecordBatch.from_arrays([*found, *map(batch.column, carry)], names=[*_FOUND.names, *carry])
 
     return run
 
@@ -194,18 +195,19 @@ def _apply(remove: float, keep_text: bool):
     return run
 
 
-def sanitise(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE, keep_text: bool = True) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, text (sanitised; null unless ``keep_text``).
+def sanitise(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE, keep_text: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, text (sanitised; null unless ``keep_text``) and the columns named in ``carry``.
 
     Only documents with a mention take part in joins; texts of the rest are passed through where they were read.
     """
-    found = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_find(keep_text), _FOUND_DDL), "mentions")
+    schema = ", ".join([_FOUND_DDL, *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)])
+    found = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry).mapInArrow(_find(keep_text, carry), schema), "mentions")
     mentions = found.where(F.size("mentions") > 0).select("row", F.explode("mentions").alias("m")).select("row", "m.*")
     telling = written(disclosures(mentions, support, generalise), "disclosures")
     of_row = mentions.select("row", "entity").distinct().join(telling, "entity").groupBy("row").agg(F.collect_list(F.struct("entity", "term", "share")).alias("telling"))
     with_mentions = found.where(F.size("mentions") > 0)
     changed = with_mentions.select("row", "text").join(of_row, "row", "left").mapInArrow(_apply(remove, keep_text), "row long, spans string, text string")
     counts = ["doc_id", *(f"n_{k}" for k in KINDS[:4]), "base_sha256"]
-    with_spans = with_mentions.select("row", *counts).join(changed, "row").select(*counts, "spans", "text")
-    rest = found.where(F.size("mentions") == 0).select(*counts, "spans", "text" if keep_text else F.lit(None).cast("string").alias("text"))
+    with_spans = with_mentions.select("row", *counts, *carry).join(changed, "row").select(*counts, "spans", "text", *carry)
+    rest = found.where(F.size("mentions") == 0).select(*counts, "spans", "text" if keep_text else F.lit(None).cast("string").alias("text"), *carry)
     return with_spans.unionByName(rest)
