@@ -28,7 +28,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def buckets(spark: SparkSession, per_partition: int = 2) -> int:
+def buckets(spark: SparkSession, per_partition: int = 1) -> int:
     """Groups that grouped-map steps split keys into: a multiple of the shuffle partitions, which the user scales with the data.
 
     Small, as a step from buckets to buckets sends up to their square in blocks.
