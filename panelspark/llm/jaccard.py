@@ -11,8 +11,8 @@ Steps, each one shuffle or a few:
 
 1. Equal sets are one node (hot groups of copies shrink to one). 2. A fixed fraction of the hash
    space is counted in blocks; a document with more tokens found nowhere else than it may miss has
-   no partner and goes no further. That leaves the few that can have one. 3. These get document
-   frequencies, prefixes and signatures. 4. In each signature's list, leaders are verified against
+   no partner and goes no further. All tokens of those left are counted again in the same way. 3.
+   The few that remain get document frequencies, prefixes and signatures. 4. In each signature's list, leaders are verified against
    the rest, and components formed; what remains to be verified are pairs of different components,
    so a group of n near copies costs about n pairs, yet no link between components is lost.
 
@@ -47,6 +47,8 @@ CLASSES = (32, 1024)
 SMALL = 24
 #: Of a list's members, so many are leaders to which the rest are compared first.
 LEADERS = 4
+#: Rows that a Python step works on at a time, and members of a list that travel in one row.
+SLICE = 500
 
 
 def token_sets(texts: pa.Array, k: int = SHINGLE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -87,9 +89,19 @@ def _sized(k: int):
     return run
 
 
+def _first_and_last(t: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each run of equal tokens its first and last entry."""
+    order = np.lexsort((o, t))
+    t, o = t[order], o[order]
+    ends = np.ones(len(t), bool)
+    if len(t) > 2:
+        ends[1:-1] = (t[1:-1] != t[:-2]) | (t[1:-1] != t[2:])
+    return t[ends], o[ends]
+
+
 def _counted(k: int, n_buckets: int, fraction: float):
     """Tokens under the fraction, with the document they stand in; equal sets of a batch once, and of a token's documents two."""
-    below = np.uint64(int(fraction * 2**64))
+    below = np.uint64(min(int(fraction * 2**64), 2**64 - 1))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -106,13 +118,7 @@ def _counted(k: int, n_buckets: int, fraction: float):
                 owners.append(all_ids[first:end][of[keep]])
             if not tokens:
                 continue
-            t, o = np.concatenate(tokens), np.concatenate(owners)
-            order = np.lexsort((o, t))
-            t, o = t[order], o[order]
-            ends = np.ones(len(t), bool)  # the first and last of a run of equal tokens
-            if len(t) > 2:
-                ends[1:-1] = (t[1:-1] != t[:-2]) | (t[1:-1] != t[2:])
-            t, o = t[ends], o[ends]
+            t, o = _first_and_last(np.concatenate(tokens), np.concatenate(owners))
             yield blocks.send_keys(blocks.bucket_of_keys(mix(t), n_buckets), t, o)
 
     return run
@@ -166,6 +172,33 @@ def _pick(k: int):
     return run
 
 
+def _node_entries(k: int, n_buckets: int):
+    """All tokens of nodes, with their keys; of a batch's equal tokens two."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in it:
+            for i in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(i, SLICE)
+                keys = batch.column("key").to_numpy(zero_copy_only=False)
+                tokens, owners = [], []
+                for first, _, h, of in token_sets(batch.column("text"), k):
+                    tokens.append(h)
+                    owners.append(keys[first + of])
+                t, o = _first_and_last(np.concatenate(tokens), np.concatenate(owners))
+                yield blocks.send_keys(blocks.bucket_of_keys(mix(t), n_buckets), t, o)
+
+    return run
+
+
+def still_possible(nodes: DataFrame, k: int, percent: int) -> DataFrame:
+    """Nodes that share enough of all their tokens with other nodes."""
+    n_buckets = buckets(nodes.sparkSession)
+    unshared = nodes.select("key", "text").mapInArrow(_node_entries(k, n_buckets), blocks.KEYS_DDL).groupBy("bucket").applyInArrow(_unshared(n_buckets), blocks.OWNERS_DDL)
+    counts = unshared.groupBy("bucket").applyInArrow(_counts, "id long, unshared long").withColumnRenamed("id", "key")
+    too_many = F.col("unshared") > F.col("n") - F.ceil(F.col("n") * percent / 100)
+    return nodes.join(counts, "key", "left").where(~F.coalesce(too_many, F.lit(False))).select("key", "n", "text")
+
+
 _NODES = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("text", pa.binary())])
 
 
@@ -182,15 +215,12 @@ def possible_nodes(docs: DataFrame, sized: DataFrame, k: int, percent: int, frac
     return texts.groupBy("bucket").cogroup(alive.mapInArrow(_send_nodes(n_buckets), blocks.KEYS_DDL).groupBy("bucket")).applyInArrow(_pick(k), "key long, n long, text binary")
 
 
-def _node_tokens(k: int, fraction: float):
-    below = np.uint64(int(fraction * 2**64))
-
+def _node_tokens(k: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             keys = batch.column("key").to_numpy(zero_copy_only=False)
             for first, _, h, of in token_sets(batch.column("text"), k):
-                keep = h < below
-                yield pa.RecordBatch.from_arrays([pa.array(keys[first + of[keep]], pa.int64()), pa.array(h[keep].view(np.int64), pa.int64())], names=["key", "token"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[first + of], pa.int64()), pa.array(h.view(np.int64), pa.int64())], names=["key", "token"])
 
     return run
 
@@ -205,22 +235,17 @@ def size_class(n: int, percent: int) -> int:
     return c
 
 
-def signatures(tokens: np.ndarray, df: dict[int, int], percent: int, fraction: float, classes: tuple[int, ...] = CLASSES) -> list[int]:
+def signatures(tokens: np.ndarray, df: dict[int, int], percent: int, classes: tuple[int, ...] = CLASSES) -> list[int]:
     """Of one set: hashes of the token combinations of its prefix, for partners of its own size class and of the next.
 
-    df: frequencies of its counted tokens that other documents have; the rest of the counted ones are unshared. Tokens
-    that weren't counted come last and count as class 2.
+    df: in how many nodes its tokens are; a token that isn't there is in no other.
     """
-    n = len(tokens)
-    counted = tokens < np.uint64(int(fraction * 2**64))
     freq = np.array([df.get(x, 1) for x in tokens.view(np.int64).tolist()], np.int64)
-    freq[~counted] = np.iinfo(np.int64).max
     kind = np.searchsorted(classes, freq, side="left") + 1
-    kind[~counted] = 4
     order = np.lexsort((tokens, freq))
-    tokens, freq, kind = tokens[order], freq[order], kind[order]
-    need = may_miss(n, percent) + 1
-    own = size_class(n, percent)
+    rows = list(zip(tokens[order].tolist(), freq[order].tolist(), kind[order].tolist(), strict=True))
+    need = may_miss(len(tokens), percent) + 1
+    own = size_class(len(tokens), percent)
     out: set[int] = set()
     for size in (own, own + 1):
         smallest = (100 / percent) ** (size - 1)
@@ -228,15 +253,15 @@ def signatures(tokens: np.ndarray, df: dict[int, int], percent: int, fraction: f
         parts = max(1, int(smallest / 12))
         gained = 0
         groups: dict[tuple[int, int], list[int]] = {}
-        for x, f, c in zip(tokens.tolist(), freq.tolist(), kind.tolist(), strict=True):
-            together = 1 if small or c == 1 else 3 if c == 3 else 2
+        for x, f, c in rows:
+            together = 1 if small else c
             group = groups.setdefault((c, 0 if together == 1 else (x >> 8) % parts), [])
             group.append(x if f > 1 else -1)
             gained += len(group) >= together
             if gained >= need:
                 break
         for (c, _), group in groups.items():
-            together = 1 if small or c == 1 else 3 if c == 3 else 2
+            together = 1 if small else c
             for some in combinations([x for x in group if x >= 0], together):
                 h = 0 if together == 1 else size + 1  # single tokens serve partners of either class
                 for x in sorted(some):
@@ -245,17 +270,19 @@ def signatures(tokens: np.ndarray, df: dict[int, int], percent: int, fraction: f
     return mix(np.array(sorted(out), np.uint64)).view(np.int64).tolist() if out else []
 
 
-def _signed(k: int, percent: int, fraction: float):
+def _signed(k: int, percent: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            rows = zip(batch.column("key").to_pylist(), batch.column("n").to_pylist(), sets_list(batch.column("text").to_pylist(), k), batch.column("tokens"), batch.column("dfs"), strict=True)
-            sig, key, size = [], [], []
-            for node, n, tokens, shared, dfs in rows:
-                found = signatures(tokens, dict(zip(shared.as_py() or [], dfs.as_py() or [], strict=True)), percent, fraction)
-                sig += found
-                key += [node] * len(found)
-                size += [n] * len(found)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (sig, key, size)], names=["sig", "key", "n"])
+        for whole in it:
+            for i in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(i, SLICE)
+                rows = zip(batch.column("key").to_pylist(), batch.column("n").to_pylist(), sets_list(batch.column("text").to_pylist(), k), batch.column("tokens"), batch.column("dfs"), strict=True)
+                sig, key, size = [], [], []
+                for node, n, tokens, shared, dfs in rows:
+                    found = signatures(tokens, dict(zip(shared.as_py() or [], dfs.as_py() or [], strict=True)), percent)
+                    sig += found
+                    key += [node] * len(found)
+                    size += [n] * len(found)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (sig, key, size)], names=["sig", "key", "n"])
 
     return run
 
@@ -289,12 +316,12 @@ def _comparable(percent: int, n: str, m: str) -> str:
     return f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m})"
 
 
-def links(nodes: DataFrame, k: int, percent: int, fraction: float) -> DataFrame:
+def links(nodes: DataFrame, k: int, percent: int) -> DataFrame:
     """node, root of the components of nodes(key, n, text) that have links."""
-    tokens = nodes.select("key", "text").mapInArrow(_node_tokens(k, fraction), "key long, token long")
+    tokens = nodes.select("key", "text").mapInArrow(_node_tokens(k), "key long, token long")
     df = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     shared = tokens.join(df, "token").groupBy("key").agg(F.collect_list("token").alias("tokens"), F.collect_list("df").alias("dfs"))
-    signed = nodes.join(shared, "key", "left").select("key", "n", "text", "tokens", "dfs").mapInArrow(_signed(k, percent, fraction), "sig long, key long, n long")
+    signed = nodes.join(shared, "key", "left").select("key", "n", "text", "tokens", "dfs").mapInArrow(_signed(k, percent), "sig long, key long, n long")
     sigs = written(signed, "signatures")
 
     rank = F.xxhash64("key", F.pmod("sig", F.lit(LEADERS)))
@@ -305,11 +332,15 @@ def links(nodes: DataFrame, k: int, percent: int, fraction: float) -> DataFrame:
     roots = written(components(edges), "roots")
 
     placed = sigs.join(roots.withColumnRenamed("node", "key"), "key", "left").select("sig", "key", "n", F.coalesce("root", "key").alias("root"))
-    mixed = placed.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("sig")
+    mixed = placed.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c")).where("lo < hi").select("sig", F.expr(f"cast(c div {SLICE} as int)").alias("more"))
     open_ = written(placed.join(mixed, "sig"), "open")
-    other = open_.select("sig", F.col("key").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
-    crossing = open_.join(other, "sig").where(f"key < b and root <> other and {_comparable(percent, 'n', 'm')}")
-    rest = crossing.select(F.col("key").alias("a"), "b").distinct().join(pairs, ["a", "b"], "left_anti")
+    # lists in lots of about SLICE members; a member meets each lot once, and its partners are made distinct before they are rows
+    lot = F.pmod(F.xxhash64("key"), F.col("more") + 1)
+    lots = open_.groupBy("sig", lot.alias("lot")).agg(F.collect_list(F.struct("key", "n", "root")).alias("others"))
+    other = lambda o: (o["key"] > F.col("key")) & (o["root"] != F.col("root")) & (F.least("n", o["n"]) * 100 >= F.greatest("n", o["n"]) * percent)
+    met = open_.join(lots, "sig").select("key", F.transform(F.filter("others", other), lambda o: o["key"]).alias("partners")).where(F.size("partners") > 0)
+    crossing = met.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("partners"))).alias("partners")).select(F.col("key").alias("a"), F.explode("partners").alias("b"))
+    rest = crossing.join(pairs, ["a", "b"], "left_anti")
     late = written(verified(rest, nodes, k, percent), "edges")
     if late.isEmpty():
         return roots
@@ -322,7 +353,8 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, f
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sized = written(docs.mapInArrow(_sized(k), "doc_id long, key long, n long"), "sized")
     nodes = written(possible_nodes(docs, sized, k, percent, fraction), "nodes")
-    roots = links(nodes, k, percent, fraction)
+    nodes = written(still_possible(nodes, k, percent), "nodes")
+    roots = links(nodes, k, percent)
     ids = F.coalesce("doc_id", F.lit(blocks.NO_ID))
     keys = sized.where("n > 0").groupBy("key").agg(F.min(ids).alias("id"))
     placed = keys.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "id", F.coalesce("root", "key").alias("root"))
