@@ -35,10 +35,7 @@ def _month(name: Column) -> Column:
     """Number of an English month, written out or as its first three letters (four of September)."""
     names = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
     known = {**{m: i for i, m in enumerate(L.MONTHS, 1)}, **{m: i for i, m in enumerate(names, 1)}, "sept": 9}
-    out = F.lit(None).cast("int")
-    for word, n in known.items():
-        out = F.when(F.lower(name) == word, F.lit(n)).otherwise(out)
-    return out
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in known.items() for x in pair]), F.lower(name))
 
 
 def _time(hour: Column, minute: Column, second: Column) -> Column:
@@ -53,7 +50,11 @@ def _hour24(hour: Column, half: Column) -> Column:
 
 def normalize_date(s: Column) -> Column:
     """ISO string of the first date form that fits: with a time first, then M/D/Y, D/M/Y, Y-M-D, Month D, Y and D Mon Y."""
-    s = F.trim(s)
+    # as a lambda's variable the text is computed once, however many groups are taken from it
+    return F.get(F.transform(F.array(F.trim(s)), _iso), 0)
+
+
+def _iso(s: Column) -> Column:
     sep = "[/.-]"
     g = lambda p, n: _group(s, p, n)
     iso = f"([0-9]{{4}}){sep}([0-9]{{1,2}}){sep}([0-9]{{1,2}})"

@@ -9,24 +9,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-ORDER = W.partitionBy("doc_id").orderBy("row_no")
+def reading_order():
+    """A document's rows from first to last."""
+    return W.partitionBy("doc_id").orderBy("row_no")
 
 
 def assign_panels(rows: DataFrame) -> DataFrame:
     """Rows (doc_id, row_no, text, role): adds the last header's text and number; rows before any header have none."""
     header = F.col("role") == "SECTION_PANEL"
-    return rows.withColumn("panel_name", F.last(F.when(header, F.col("text")), ignorenulls=True).over(ORDER)).withColumn("panel_no", F.sum(F.when(header, 1).otherwise(0)).over(ORDER))
+    return rows.withColumn("panel_name", F.last(F.when(header, F.col("text")), ignorenulls=True).over(reading_order())).withColumn("panel_no", F.sum(F.when(header, 1).otherwise(0)).over(reading_order()))
 
 
 def page_breaks(rows: DataFrame) -> DataFrame:
     """Adds ``is_break``: the page is beyond every page before (the first page is 1)."""
-    so_far = F.max("page").over(ORDER.rowsBetween(W.unboundedPreceding, -1))
+    so_far = F.max("page").over(reading_order().rowsBetween(W.unboundedPreceding, -1))
     return rows.withColumn("is_break", F.col("page") > F.coalesce(so_far, F.lit(1)))
 
 
 def k_in_m(rows: DataFrame, k: int = 3, m: int = 5) -> DataFrame:
     """Adds ``enough_ahead``: among this row and the next m - 1 there are k result rows in a row."""
-    ahead = F.collect_list(F.when(F.col("role") == "TEST_ROW", 1).otherwise(0)).over(ORDER.rowsBetween(0, m - 1))
+    ahead = F.collect_list(F.when(F.col("role") == "TEST_ROW", 1).otherwise(0)).over(reading_order().rowsBetween(0, m - 1))
     best = F.aggregate(ahead, F.struct(F.lit(0).alias("run"), F.lit(0).alias("best")), lambda s, x: F.struct(F.when(x == 1, s["run"] + 1).otherwise(0).alias("run"), F.greatest(s["best"], F.when(x == 1, s["run"] + 1).otherwise(0)).alias("best")))
     return rows.withColumn("enough_ahead", best["best"] >= k)
 
@@ -34,7 +36,7 @@ def k_in_m(rows: DataFrame, k: int = 3, m: int = 5) -> DataFrame:
 def named_by_lookback(rows: DataFrame, most: int = 8) -> DataFrame:
     """Of result rows: the nearest row up to ``most`` before, on the same page, that looks like a heading."""
     heading = F.col("is_bold") & F.col("text").rlike("[A-Za-z]+ [A-Za-z]+|^[A-Z]{3,}$")
-    seen = F.last(F.when(heading, F.struct("page", "text")), ignorenulls=True).over(ORDER.rowsBetween(-most, -1))
+    seen = F.last(F.when(heading, F.struct("page", "text")), ignorenulls=True).over(reading_order().rowsBetween(-most, -1))
     found = rows.withColumn("_h", seen).where(F.col("role") == "TEST_ROW")
     return found.select("doc_id", "row_no", F.when(F.col("_h.page") == F.col("page"), F.col("_h.text")).otherwise("UNNAMED").alias("name"))
 
@@ -42,13 +44,13 @@ def named_by_lookback(rows: DataFrame, most: int = 8) -> DataFrame:
 def unknown_clusters(rows: DataFrame, gap: int = 5) -> DataFrame:
     """Result rows without a panel, in clusters that a gap of line numbers parts."""
     lone = assign_panels(rows).where(F.col("panel_name").isNull() & (F.col("role") == "TEST_ROW"))
-    new = F.when(F.col("row_no") - F.lag("row_no").over(ORDER) > gap, 1).otherwise(0)
-    return lone.withColumn("_new", new).withColumn("cluster", F.sum("_new").over(ORDER)).groupBy("doc_id", "cluster").agg(F.count("*").alias("n_rows"), F.min("row_no").alias("first_row"))
+    new = F.when(F.col("row_no") - F.lag("row_no").over(reading_order()) > gap, 1).otherwise(0)
+    return lone.withColumn("_new", new).withColumn("cluster", F.sum("_new").over(reading_order())).groupBy("doc_id", "cluster").agg(F.count("*").alias("n_rows"), F.min("row_no").alias("first_row"))
 
 
 def break_similarity(rows: DataFrame, reach: int = 5) -> DataFrame:
     """At page breaks: how alike the mix of roles is before and after, 1 - sum |a-b| / sum max(a, b, 1)."""
-    before, after = ORDER.rowsBetween(-reach, -1), ORDER.rowsBetween(0, reach - 1)
+    before, after = reading_order().rowsBetween(-reach, -1), reading_order().rowsBetween(0, reach - 1)
     out = page_breaks(rows)
     terms = []
     for role in ("TEST_ROW", "SECTION_PANEL", "COMMENT"):
@@ -83,7 +85,7 @@ def column_repairs(cells: DataFrame, unit_window: tuple[int, int] = (350, 420),
 
 def split_rows(rows: DataFrame) -> DataFrame:
     """Result rows without a range whose next row, close below on the same page, is one: they take it."""
-    follow = F.lead(F.struct("page", "y", "text")).over(ORDER)
+    follow = F.lead(F.struct("page", "y", "text")).over(reading_order())
     lone = F.regexp_extract("_n.text", "^([0-9]+-[0-9]+)", 1)
     near = (F.col("_n.page") == F.col("page")) & (F.col("_n.y") - F.col("y") < 60) & (lone != "")
     return rows.withColumn("_n", follow).where((F.col("role") == "TEST_ROW") & ~F.col("text").rlike("[0-9]+-[0-9]+") & near).select("doc_id", "row_no", lone.alias("range_text"))

