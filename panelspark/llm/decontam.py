@@ -5,7 +5,7 @@ number 0, so a text is walked once however many items there are, and a match's e
 position that maps straight back to offsets of the original text.
 
 Cases: a null or empty text has no words and no hits; an item without words is ignored; an item
-shorter than the window is one window; equal items all count; an empty benchmark marks nothing.
+shorter than the window is one window; equal items all count; a null item_id is named by the empty string; an empty benchmark marks nothing.
 """
 
 from __future__ import annotations
@@ -119,7 +119,7 @@ _STATE_DDL = "doc_id long, text string, n_words long, firsts array<long>, lasts
 
 def blocks_of(benchmark: DataFrame, block_words: int) -> list[list[tuple[str, str | None]]]:
     """The benchmark's items in blocks of a bounded number of words; a block at a time reaches the driver."""
-    sized = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text", F.expr("length(text) div 2 + 1").alias("most_words")).where("text is not null")
+    sized = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text", F.expr("length(text) div 2 + 1").alias("most_words")).where("text is not null")
     total = sized.agg(F.sum("most_words")).head()[0] or 0
     n = -(-total // block_words)
     part = F.pmod(F.xxhash64("item_id"), F.lit(max(n, 1)))

@@ -34,11 +34,11 @@ DIGITS = 10
 
 def sketches(texts: pa.Array, k: int = SHINGLE, scale: int = SCALE) -> list[np.ndarray]:
     """Of each text the kept hashes, ascending."""
-    below = np.uint64((1 << 64) // scale)
+    most = np.uint64((1 << 64) // scale - 1)
     out: list[np.ndarray] = []
     for _, words in batches(texts, FOLDED):
         h, of = shingles(words, k)
-        keep = h < below
+        keep = h <= most
         h, of = distinct(h[keep] >> np.uint64(64 - 4 * DIGITS), of[keep])
         out += np.split(h, np.searchsorted(of, np.arange(1, len(words.first) - 1)))
     return out
