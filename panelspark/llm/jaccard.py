@@ -332,14 +332,18 @@ def links(nodes: DataFrame, k: int, percent: int) -> DataFrame:
     roots = written(components(edges), "roots")
 
     placed = sigs.join(roots.withColumnRenamed("node", "key"), "key", "left").select("sig", "key", "n", F.coalesce("root", "key").alias("root"))
-    mixed = placed.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c")).where("lo < hi").select("sig", F.expr(f"cast(c div {SLICE} as int)").alias("more"))
+    sides = placed.groupBy("sig", "root").agg(F.count("*").alias("c"))
+    most = F.max_by("root", F.struct("c", "root")).alias("major")
+    mixed = sides.groupBy("sig").agg(most, F.sum("c").alias("c"), F.count("*").alias("roots")).where("roots > 1").select("sig", "major", F.expr(f"cast(c div {SLICE} as int)").alias("more"))
     open_ = written(placed.join(mixed, "sig"), "open")
-    # lists in lots of about SLICE members; a member meets each lot once, and its partners are made distinct before they are rows
+    # Lists in lots of about SLICE members. Of two members of different components one at least isn't of the list's
+    # largest, so only those others go through the lots; partners are made distinct before they are rows.
     lot = F.pmod(F.xxhash64("key"), F.col("more") + 1)
     lots = open_.groupBy("sig", lot.alias("lot")).agg(F.collect_list(F.struct("key", "n", "root")).alias("others"))
-    other = lambda o: (o["key"] > F.col("key")) & (o["root"] != F.col("root")) & (F.least("n", o["n"]) * 100 >= F.greatest("n", o["n"]) * percent)
-    met = open_.join(lots, "sig").select("key", F.transform(F.filter("others", other), lambda o: o["key"]).alias("partners")).where(F.size("partners") > 0)
-    crossing = met.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("partners"))).alias("partners")).select(F.col("key").alias("a"), F.explode("partners").alias("b"))
+    other = lambda o: (o["root"] != F.col("root")) & ((o["root"] == F.col("major")) | (o["key"] > F.col("key"))) & (F.least("n", o["n"]) * 100 >= F.greatest("n", o["n"]) * percent)
+    met = open_.where("root <> major").join(lots, "sig").select("key", "lot", F.transform(F.filter("others", other), lambda o: o["key"]).alias("partners")).where(F.size("partners") > 0)
+    crossing = met.groupBy("key", "lot").agg(F.array_distinct(F.flatten(F.collect_list("partners"))).alias("partners")).select("key", F.explode("partners").alias("partner"))
+    crossing = crossing.select(F.least("key", "partner").alias("a"), F.greatest("key", "partner").alias("b")).distinct()
     rest = crossing.join(pairs, ["a", "b"], "left_anti")
     late = written(verified(rest, nodes, k, percent), "edges")
     if late.isEmpty():
