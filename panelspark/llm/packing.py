@@ -9,8 +9,9 @@ each class (less than one bin, so a fixed number of pieces whatever the input) i
 first-fit-decreasing into common sequences.
 
 Cases: a null or empty text is the single end id; equal doc_ids are packed one by one; an empty
-table gives no rows. Ids equal those of the `tokenizers` file of the same vocabulary (tested); the
-rank file is used because its encoder needs a fifth of the CPU time.
+table gives no rows. Ids equal those of the `tokenizers` file of the same vocabulary as it is, its
+added tokens (<|endoftext|>) matched inside text included (tested); the rank file is used because its
+encoder needs a fifth of the CPU time, and the added tokens are read from the `tokenizers` file.
 """
 
 from __future__ import annotations
@@ -35,7 +36,10 @@ _PIECES_DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens
 
 
 def encoder(vocabulary: str = VOCABULARY):
+    """text -> ids. Added tokens are those of the file of the same name in JSON, if there is one."""
     import base64
+    import json
+    import os
 
     import public_tokenizers
     import tiktoken
@@ -43,7 +47,12 @@ def encoder(vocabulary: str = VOCABULARY):
     path = vocabulary if "/" in vocabulary else public_tokenizers.path(vocabulary)
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    added: dict[str, int] = {}
+    if os.path.exists(whole := os.path.splitext(path)[0] + ".json"):
+        with open(whole, encoding="utf-8") as file:
+            added = {x["content"]: x["id"] for x in json.load(file)["added_tokens"]}
+    encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+    return lambda text: encoding.encode(text, allowed_special="all")
 
 
 def class_lengths(capacity: int) -> np.ndarray:

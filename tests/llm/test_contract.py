@@ -292,6 +292,28 @@ def test_packing(spark, place):
     assert padded < 0.03 * 1024 * len(lanes) + 4096
 
 
+def test_packing_ids_of_the_tokenizers_file_as_it_is(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    mark = "<|endoftext|>"
+    some = [mark, f"one {mark} two  {mark}  three{mark}{mark}", f"{mark[:-1]} |{mark}>", f"É {mark}\n漢字", "x" * 300_000, "la " * 100_000, f"ab {mark} " * 30_000, *fixtures.texts()]
+    fixtures.documents(str(tmp_path), list(enumerate(some)))
+    of = defaultdict(list)
+    for r in QUERIES["op9_pack"](spark, str(tmp_path)).collect():
+        of[r.doc_id].append(r)
+    for d, text in enumerate(some):
+        ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+        at = 0
+        for r in sorted(of[d], key=lambda r: r.start):
+            assert (r.start, r.doc_tokens) == (at, len(ids))
+            assert r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes())
+            at += r.length
+        assert at == len(ids)
+
+
 def test_language_on_documents_held_out(spark):
     if not os.path.isdir(SUPPLIED):
         pytest.skip("no supplied tables")
