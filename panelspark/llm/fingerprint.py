@@ -1,12 +1,13 @@
 """Threshold-scaled document sketches.
 
 A document's fingerprint is every hash of its five-word shingles below a fixed fraction of the hash
-space, so its size follows the document's and fingerprints of any two documents estimate Jaccard
+space, or the least hash alone where none is below it, so its size follows the document's and fingerprints of any two documents estimate Jaccard
 likeness and containment; the fingerprint of a union is the union of fingerprints. Words are runs
 of anything but ASCII white space, A-Z folded; a text of fewer than five words is one shingle.
 
-Cases: a null text is empty; a sketch can be empty (no words, or no hash under the threshold): two
-empty sketches are alike (1), an empty and another one aren't (0). Documents are ordered by
+Cases: a null text is empty; only a text without words has an empty sketch: two empty sketches are
+alike (1), an empty and another one aren't (0). Two texts without a hash under the threshold are
+compared by their least hashes, which are equal with the probability of their likeness. Documents are ordered by
 (doc_id, text), null ids first; repeated rows follow each other; of one row, it is its own next.
 """
 
@@ -33,12 +34,14 @@ DIGITS = 10
 
 
 def sketches(texts: pa.Array, k: int = SHINGLE, scale: int = SCALE) -> list[np.ndarray]:
-    """Of each text the kept hashes, ascending."""
+    """Of each text the kept hashes, ascending; at least one if it has words."""
     most = np.uint64((1 << 64) // scale - 1)
     out: list[np.ndarray] = []
     for _, words in batches(texts, FOLDED):
         h, of = shingles(words, k)
-        keep = h <= most
+        least = np.full(len(words.first) - 1, np.iinfo(np.uint64).max)
+        np.minimum.at(least, of, h)
+        keep = h <= np.maximum(least, most)[of]
         h, of = distinct(h[keep] >> np.uint64(64 - 4 * DIGITS), of[keep])
         out += np.split(h, np.searchsorted(of, np.arange(1, len(words.first) - 1)))
     return out
@@ -53,9 +56,12 @@ def from_text(fingerprint: str) -> np.ndarray:
     return np.array([int(fingerprint[i : i + DIGITS], 16) for i in range(0, len(fingerprint), DIGITS)], np.uint64)
 
 
-def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def merge(a: np.ndarray, b: np.ndarray, scale: int = SCALE) -> np.ndarray:
     """The sketch of the union of two sets of shingles."""
-    return np.union1d(a, b)
+    both = np.union1d(a, b)
+    keep = both <= np.uint64((1 << 64) // scale - 1) >> np.uint64(64 - 4 * DIGITS)
+    keep[:1] = True
+    return both[keep]
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:

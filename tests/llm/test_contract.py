@@ -80,6 +80,23 @@ def test_fingerprint_of_everything_is_exact():
     assert (fingerprint.from_text(fingerprint.as_text(found[20])) == found[20]).all()
 
 
+def test_fingerprint_of_short_texts(spark, tmp_path):
+    import pyarrow as pa
+
+    from panelspark.llm import fingerprint
+
+    some = [None, "", *(f"a{i} b{i} c{i} d{i} e{i} f{i} g{i} h{i}"[: 3 + 3 * (i % 8)].strip() for i in range(10, 90))]
+    fixtures.documents(str(tmp_path), list(enumerate(some)))
+    rows = sorted(QUERIES["op1_fingerprint"](spark, str(tmp_path)).collect(), key=lambda r: r.doc_id)
+    assert [r.fingerprint == "" for r in rows] == [True, True] + [False] * 80
+    assert len({r.fingerprint for r in rows[2:]}) == 80
+    assert [r.near_next for r in rows] == [1] + [0] * 81
+    for i in range(2, 80):
+        whole = fingerprint.sketches(pa.array([some[i] + " " + some[i + 1]], pa.large_string()), k=1)
+        parts = fingerprint.sketches(pa.array(some[i : i + 2], pa.large_string()), k=1)
+        assert (fingerprint.merge(*parts) == whole[0]).all()
+
+
 def test_substrings(spark, place):
     got = result(spark, "op2_substrings", place, "doc_id", "n_words", "n_removed", "kept_sha256")
     assert ordered(got) == ordered(brute.repeats(table(place, "documents", "doc_id", "text")))
