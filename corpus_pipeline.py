@@ -6,7 +6,7 @@ SQL can't express a fitted classifier or a tokeniser, so there is none; the stag
 against brute force.
 
 Cases: empty tables give empty tables; a null text counts as empty: it is kept as it is by every
-filter that finds nothing in it; rows with equal doc_id are judged one by one.
+filter that finds nothing in it; rows with equal doc_id are judged one by one, by their texts.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.llm import decontam, jaccard, packing, pii, quality
-from panelspark.llm.shared import read, scratch
+from panelspark.llm.shared import read, scratch, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -28,11 +28,17 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near duplicates the one with the smallest doc_id; documents without words are nobody's duplicates."""
+    """Of near duplicates the row with the smallest doc_id (a null first; of equal ones any); documents without words are nobody's duplicates."""
     docs = docs.select(*COLUMNS)
-    found = jaccard.near_duplicates(docs)
-    others = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(others, docs["doc_id"].eqNullSafe(others["doc_id"]), "left_anti")
+    found = written(jaccard.classes(docs).where("n_shingles > 0").groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n")), "classes")
+    kept = found.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("kept"))
+    row = F.struct("doc_id", "text_hash")
+    marked = found.join(kept, "root").select("doc_id", "text_hash", "n", row.eqNullSafe(F.col("kept")).alias("first"))
+    hashed = docs.withColumn("h", F.xxhash64("text"))
+    of = lambda rows: (rows.select(F.col("doc_id").alias("d"), "text_hash"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("text_hash")))
+    plain = hashed.join(*of(marked.where("not first or n > 1")), "left_anti")
+    repeated = hashed.join(*of(marked.where("first and n > 1")), "left_semi").dropDuplicates(["doc_id", "h"])
+    return plain.unionByName(repeated).select(*COLUMNS)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

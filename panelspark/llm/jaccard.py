@@ -18,7 +18,10 @@ Steps, each one shuffle or a few:
 
 Cases: a null or empty text, or one without words, has an empty set and is linked with nothing; a
 text of fewer than five words is one shingle; rows with equal doc_id and text count once in the
-graph and come out as often as they come in; a null doc_id counts as the smallest. Node keys are
+graph and come out as often as they come in; a null doc_id counts as the smallest. Rows are told apart
+by (doc_id, hash of the text), so different texts may share a doc_id, null included: tokens are counted
+by doc_id in step 2, which says nothing on one with several texts; those wait for the second count,
+which is by set. Node keys are
 64 bits of a set's hash (wrong merges: about nodes squared / 2**65).
 """
 
@@ -83,8 +86,8 @@ def _sized(k: int):
         for batch in it:
             for first, end, h, of in token_sets(batch.column("text"), k):
                 key, size = set_keys(h, of, end - first)
-                ids = batch.column("doc_id").slice(first, end - first)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(key, pa.int64()), pa.array(size, pa.int64())], names=["doc_id", "key", "n"])
+                ids, hashes = (batch.column(c).slice(first, end - first) for c in ("doc_id", "text_hash"))
+                yield pa.RecordBatch.from_arrays([ids, hashes, pa.array(key, pa.int64()), pa.array(size, pa.int64())], names=["doc_id", "text_hash", "key", "n"])
 
     return run
 
@@ -141,10 +144,27 @@ def _counts(table: pa.Table) -> pa.Table:
     return pa.table({"id": pa.array(ids, pa.int64()), "unshared": pa.array(n, pa.int64())})
 
 
+def row_owners(ids: np.ndarray, text_hashes: np.ndarray) -> np.ndarray:
+    """One number for a doc_id and a text."""
+    return mix(mix(ids.view(np.uint64)) + text_hashes.view(np.uint64)).view(np.int64)
+
+
+def _send_texts(n_buckets: int):
+    """docs(doc_id, text, text_hash) -> blocks of texts, dealt by doc_id and text; equal rows of a batch once."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            owners = row_owners(blocks.ids_of(batch.column("doc_id")), blocks.ids_of(batch.column("text_hash")))
+            owners, at = np.unique(owners, return_index=True)
+            yield blocks.send_texts(blocks.bucket_of_ids(owners, n_buckets), owners, blocks.raw_texts(batch.column("text").take(pa.array(at))))
+
+    return run
+
+
 def _send_nodes(n_buckets: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            ids = blocks.ids_of(batch.column("id"))
+            ids = row_owners(blocks.ids_of(batch.column("id")), blocks.ids_of(batch.column("text_hash")))
             yield blocks.send_keys(blocks.bucket_of_ids(ids, n_buckets), batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64), ids)
 
     return run
@@ -208,10 +228,13 @@ def possible_nodes(docs: DataFrame, sized: DataFrame, k: int, percent: int, frac
     entries = docs.mapInArrow(_counted(k, n_buckets, fraction), blocks.KEYS_DDL)
     unshared = entries.groupBy("bucket").applyInArrow(_unshared(n_buckets), blocks.OWNERS_DDL)
     counts = unshared.groupBy("bucket").applyInArrow(_counts, "id long, unshared long")
-    each = sized.where("n > 0").select(F.coalesce("doc_id", F.lit(blocks.NO_ID)).alias("id"), "key", "n")
-    nodes = each.join(counts, "id", "left").groupBy("key").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.max(F.coalesce("unshared", F.lit(0))).alias("unshared"))
-    alive = nodes.where(F.col("unshared") <= F.col("n") - F.ceil(F.col("n") * percent / 100)).select("id", "key")
-    texts = docs.mapInArrow(blocks.texts_by_id(n_buckets), blocks.TEXTS_DDL)
+    each = sized.where("n > 0").select(F.coalesce("doc_id", F.lit(blocks.NO_ID)).alias("id"), "text_hash", "key", "n")
+    # the count of a doc_id is that of one set only if it has no other; the others wait for still_possible
+    single = each.groupBy("id").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a = b").select("id")
+    counts = counts.join(single, "id", "left_semi")
+    nodes = each.join(counts, "id", "left").groupBy("key").agg(F.min(F.struct("id", "text_hash")).alias("row"), F.max("n").alias("n"), F.max(F.coalesce("unshared", F.lit(0))).alias("unshared"))
+    alive = nodes.where(F.col("unshared") <= F.col("n") - F.ceil(F.col("n") * percent / 100)).select("row.id", "row.text_hash", "key")
+    texts = docs.mapInArrow(_send_texts(n_buckets), blocks.TEXTS_DDL)
     return texts.groupBy("bucket").cogroup(alive.mapInArrow(_send_nodes(n_buckets), blocks.KEYS_DDL).groupBy("bucket")).applyInArrow(_pick(k), "key long, n long, text binary")
 
 
@@ -352,10 +375,14 @@ def links(nodes: DataFrame, k: int, percent: int) -> DataFrame:
     return components(late.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
 
-def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, fraction: float = COUNTED) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n_shingles, component_id: the smallest doc_id reachable by links."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sized = written(docs.mapInArrow(_sized(k), "doc_id long, key long, n long"), "sized")
+def classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, fraction: float = COUNTED) -> DataFrame:
+    """docs(doc_id, text) -> a row each: doc_id, text_hash, n_shingles, root and component_id.
+
+    root tells components apart where a component_id (the smallest doc_id reachable by links) is that of several; it
+    means nothing without shingles. text_hash is xxhash64 of the text.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    sized = written(docs.mapInArrow(_sized(k), "doc_id long, text_hash long, key long, n long"), "sized")
     nodes = written(possible_nodes(docs, sized, k, percent, fraction), "nodes")
     nodes = written(still_possible(nodes, k, percent), "nodes")
     roots = links(nodes, k, percent)
@@ -363,7 +390,12 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, f
     keys = sized.where("n > 0").groupBy("key").agg(F.min(ids).alias("id"))
     placed = keys.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "id", F.coalesce("root", "key").alias("root"))
     least = placed.groupBy("root").agg(F.min("id").alias("component"))
-    of_key = placed.join(least, "root").select("key", "component")
+    of_key = placed.join(least, "root").select("key", "root", "component")
     found = sized.join(of_key, "key", "left")
     component = F.when(F.col("n") == 0, ids).otherwise(F.col("component"))
-    return found.select("doc_id", F.col("n").alias("n_shingles"), F.nullif(component, F.lit(blocks.NO_ID)).alias("component_id"))
+    return found.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "root", F.nullif(component, F.lit(blocks.NO_ID)).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, fraction: float = COUNTED) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, n_shingles, component_id: the smallest doc_id reachable by links."""
+    return classes(docs, k, percent, fraction).select("doc_id", "n_shingles", "component_id")

@@ -53,6 +53,30 @@ def test_stages(spark, place):
     assert {r.doc_id for r in packed} == {d for d, _ in rows(private)}
 
 
+def test_near_duplicates_that_share_ids(spark, tmp_path):
+    from random import Random
+
+    from pyspark.sql import functions as F
+
+    from panelspark.llm import jaccard
+
+    r = Random(3)
+    base, other, third = (fixtures.words(r, 100, 10**6) for _ in range(3))
+    text, near, lone, far = " ".join(base), " ".join([*base[:-1], "x"]), " ".join(other), " ".join(third)
+    table = [(None, text), (None, near), (None, lone), (4, far), (4, near), (4, near), (5, "a b c"), (5, "a b c"), (6, None), (6, ""), (6, "")]
+    fixtures.documents(str(tmp_path), table, False)
+    docs = read(spark, str(tmp_path), "documents")
+    classes = jaccard.classes(docs)
+    roots = {}
+    for x in classes.where("n_shingles > 0").join(docs.selectExpr("doc_id as d", "text", "xxhash64(text) as h").distinct(), F.expr("d <=> doc_id and h = text_hash")).collect():
+        roots.setdefault(x.text, set()).add(x.root)
+    assert roots[text] == roots[near] and len(roots[text]) == 1 and len(set().union(*roots.values())) == 4
+    one = rows(dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, str(tmp_path)))
+    kept = [t for _, t in one]
+    assert len([t for t in kept if t in (text, near)]) == 1
+    assert sorted(((d, t) for d, t in one if t not in (text, near)), key=str) == sorted([(None, lone), (4, far), (5, "a b c"), (6, None), (6, ""), (6, "")], key=str)
+
+
 def test_whole_run(spark, place):
     out = corpus_pipeline.run(spark, place)
     assert out.count() and set(out.columns) >= {"doc_id", "start", "length", "ids_crc32", "sequence_id", "offset"}
