@@ -407,8 +407,8 @@ def prob_lookup_left(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def role_classifier_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fits the role classifier on four fifths of the documents and counts right and wrong on the rest."""
-    rows = training.role_features(_roles(spark, sf_dir).where(F.col("role").isin("TEST_ROW", "SECTION_PANEL", "PAGE_FOOTER", "HEADER_SPECIMEN")).select("doc_id", "text", "y", "is_bold", F.col("role").alias("label")))
+    """Fits the role classifier on all rows of four fifths of the documents and counts right and wrong on the rest."""
+    rows = training.role_features(_roles(spark, sf_dir).select("doc_id", "text", "y", "is_bold", F.col("role").alias("label")))
     model = training.fit_role_classifier(rows.where("doc_id % 5 <> 0"))
     out = model.transform(rows.where("doc_id % 5 = 0").withColumn("weight", F.lit(1.0)))
     return out.groupBy("label", (F.col("index") == F.col("prediction")).alias("right")).agg(F.count("*").alias("n"))

@@ -51,6 +51,15 @@ def test_query_without_sql_has_rows(spark, name):
     assert QUERIES[name](spark, SUPPLIED).limit(1).count() == 1
 
 
+def test_role_classifier_judges_every_row(spark):
+    if not os.path.isdir(SUPPLIED):
+        pytest.skip("no supplied tables")
+    got = Counter()
+    for r in QUERIES["role_classifier_fit"](spark, SUPPLIED).collect():
+        got[r.label] += r.n
+    assert got == Counter(r.role for r in report._roles(spark, SUPPLIED).where("doc_id % 5 = 0").select("role").collect())
+
+
 def test_entry(spark):
     import __spark_entry__
 
