@@ -11,10 +11,17 @@ Steps, each one shuffle or a few:
 
 1. Equal sets are one node (hot groups of copies shrink to one). 2. A fixed fraction of the hash
    space is counted in blocks; a document with more tokens found nowhere else than it may miss has
-   no partner and goes no further. All tokens of those left are counted again in the same way. 3.
-   The few that remain get document frequencies, prefixes and signatures. 4. In each signature's list, leaders are verified against
-   the rest, and components formed; what remains to be verified are pairs of different components,
-   so a group of n near copies costs about n pairs, yet no link between components is lost.
+   no partner and goes no further. All tokens of those left are counted again in the same way.
+3. The few that remain get document frequencies, prefixes for every size class that a partner can
+   be of, and signatures. Each says how large the intersection with a partner found by it can be:
+   tokens that no other document has, and those before the first common one, aren't in it.
+4. In each signature's list, the member that lacks the fewest tokens of others is verified against
+   the rest, and components formed, so a group of n near copies costs about n pairs.
+5. What remains are pairs of different components. Where a leader has too few of a document's tokens
+   to make a link, a partner must share some of those outside the leader, so these are looked up,
+   rarest first; other pairs of a list are taken if their sizes and bounds allow a link. No link
+   between components is lost. Components and memberships are computed, not the number of a
+   document's links: inside a group of n copies that would take all its pairs.
 
 Cases: a null or empty text, or one without words, has an empty set and is linked with nothing; a
 text of fewer than five words is one shingle; rows with equal doc_id and text count once in the
@@ -27,6 +34,7 @@ which is by set. Node keys are
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -45,11 +53,15 @@ PERCENT = 75
 #: Fraction of the hash space whose tokens are counted. It must exceed 1 - PERCENT / 100, the share a document may miss.
 COUNTED = 0.4
 #: Tokens in up to so many documents are of class 1, 2; the rest of class 3.
-CLASSES = (32, 1024)
+FREQUENT = (32, 1024)
 #: Below so many tokens every token stands for itself.
 SMALL = 24
-#: Of a list's members, so many are leaders to which the rest are compared first.
+#: Size classes from a size to 100 / percent times that size.
+FINE = 4
+#: Lists with equally good leaders choose in so many ways.
 LEADERS = 4
+#: Keys of more than a HOT-th of a table's rows, and more than MANY rows, are joined apart from the rest.
+HOT, MANY = 20_000, 2_000
 #: Rows that a Python step works on at a time, and members of a list that travel in one row.
 SLICE = 500
 
@@ -61,13 +73,6 @@ def token_sets(texts: pa.Array, k: int = SHINGLE) -> Iterator[tuple[int, int, np
         yield first, first + len(words.first) - 1, h, of
 
 
-def sets_list(texts: list[bytes], k: int = SHINGLE) -> list[np.ndarray]:
-    out: list[np.ndarray] = []
-    for first, end, h, of in token_sets(pa.array(texts, pa.large_binary()), k):
-        out += np.split(h, np.searchsorted(of, np.arange(1, end - first)))
-    return out
-
-
 def set_keys(h: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(key, size) of each of n sets; equal sets have equal keys."""
     ends = np.searchsorted(of, np.arange(n + 1))
@@ -76,11 +81,6 @@ def set_keys(h: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndar
     return mix(sums[ends[1:]] - sums[ends[:-1]] + size.astype(np.uint64)).view(np.int64), size
 
 
-def may_miss(n: np.ndarray | int, percent: int):
-    """How many of its n tokens a document's partner can lack."""
-    return n - -(-n * percent // 100)
-
-
 def _sized(k: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -240,142 +240,227 @@ def possible_nodes(docs: DataFrame, sized: DataFrame, k: int, percent: int, frac
 
 def _node_tokens(k: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            keys = batch.column("key").to_numpy(zero_copy_only=False)
-            for first, _, h, of in token_sets(batch.column("text"), k):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[first + of], pa.int64()), pa.array(h.view(np.int64), pa.int64())], names=["key", "token"])
+        for whole in it:
+            for i in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(i, SLICE)
+                keys = batch.column("key").to_numpy(zero_copy_only=False)
+                for first, _, h, of in token_sets(batch.column("text"), k):
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[first + of], pa.int64()), pa.array(h.view(np.int64), pa.int64())], names=["key", "token"])
 
     return run
 
 
-def size_class(n: int, percent: int) -> int:
-    """Partners' classes differ by one at most."""
-    c = 0
-    bound = 1.0
-    while bound * 100 / percent <= n:
-        bound *= 100 / percent
-        c += 1
-    return c
+def profiles(nodes: DataFrame, k: int, percent: int) -> DataFrame:
+    """key, n, tokens, dfs of nodes(key, n, text): the tokens that several nodes have, rarest first, if they are enough for a partner of any size."""
+    tokens = written(nodes.select("key", "text").mapInArrow(_node_tokens(k), "key long, token long"), "tokens")
+    dfs = written(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "frequencies")
+    shared = join_hot(tokens, dfs, "token", "df", tokens.count())
+    shared = shared.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t")).select("key", F.col("t.token").alias("tokens"), F.col("t.df").alias("dfs"))
+    return written(nodes.select("key", "n").join(shared, "key").where(F.size("tokens") * 100 >= F.col("n") * percent), "profiles")
+
+
+def class_bounds(percent: int, most: int = 1 << 40) -> list[int]:
+    """Least sizes of the size classes: FINE of them from a size to the least that can be too large for it."""
+    out, x, step = [1], 1.0, max(1.01, (100 / percent) ** (1 / FINE))
+    while out[-1] < most:
+        x = max(x * step, out[-1] + 1)
+        out.append(int(x))
+    return out
+
 
+def needed(n: int, m: int, percent: int) -> int:
+    """The least intersection of sets of n and m tokens that are alike."""
+    return -(-percent * (n + m) // (100 + percent))
 
-def signatures(tokens: np.ndarray, df: dict[int, int], percent: int, classes: tuple[int, ...] = CLASSES) -> list[int]:
-    """Of one set: hashes of the token combinations of its prefix, for partners of its own size class and of the next.
 
-    df: in how many nodes its tokens are; a token that isn't there is in no other.
+def signatures(tokens: np.ndarray, freq: np.ndarray, n: int, percent: int, bounds: list[int], frequent: tuple[int, ...] = FREQUENT) -> list[tuple[int, int]]:
+    """(signature, most) of a set of n tokens, of which ``tokens`` are in several sets (``freq`` of them): hashes of the token
+    combinations of its prefixes, one prefix for each size class that a partner can be of. ``most``: of a pair that is alike, one
+    common signature at least doesn't have a lesser ``most`` than the intersection.
     """
-    freq = np.array([df.get(x, 1) for x in tokens.view(np.int64).tolist()], np.int64)
-    kind = np.searchsorted(classes, freq, side="left") + 1
     order = np.lexsort((tokens, freq))
-    rows = list(zip(tokens[order].tolist(), freq[order].tolist(), kind[order].tolist(), strict=True))
-    need = may_miss(len(tokens), percent) + 1
-    own = size_class(len(tokens), percent)
-    out: set[int] = set()
-    for size in (own, own + 1):
-        smallest = (100 / percent) ** (size - 1)
-        small = smallest < SMALL
-        parts = max(1, int(smallest / 12))
-        gained = 0
+    tokens, freq = tokens[order], freq[order]
+    c, missing = len(tokens), n - len(tokens)
+    least, largest = -(-n * percent // 100), c * (100 + percent) // percent - n
+    if largest < least:
+        return []
+    kind = np.searchsorted(frequent, freq, side="left") + 1
+    alone = int(np.searchsorted(kind, 1, side="right"))
+    own = bisect_right(bounds, n) - 1
+    singles, combined = 0, {}
+    for other in range(bisect_right(bounds, least) - 1, bisect_right(bounds, largest)):
+        need = n - needed(n, max(least, bounds[other]), percent) + 1 - missing
+        if need <= 0:
+            continue
+        smallest = bounds[min(own, other)]
+        if smallest < SMALL:
+            singles = max(singles, need)
+            continue
+        singles = max(singles, min(need, alone))
+        if need <= alone:
+            continue
+        parts, gained = max(1, smallest // 12), alone
+        pair = (min(own, other) << 20) + max(own, other) + 1
         groups: dict[tuple[int, int], list[int]] = {}
-        for x, f, c in rows:
-            together = 1 if small else c
-            group = groups.setdefault((c, 0 if together == 1 else (x >> 8) % parts), [])
-            group.append(x if f > 1 else -1)
+        for x, together in zip(tokens[alone:].tolist(), kind[alone:].tolist(), strict=True):
+            group = groups.setdefault((together, (x >> 8) % parts), [])
+            group.append(x)
             gained += len(group) >= together
             if gained >= need:
                 break
-        for (c, _), group in groups.items():
-            together = 1 if small else c
-            for some in combinations([x for x in group if x >= 0], together):
-                h = 0 if together == 1 else size + 1  # single tokens serve partners of either class
-                for x in sorted(some):
+        for (together, _), group in groups.items():
+            for some in combinations(sorted(group), together):
+                h = pair
+                for x in some:
                     h = (h * BASE + x) & 0xFFFFFFFFFFFFFFFF
-                out.add(h)
-    return mix(np.array(sorted(out), np.uint64)).view(np.int64).tolist() if out else []
+                combined[h] = c
+    # of single tokens, the first that both have has no common one before it
+    out = list(zip(mix(tokens[:singles]).view(np.int64).tolist(), range(c, c - singles, -1), strict=True)) if singles else []
+    if combined:
+        out += [(x, c) for x in mix(np.array(list(combined), np.uint64)).view(np.int64).tolist()]
+    return out
+
 
+def _signed(percent: int, frequent: tuple[int, ...]):
+    """key, n, token, df, a row a token, those of a key together -> sig, key, n, most."""
+    names = ("key", "n", "token", "df")
 
-def _signed(k: int, percent: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in it:
-            for i in range(0, whole.num_rows, SLICE):
-                batch = whole.slice(i, SLICE)
-                rows = zip(batch.column("key").to_pylist(), batch.column("n").to_pylist(), sets_list(batch.column("text").to_pylist(), k), batch.column("tokens"), batch.column("dfs"), strict=True)
-                sig, key, size = [], [], []
-                for node, n, tokens, shared, dfs in rows:
-                    found = signatures(tokens, dict(zip(shared.as_py() or [], dfs.as_py() or [], strict=True)), percent)
-                    sig += found
-                    key += [node] * len(found)
-                    size += [n] * len(found)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (sig, key, size)], names=["sig", "key", "n"])
+        bounds = class_bounds(percent)
+        rest = [np.empty(0, np.int64)] * 4
+
+        def signed(cols: list[np.ndarray]) -> pa.RecordBatch:
+            out: list[tuple[int, int, int, int]] = []
+            cuts = np.flatnonzero(np.diff(cols[0])) + 1
+            for key, n, token, df in zip(*(np.split(x, cuts) for x in cols), strict=True):
+                if len(key):
+                    out += [(sig, int(key[0]), int(n[0]), most) for sig, most in signatures(token.view(np.uint64), df, int(n[0]), percent, bounds, frequent)]
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out, strict=True) if out else [[]] * 4)], names=["sig", "key", "n", "most"])
+
+        for batch in it:
+            cols = [np.concatenate([r, batch.column(x).to_numpy(zero_copy_only=False)]) for r, x in zip(rest, names, strict=True)]
+            ends = np.flatnonzero(np.diff(cols[0]))
+            whole = int(ends[-1]) + 1 if len(ends) else 0
+            rest = [x[whole:] for x in cols]
+            if whole:
+                yield signed([x[:whole] for x in cols])
+        yield signed(rest)
 
     return run
 
 
-def _alike(k: int, percent: int):
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in it:
-            for i in range(0, whole.num_rows, 256):
-                batch = whole.slice(i, 256)
-                texts: dict[bytes, int] = {}
-                sides = [[texts.setdefault(t, len(texts)) for t in batch.column(c).to_pylist()] for c in ("a_text", "b_text")]
-                sets = sets_list(list(texts), k)
-                good = []
-                for x, y in zip(*sides, strict=True):
-                    both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-                    good.append(100 * both >= percent * (len(sets[x]) + len(sets[y]) - both))
-                keep = pa.array(good, pa.bool_())
-                yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], names=["a", "b"])
+def join_hot(left: DataFrame, right: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """Inner join of left with right(key, size, ...), where size says how many of left's ``total`` rows have the key.
+
+    Keys of more than a HOT-th of all rows are at most HOT, so they are broadcast and their rows stay where they are.
+    """
+    limit = max(MANY, total // HOT)
+    hot = right.where(F.col(size) > limit)
+    cold = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right.where(F.col(size) <= limit), key)
+    return left.join(F.broadcast(hot), key).unionByName(cold)
 
-    return run
 
+def side_by_side(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """pairs(a, b) of nodes, with a_n, a_tokens, b_n and b_tokens of their profiles.
 
-def verified(pairs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of pairs(a, b) of nodes that are alike. A pair moves with one text, to where the other is."""
-    first = pairs.join(nodes.select(F.col("key").alias("b"), F.col("text").alias("b_text")), "b")
-    both = first.join(nodes.select(F.col("key").alias("a"), F.col("text").alias("a_text")), "a")
-    return both.select("a", "b", "a_text", "b_text").mapInArrow(_alike(k, percent), "a long, b long")
+    The profile of a node in more than a HOT-th of all pairs is sent to several tasks, and its pairs are dealt over them.
+    """
+    limit = max(MANY, pairs.count() // HOT)
+    both = pairs
+    for side, other in (("b", "a"), ("a", "b")):
+        often = pairs.groupBy(side).agg(F.count("*").alias("often")).where(F.col("often") > limit)
+        hot = F.broadcast(often.select(side, F.expr(f"int(often div {limit})").alias("salts")))
+        both = both.join(hot, side, "left").withColumn("salt", F.expr(f"int(pmod(xxhash64({other}), coalesce(salts, 0) + 1))")).drop("salts")
+        copies = found.select(F.col("key").alias(side), F.col("n").alias(f"{side}_n"), F.col("tokens").alias(f"{side}_tokens")).join(hot, side, "left")
+        copies = copies.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(0))))).drop("salts")
+        both = both.join(copies, [side, "salt"]).drop("salt")
+    return both
+
+
+def _needed(percent: int, n: str, m: str) -> str:
+    """SQL of needed()."""
+    return f"(({percent} * ({n} + {m}) + {99 + percent}) div {100 + percent})"
 
 
-def _comparable(percent: int, n: str, m: str) -> str:
-    return f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m})"
+def _may_be(percent: int, n: str, most: str, m: str, other: str) -> str:
+    """SQL: sets of n and m tokens whose intersection is bounded can be alike."""
+    return f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m}) and least({most}, {other}) >= {_needed(percent, n, m)}"
 
 
-def links(nodes: DataFrame, k: int, percent: int) -> DataFrame:
+def beside_leaders(led: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components among nodes compared with one leader, which may be alike though the leader has too little of one.
+
+    led(leader, lroot, least, key, root, n, common, outside): of each node compared, its tokens that the leader has (how many)
+    and hasn't (which). If x lacks d of the common tokens it needs even with all the leader has of it, its partner must share d
+    of x's tokens outside the leader: one of them is among all but the last d - 1 of these, rarest first.
+    """
+    lacks = f"greatest(1, {_needed(percent, 'n', 'least')} - common)"
+    mine = led.where("root <> lroot").select("leader", "key", "n", "common", "root", F.size("outside").alias("s"), F.explode(F.expr(f"slice(outside, 1, greatest(0, size(outside) - {lacks} + 1))")).alias("token"))
+    theirs = led.select("leader", F.col("key").alias("o_key"), F.col("n").alias("o_n"), F.col("common").alias("o_common"), F.col("root").alias("o_root"), F.size("outside").alias("o_s"), F.explode("outside").alias("token"))
+    need = _needed(percent, "n", "o_n")
+    met = mine.join(theirs, ["leader", "token"]).where(f"root <> o_root and common < {need} and least(common, o_common) + least(s, o_s) >= {need} and 100 * least(n, o_n) >= {percent} * greatest(n, o_n)")
+    return met.select(F.least("key", "o_key").alias("a"), F.greatest("key", "o_key").alias("b")).distinct()
+
+
+def beside_lists(placed: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components in one list that beside_leaders() doesn't judge, as the leader has enough of both for a partner of that size.
+
+    placed(sig, leader, lroot, least, key, root, n, most, common): a list's members but the leader. Of two members of
+    different components one isn't of the leader's, so only those others go through the list, in lots of about SLICE members.
+    """
+    others = written(placed.where(f"root <> lroot and common >= {_needed(percent, 'n', 'least')}"), "others")
+    sizes = placed.groupBy("sig").agg(F.count("*").alias("c"))
+    others = others.join(sizes, "sig").where("c > 1")
+    reach = F.max(F.expr(f"common * {100 + percent} div {percent} - n"))  # the largest partner that the leader has enough for
+    lists = others.groupBy("sig").agg(F.expr(f"int(max(c) div {SLICE})").alias("more"), reach.alias("reach"))
+    members = placed.join(lists, "sig").where("n <= reach")
+    lots = members.groupBy("sig", F.pmod(F.xxhash64("key"), F.col("more") + 1).alias("lot")).agg(F.collect_list(F.struct("key", "n", "most", "root", "common")).alias("members"))
+    need = _needed(percent, "n", "o.n")
+    elsewhere = f"common < {need} or o.root <> lroot and o.common < {need}"
+    fits = f"o.root <> root and (o.root = lroot or o.key > key) and {_may_be(percent, 'n', 'most', 'o.n', 'o.most')} and not ({elsewhere})"
+    met = others.join(lots, "sig").select("key", "lot", F.expr(f"transform(filter(members, o -> {fits}), o -> o.key)").alias("partners")).where(F.size("partners") > 0)
+    met = met.groupBy("key", "lot").agg(F.array_distinct(F.flatten(F.collect_list("partners"))).alias("partners")).select("key", F.explode("partners").alias("partner"))
+    return met.select(F.least("key", "partner").alias("a"), F.greatest("key", "partner").alias("b")).distinct()
+
+
+def links(nodes: DataFrame, k: int, percent: int, frequent: tuple[int, ...] = FREQUENT) -> DataFrame:
     """node, root of the components of nodes(key, n, text) that have links."""
-    tokens = nodes.select("key", "text").mapInArrow(_node_tokens(k), "key long, token long")
-    df = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    shared = tokens.join(df, "token").groupBy("key").agg(F.collect_list("token").alias("tokens"), F.collect_list("df").alias("dfs"))
-    signed = nodes.join(shared, "key", "left").select("key", "n", "text", "tokens", "dfs").mapInArrow(_signed(k, percent), "sig long, key long, n long")
-    sigs = written(signed, "signatures")
+    found = profiles(nodes, k, percent)
+    each = found.select("key", "n", F.explode(F.arrays_zip("tokens", "dfs")).alias("t")).select("key", "n", F.col("t.tokens").alias("token"), F.col("t.dfs").alias("df"))
+    sigs = written(each.mapInArrow(_signed(percent, frequent), "sig long, key long, n long, most long"), "signatures")
+    total = sigs.count()
 
+    # A list's leader lacks the fewest tokens of others, so that the most are alike to it
     rank = F.xxhash64("key", F.pmod("sig", F.lit(LEADERS)))
-    leaders = sigs.groupBy("sig").agg(F.min(F.struct(rank.alias("r"), F.col("key").alias("leader"), F.col("n").alias("m"))).alias("l"), F.count("*").alias("c")).where("c > 1").select("sig", "l.leader", "l.m")
-    led = sigs.join(leaders, "sig").where(f"key <> leader and {_comparable(percent, 'n', 'm')}")
-    pairs = written(led.select(F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b")).distinct(), "pairs")
-    edges = verified(pairs, nodes, k, percent)
-    roots = written(components(edges), "roots")
-
-    placed = sigs.join(roots.withColumnRenamed("node", "key"), "key", "left").select("sig", "key", "n", F.coalesce("root", "key").alias("root"))
-    sides = placed.groupBy("sig", "root").agg(F.count("*").alias("c"))
-    most = F.max_by("root", F.struct("c", "root")).alias("major")
-    mixed = sides.groupBy("sig").agg(most, F.sum("c").alias("c"), F.count("*").alias("roots")).where("roots > 1").select("sig", "major", F.expr(f"cast(c div {SLICE} as int)").alias("more"))
-    open_ = written(placed.join(mixed, "sig"), "open")
-    # Lists in lots of about SLICE members. Of two members of different components one at least isn't of the list's
-    # largest, so only those others go through the lots; partners are made distinct before they are rows.
-    lot = F.pmod(F.xxhash64("key"), F.col("more") + 1)
-    lots = open_.groupBy("sig", lot.alias("lot")).agg(F.collect_list(F.struct("key", "n", "root")).alias("others"))
-    other = lambda o: (o["root"] != F.col("root")) & ((o["root"] == F.col("major")) | (o["key"] > F.col("key"))) & (F.least("n", o["n"]) * 100 >= F.greatest("n", o["n"]) * percent)
-    met = open_.where("root <> major").join(lots, "sig").select("key", "lot", F.transform(F.filter("others", other), lambda o: o["key"]).alias("partners")).where(F.size("partners") > 0)
-    crossing = met.groupBy("key", "lot").agg(F.array_distinct(F.flatten(F.collect_list("partners"))).alias("partners")).select("key", F.explode("partners").alias("partner"))
-    crossing = crossing.select(F.least("key", "partner").alias("a"), F.greatest("key", "partner").alias("b")).distinct()
-    rest = crossing.join(pairs, ["a", "b"], "left_anti")
-    late = written(verified(rest, nodes, k, percent), "edges")
+    first = F.min(F.struct((F.col("n") - F.col("most")).alias("lack"), rank.alias("rank"), F.col("key").alias("leader")))
+    leaders = written(sigs.groupBy("sig").agg(first.alias("l"), F.count("*").alias("c"), F.min("n").alias("least")).where("c > 1").select("sig", "c", "least", "l.leader"), "leaders")
+    # who can't have a partner of even the list's least size leaves it
+    members = join_hot(sigs, leaders, "sig", "c", total).where(f"key <> leader and most >= {_needed(percent, 'n', 'least')}")
+    members = written(members.select("sig", "key", "n", "most", "leader", "least"), "members")
+    pairs = written(members.select(F.col("key").alias("a"), F.col("leader").alias("b")).distinct(), "pairs")
+    compared = written(
+        side_by_side(pairs, found).select(F.col("a").alias("key"), F.col("b").alias("leader"), F.col("a_n").alias("n"), F.col("b_n").alias("m"), F.size(F.array_intersect("a_tokens", "b_tokens")).alias("common"), F.array_except("a_tokens", "b_tokens").alias("outside")),
+        "compared",
+    )
+    roots = written(components(compared.where(f"common >= {_needed(percent, 'n', 'm')}").select(F.col("key").alias("a"), F.col("leader").alias("b"))), "roots")
+
+    root_of = lambda node, name: roots.select(F.col("node").alias(node), F.col("root").alias(name))
+    heads = compared.groupBy("leader").agg(F.min("n").alias("least"), F.count("*").alias("c")).join(root_of("leader", "lroot"), "leader", "left").withColumn("lroot", F.coalesce("lroot", "leader"))
+    led = compared.join(root_of("key", "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    led = written(join_hot(led, heads, "leader", "c", compared.count()), "led")
+    placed = members.join(led.select("key", "leader", "root", "lroot", "common"), ["key", "leader"])
+    crossing = beside_leaders(led, percent).unionByName(beside_lists(written(placed, "placed"), percent)).distinct()
+    known = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    crossing = crossing.join(known, ["a", "b"], "left_anti")
+    late = side_by_side(written(crossing, "crossing"), found).where(F.size(F.array_intersect("a_tokens", "b_tokens")) >= F.expr(_needed(percent, "a_n", "b_n"))).select("a", "b")
+    late = written(late, "edges")
     if late.isEmpty():
         return roots
     # late edges, and each node's tie to its root, are one more graph
     return components(late.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
 
-def classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, fraction: float = COUNTED) -> DataFrame:
+def classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, fraction: float = COUNTED, frequent: tuple[int, ...] = FREQUENT) -> DataFrame:
     """docs(doc_id, text) -> a row each: doc_id, text_hash, n_shingles, root and component_id.
 
     root tells components apart where a component_id (the smallest doc_id reachable by links) is that of several; it
@@ -385,7 +470,7 @@ def classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, fraction:
     sized = written(docs.mapInArrow(_sized(k), "doc_id long, text_hash long, key long, n long"), "sized")
     nodes = written(possible_nodes(docs, sized, k, percent, fraction), "nodes")
     nodes = written(still_possible(nodes, k, percent), "nodes")
-    roots = links(nodes, k, percent)
+    roots = links(nodes, k, percent, frequent)
     ids = F.coalesce("doc_id", F.lit(blocks.NO_ID))
     keys = sized.where("n > 0").groupBy("key").agg(F.min(ids).alias("id"))
     placed = keys.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "id", F.coalesce("root", "key").alias("root"))
@@ -396,6 +481,6 @@ def classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, fraction:
     return found.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "root", F.nullif(component, F.lit(blocks.NO_ID)).alias("component_id"))
 
 
-def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, fraction: float = COUNTED) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, fraction: float = COUNTED, frequent: tuple[int, ...] = FREQUENT) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_shingles, component_id: the smallest doc_id reachable by links."""
-    return classes(docs, k, percent, fraction).select("doc_id", "n_shingles", "component_id")
+    return classes(docs, k, percent, fraction, frequent).select("doc_id", "n_shingles", "component_id")

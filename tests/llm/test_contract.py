@@ -136,9 +136,9 @@ def test_near_duplicates(spark, place):
     assert ordered(got) == ordered(brute.alike(table(place, "documents", "doc_id", "text")))
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(4))
 def test_near_duplicates_of_frequent_tokens(spark, tmp_path, monkeypatch, seed):
-    """Few words, so that tokens are in many documents: classes are set low to use combinations."""
+    """Few words, so that tokens are in many documents: combinations, hot keys and lots begin early."""
     from random import Random
 
     from panelspark.llm import jaccard
@@ -146,34 +146,45 @@ def test_near_duplicates_of_frequent_tokens(spark, tmp_path, monkeypatch, seed):
     r = Random(seed)
     rows, base = [], [f"v{r.randrange(9)}" for _ in range(80)]
     for i in range(160):
-        some = [f"v{r.randrange(9)}" if r.random() < 0.045 else w for w in base]
-        rows.append((i, " ".join(some[: r.randrange(40, 80)])))
-        if r.random() < 0.1:
-            base = [f"v{r.randrange(9)}" if r.random() < 0.3 else w for w in base]
+        if seed % 2:  # edits of one text, by words that edits have in common
+            some = list(base)
+            for _ in range(r.randrange(7)):
+                some[r.randrange(80)] = f"e{r.randrange(3)}"
+            rows.append((i, " ".join(some[: r.choice([74, 76, 80, 80, 80])])))
+        else:  # one text that drifts
+            some = [f"v{r.randrange(9)}" if r.random() < 0.045 else w for w in base]
+            rows.append((i, " ".join(some[: r.randrange(40, 80)])))
+            if r.random() < 0.1:
+                base = [f"v{r.randrange(9)}" if r.random() < 0.3 else w for w in base]
     fixtures.documents(str(tmp_path), rows)
-    monkeypatch.setattr(jaccard, "CLASSES", (3, 12))
-    monkeypatch.setattr(jaccard, "SLICE", 7)
-    got = result(spark, "op4_near_duplicates", str(tmp_path), "doc_id", "n_shingles", "component_id")
-    assert ordered(got) == ordered(brute.alike(rows))
+    for name, value in (("SLICE", 7), ("HOT", 5), ("MANY", 3)):
+        monkeypatch.setattr(jaccard, name, value)
+    found = jaccard.near_duplicates(spark.read.parquet(f"{tmp_path}/documents.parquet"), frequent=(3, 12))
+    assert ordered(tuple(r) for r in found.select("doc_id", "n_shingles", "component_id").collect()) == ordered(brute.alike(rows))
 
 
 def test_signatures_lose_no_link():
-    """Any two sets over the threshold have a signature in common."""
+    """Any two sets over the threshold have a signature in common whose bounds allow it."""
     from panelspark.llm import jaccard
 
     r = np.random.default_rng(3)
+    bounds = jaccard.class_bounds(75)
     checked = 0
-    for _ in range(400):
-        n = int(r.integers(1, 120))
-        pool = r.choice(1 << 40, 400, replace=False).astype(np.uint64)
+    for _ in range(600):
+        n = int(r.integers(1, 320))
+        pool = r.choice(1 << 40, 800, replace=False).astype(np.uint64)
         a = set(pool[:n].tolist())
         out = int(r.integers(0, n // 5 + 1))
         b = set(pool[out:n].tolist()) | set(pool[n : n + int(r.integers(0, n // 6 + 1))].tolist())
         if not b or 100 * len(a & b) < 75 * len(a | b):
             continue
-        df = {int(np.uint64(x).view(np.int64)): int(r.choice([2, 9, 40, 300, 5000])) for x in a & b}
-        sides = [set(jaccard.signatures(np.array(sorted(s), np.uint64), df, 75)) for s in (a, b)]
-        assert sides[0] & sides[1]
+        some = np.array(sorted(a & b | set(r.choice(sorted(a | b), len(a | b) // 2).tolist())), np.uint64)
+        df = dict(zip(some.tolist(), r.choice([2, 9, 40, 300, 5000], len(some)).tolist(), strict=True))
+        sides = []
+        for s in (a, b):
+            shared = np.array([x for x in sorted(s) if x in df], np.uint64)
+            sides.append(dict(jaccard.signatures(shared, np.array([df[x] for x in shared.tolist()]), len(s), 75, bounds)))
+        assert max(min(sides[0][x], sides[1][x]) for x in sides[0].keys() & sides[1].keys()) >= len(a & b)
         checked += 1
     assert checked > 100
 
