@@ -34,7 +34,18 @@ ROLE_RULES = [
 SERVED_ROLES = ["PAGE_HEADER", "PAGE_FOOTER", "HEADER_PATIENT", "HEADER_SPECIMEN", "SECTION_PANEL", "TEST_ROW", "COMMENT", "SECTION_MISC", "JUNK"]
 JOB_STATUSES = ["queued", "processing", "completed", "failed", "cancelled"]
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
-# Thresholds and weights.
+KNOWN_UNITS = ["mg/dl", "g/dl", "mmol/l", "uiu/ml", "iu/l", "ng/ml", "pg/ml", "u/l", "k/ul", "m/ul", "%", "mcg/dl", "ug/dl", "mg/l", "g/l", "copies/ml", "fl", "pg", "iu"]
+MEDICAL_WORDS = ["lab", "laboratory", "pathology", "clinical", "medical", "health", "test", "specimen", "patient", "doctor", "physician", "md", "clia"]
+LABEL_WORDS = ["patient", "name", "dob", "birth", "sex", "gender", "male", "female", "mrn", "id", "number", "account", "accession", "specimen", "sample", "collected", "received", "reported", "date", "time", "doctor", "physician", "provider", "ordering", "clinic", "lab", "laboratory", "clia", "address", "phone", "fax", "director", "report"]
+PANEL_INDICATORS = ["comprehensive metabolic panel", "cmp", "complete blood count", "cbc", "lipid panel", "liver function", "kidney function", "thyroid", "basic metabolic panel", "bmp", "electrolytes", "chemistry"]
+HEADER_TERMS = ["Specimen ID", "Acct #", "Phone", "Client", "Rte"]
+GUARD_UNITS = ["mg/dL", "g/dL", "mEq/L", "mmol/L", "uIU/mL", "IU/L", "ng/mL", "pg/mL", "mcg/dL", "ug/dL", "mg/L", "g/L", "%", "ratio", "index", "units/L", "U/L", "mU/L", "fL", "pg", "K/uL", "M/uL", "cells/uL", "per hpf", "copies/mL", "cells/mL", "mg", "g", "mL", "L", "cm", "mm", "bpm"]
+CODE_FORM = "(?i)(?:^|[^A-Za-z0-9_]){kind}[ \t]*[:#]?[ \t]*([A-Za-z0-9-]+)"
+# Thresholds and weights: fixed values too.
+STITCH_GAP = 28  # units of x between cells that are one row
+LOW_CONFIDENCE = 0.7
+FIELD_FLOORS = {"name": 0.4, "value": 0.6, "unit": 0.6, "range": 0.5}
+LEAST_CONTINUITY, WEAK_CONTINUITY = 0.25, 0.5
 ROW_TOLERANCE = 6  # thousandths of the page height
 ROW_WEIGHTS = {"value": 0.3, "unit": 0.25, "range": 0.2, "name": 0.15, "classifier": 0.1}
 PANEL_WEIGHTS = (0.5, 0.25, 0.25)

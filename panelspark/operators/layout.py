@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelspark.functions.lexicons import ROW_TOLERANCE
+from panelspark.functions.lexicons import ROW_TOLERANCE, STITCH_GAP
 
 
 def row_bins(cells: DataFrame, tolerance: int = ROW_TOLERANCE) -> DataFrame:
@@ -43,6 +43,57 @@ def merge_rows(cells: DataFrame, tolerance: int = ROW_TOLERANCE) -> DataFrame:
     return merged.withColumn("row_no", F.row_number().over(W.partitionBy("doc_id").orderBy("page", "bin")).cast("long"))
 
 
+def missing_pages(pages: DataFrame) -> DataFrame:
+    """Page numbers missing between 1 and the last page of each document (anti join)."""
+    every = pages.groupBy("doc_id").agg(F.max("page").alias("last")).select("doc_id", F.explode(F.sequence(F.lit(1), "last")).alias("page"))
+    return every.join(pages.select("doc_id", "page"), ["doc_id", "page"], "left_anti")
+
+
+def ocr_lines(words: DataFrame, least: int = 30, font_share: float = 0.75) -> DataFrame:
+    """Recognised words (doc_id, block, par, line, seq, text, conf, left, top, width, height) as lines: text, extent, top and font size."""
+    some = words.where((F.col("conf") >= least) & (F.trim("text") != ""))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.trim("text").alias("t")))), lambda w: w["t"]), " ")
+    return some.groupBy("doc_id", "block", "par", "line").agg(text.alias("text"), F.min("left").alias("x_left"), F.max(F.col("left") + F.col("width")).alias("x_right"), F.min("top").alias("top"), F.round(F.avg("height") * font_share, 6).alias("font"))
+
+
+def stitch_groups(cells: DataFrame, tolerance: int = ROW_TOLERANCE, gap: int = STITCH_GAP) -> DataFrame:
+    """Runs of two cells or more in list order, each within the tolerance of the one before, no two of which are far apart in x.
+
+    cells: doc_id, page, line_no, x, x_right, y, text -> doc_id, page, run, n, text (from left to right).
+    """
+    order = W.partitionBy("doc_id", "page").orderBy("line_no")
+    before = F.lag("y").over(order)
+    runs = cells.withColumn("_new", F.when(before.isNull() | (F.abs(F.col("y") - before) > tolerance), 1).otherwise(0)).withColumn("run", F.sum("_new").over(order))
+    across = W.partitionBy("doc_id", "page", "run").orderBy("x", "line_no")
+    spaced = runs.withColumn("_gap", F.lead("x").over(across) - F.col("x_right"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "line_no", "text"))), lambda c: c["text"]), " ")
+    return spaced.groupBy("doc_id", "page", "run").agg(F.count("*").alias("n"), F.max("_gap").alias("_gap"), text.alias("text")).where((F.col("n") >= 2) & (F.col("_gap") <= gap)).drop("_gap")
+
+
+def stitch_candidates(rows: DataFrame, reach: int = 5, tolerance: int = ROW_TOLERANCE) -> DataFrame:
+    """For each row the others within ``reach`` places on its page that are at its height or are result rows."""
+    near = W.partitionBy("doc_id").orderBy("row_no").rowsBetween(-reach, reach)
+    around = rows.withColumn("_near", F.collect_list(F.struct("row_no", "page", "y", "role")).over(near))
+    fits = lambda o: (o["row_no"] != F.col("row_no")) & (o["page"] == F.col("page")) & ((F.abs(o["y"] - F.col("y")) <= tolerance) | (o["role"] == "TEST_ROW"))
+    return around.select("doc_id", "row_no", F.array_join(F.transform(F.array_sort(F.filter("_near", fits)), lambda o: o["row_no"].cast("string")), ",").alias("candidates"))
+
+
+def page_texts(lines: DataFrame) -> DataFrame:
+    """Lines in order -> a row for each run of lines of one page, with the run's text."""
+    order = W.partitionBy("doc_id").orderBy("line_no")
+    turned = F.coalesce((F.col("page") != F.lag("page").over(order)).cast("int"), F.lit(1))
+    runs = lines.withColumn("_turn", turned).withColumn("run", F.sum("_turn").over(order))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n")
+    return runs.groupBy("doc_id", "run").agg(F.first("page").alias("page"), F.count("*").alias("n_lines"), text.alias("text"))
+
+
+def roles_of_cells(cells: DataFrame, rows: DataFrame, tolerance: int = ROW_TOLERANCE) -> DataFrame:
+    """The role of the row that each cell went into; JUNK with 0.1 where the row was dropped."""
+    roles = rows.select("doc_id", "page", "bin", "role", "role_confidence")
+    out = row_bins(cells, tolerance).join(roles, ["doc_id", "page", "bin"], "left")
+    return out.select("doc_id", "line_no", F.coalesce("role", F.lit("JUNK")).alias("role"), F.coalesce("role_confidence", F.lit(0.1)).alias("role_confidence"))
+
+
 def low_text_pages(pages: DataFrame, least: int = 25) -> DataFrame:
     """Pages (doc_id, page, text) with little text, and numbers missing between 1 and the last page."""
     sizes = pages.groupBy("doc_id", "page").agg(F.sum(F.length(F.trim("text"))).alias("chars"))
@@ -66,13 +117,24 @@ def words_of(text: Column) -> Column:
 
 
 def repeated_pairs(rows: DataFrame, percent: int = 85, near: int = 100) -> DataFrame:
-    """Pairs of edge rows on different pages of a document with like words (Jaccard) at like heights."""
-    r = rows.where(edge(F.col("y"))).select("doc_id", "page", "row_no", "y", words_of(F.col("text")).alias("words"))
-    a, b = r.alias("a"), r.alias("b")
-    both = F.size(F.array_intersect("a.words", "b.words"))
-    either = F.size(F.array_union("a.words", "b.words"))
-    on = (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.page") < F.col("b.page")) & (F.abs(F.col("a.y") - F.col("b.y")) < near)
-    return a.join(b, on).where(both * 100 >= either * percent).select(F.col("a.doc_id").alias("doc_id"), F.col("a.row_no").alias("row_a"), F.col("b.row_no").alias("row_b"), both.cast("long").alias("shared"), either.cast("long").alias("total"))
+    """Pairs of edge rows on different pages of a document with like words (Jaccard) at like heights.
+
+    Pairs meet by words, not all with all: a row is listed under as many of its words, those that the fewest of the document's
+    edge rows have, as it takes for any like row to share one, in its height band and the two beside it.
+    """
+    each = rows.where(edge(F.col("y"))).select("doc_id", "page", "row_no", "y", words_of(F.col("text")).alias("words")).where(F.size("words") > 0)
+    word = each.select("doc_id", "row_no", F.explode("words").alias("word"))
+    common = word.withColumn("_df", F.count("*").over(W.partitionBy("doc_id", "word")))
+    ordered = common.groupBy("doc_id", "row_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("_df", "word"))), lambda w: w["word"]).alias("ordered"))
+    n = F.size("ordered")
+    prefix = F.slice("ordered", 1, n - F.ceil(n * percent / 100).cast("int") + 1)
+    listed = each.join(ordered, ["doc_id", "row_no"]).select("doc_id", "page", "row_no", "y", "words", F.explode(prefix).alias("word"), F.floor(F.col("y") / near).alias("band"))
+    a = listed.alias("a")
+    b = listed.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).alias("b")
+    on = (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.word") == F.col("b.word")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.page") < F.col("b.page")) & (F.abs(F.col("a.y") - F.col("b.y")) < near)
+    both, either = F.size(F.array_intersect("a.words", "b.words")), F.size(F.array_union("a.words", "b.words"))
+    met = a.join(b, on).where(both * 100 >= either * percent)
+    return met.select(F.col("a.doc_id").alias("doc_id"), F.col("a.row_no").alias("row_a"), F.col("b.row_no").alias("row_b"), both.cast("long").alias("shared"), either.cast("long").alias("total")).distinct()
 
 
 def quarantined(rows: DataFrame, least_lines: int = 10) -> DataFrame:

@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from panelspark.functions import lexicons as L
+
+
 def reading_order():
     """A document's rows from first to last."""
     return W.partitionBy("doc_id").orderBy("row_no")
@@ -83,6 +86,50 @@ def column_repairs(cells: DataFrame, unit_window: tuple[int, int] = (350, 420),
     return joined.groupBy(F.col("n.doc_id").alias("doc_id"), F.col("n.line_no").alias("line_no")).agg(*out)
 
 
+def codes_near(targets: DataFrame, lines: DataFrame, near: int = 10) -> DataFrame:
+    """For each target (doc_id, page, line_no, x, y) the first LOINC and CPT code of the lines at its height, nearest in x first."""
+    found = {kind: F.nullif(F.regexp_extract("text", L.CODE_FORM.format(kind=kind), 1), F.lit("")) for kind in ("LOINC", "CPT")}
+    coded = lines.select("doc_id", "page", "line_no", "x", "y", *(c.alias(k) for k, c in found.items())).where("LOINC is not null or CPT is not null").alias("c")
+    t = targets.alias("t")
+    on = (F.col("t.doc_id") == F.col("c.doc_id")) & (F.col("t.page") == F.col("c.page")) & (F.abs(F.col("t.y") - F.col("c.y")) <= near)
+    order = F.struct(F.abs(F.col("c.x") - F.col("t.x")), F.col("c.line_no"))
+    first = lambda kind: F.min_by(F.col(f"c.{kind}"), F.when(F.col(f"c.{kind}").isNotNull(), order))
+    return t.join(coded, on).groupBy(F.col("t.doc_id").alias("doc_id"), F.col("t.line_no").alias("line_no")).agg(first("LOINC").alias("loinc"), first("CPT").alias("cpt"))
+
+
+def is_comment(name: Column, value: Column, units: Column) -> Column:
+    """If a row that was read as a result is a comment: a header's label, or neither a digit in its value nor a known unit."""
+    name, value = F.coalesce(name, F.lit("")), F.coalesce(value, F.lit(""))
+    label = name.endswith(":") & F.greatest(*(name.contains(t) for t in L.HEADER_TERMS))
+    return label | (~value.rlike("[0-9]") & ~F.coalesce(units.isin(L.GUARD_UNITS), F.lit(False)))
+
+
+def likely_header(text: Column, is_bold: Column) -> Column:
+    """Two words in bold, two in capitals, or two with two letters on end."""
+    words = F.filter(F.split(text, "[ \t]+"), lambda w: w != "")
+    count = lambda test: F.size(F.filter(words, test))
+    caps = count(lambda w: (w == F.upper(w)) & (w != F.lower(w)) & (F.length(w) >= 2))
+    return (is_bold & (F.size(words) >= 2)) | (caps >= 2) | (count(lambda w: w.rlike("[a-zA-Z]{2,}")) >= 2)
+
+
+def names_panel(text: Column) -> Column:
+    """If a text has the name of a panel in it."""
+    return F.greatest(*(F.lower(text).contains(w) for w in L.PANEL_INDICATORS))
+
+
+def kept_panels(panels: DataFrame) -> DataFrame:
+    """panels(..., n_tests, continuity, reasons array): those with rows and enough continuity; weak continuity is a reason for review."""
+    weak = F.col("continuity") < L.WEAK_CONTINUITY
+    kept = panels.where((F.col("n_tests") > 0) & (F.col("continuity") >= L.LEAST_CONTINUITY))
+    reasons = F.when(weak, F.array_append("reasons", F.lit("continuity"))).otherwise(F.col("reasons"))
+    return kept.withColumn("reasons", reasons).withColumn("needs_review", F.size("reasons") > 0)
+
+
+def panel_id(name: Column, page: Column, place: Column, origin: Column | None = None) -> Column:
+    """name-page-place, white space as hyphens, and how the panel came about."""
+    return F.concat_ws("-", F.replace(name, F.lit(" "), F.lit("-")), page.cast("string"), place.cast("string"), F.lit(None).cast("string") if origin is None else origin)
+
+
 def split_rows(rows: DataFrame) -> DataFrame:
     """Result rows without a range whose next row, close below on the same page, is one: they take it."""
     follow = F.lead(F.struct("page", "y", "text")).over(reading_order())

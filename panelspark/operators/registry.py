@@ -54,3 +54,34 @@ def first_source(*sources: DataFrame, key: str = "rid") -> DataFrame:
 
 def retained(log: DataFrame, now: Column, days: int = 7) -> DataFrame:
     return log.where(F.col("ts") >= now - F.make_dt_interval(F.lit(days)))
+
+
+def newest_first(jobs: DataFrame, n: int) -> DataFrame:
+    """The n newest jobs by the first time that is known of updated, started, created and completed (texts), as ``at``; unknown last."""
+    at = F.coalesce(*(F.col(c).try_cast("timestamp") for c in ("updated_at", "started_at", "created_at", "completed_at")))
+    return jobs.withColumn("at", at).orderBy(F.col("at").desc_nulls_last(), F.col("id")).limit(n)
+
+
+def golden_list(golden: DataFrame, n: int) -> DataFrame:
+    """The n last promoted records; one without a time is the oldest."""
+    return golden.orderBy(F.coalesce("promoted_at", F.lit("")).desc(), "rid").limit(n)
+
+
+def is_servable(folder: Column, name: Column, folders: tuple[str, ...] = ("inbox", "outbox", "golden")) -> Column:
+    """If a file may be served: from a known folder, its name without a path."""
+    return folder.isin(*folders) & ~name.contains("/") & ~name.contains("\\") & ~name.contains("..") & (name != "")
+
+
+def shape_stats(files: DataFrame) -> DataFrame:
+    """Log files (content) -> how many were scanned, are lists, need migration, can't be read."""
+    first = F.substring(F.ltrim("content"), 1, 1)
+    valid = F.get_json_object("content", "$").isNotNull()
+    kind = F.when(~F.coalesce(valid, F.lit(False)), "errors").when(first == "[", "lists").otherwise("to_migrate")
+    counted = files.agg(F.count("*").alias("scanned"), *(F.count(F.when(kind == k, 1)).alias(k) for k in ("lists", "to_migrate", "errors")))
+    return counted.unpivot([], ["scanned", "lists", "to_migrate", "errors"], "kind", "n")
+
+
+def last_events(log: DataFrame, n: int) -> DataFrame:
+    """Of each kind the n last events (a ring of n places)."""
+    place = F.row_number().over(W.partitionBy("kind").orderBy(F.col("seq").desc()))
+    return log.withColumn("place", place).where(F.col("place") <= n)

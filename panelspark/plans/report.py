@@ -166,7 +166,7 @@ def repeat_header_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WORDS = "list_distinct(list_filter(regexp_split_to_array(lower(text), '[ \t]+'), lambda w: w <> ''))"
 
 
-@query(f"""WITH {ROWS}, e AS (SELECT doc_id, page, row_no, y, {_WORDS} AS w FROM rows_ WHERE y < 100 OR y > 900),
+@query(f"""WITH {ROWS}, e AS MATERIALIZED (SELECT doc_id, page, row_no, y, {_WORDS} AS w FROM rows_ WHERE y < 100 OR y > 900),
 j AS (SELECT a.doc_id, a.row_no AS row_a, b.row_no AS row_b, CAST(len(list_intersect(a.w, b.w)) AS BIGINT) AS shared, CAST(len(list_distinct(list_concat(a.w, b.w))) AS BIGINT) AS total
   FROM e a JOIN e b ON a.doc_id = b.doc_id AND a.page < b.page AND abs(a.y - b.y) < 100)
 SELECT * FROM j WHERE shared * 100 >= total * 60""")

@@ -7,12 +7,12 @@ from collections import Counter
 
 import pytest
 
-from panelspark.plans import catalog, report
+from panelspark.plans import catalog, documents, report
 
 SUPPLIED = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUERIES = report.QUERIES | catalog.QUERIES
-ORACLES = report.ORACLES | catalog.ORACLES
+QUERIES = report.QUERIES | catalog.QUERIES | documents.QUERIES
+ORACLES = report.ORACLES | catalog.ORACLES | documents.ORACLES
 
 
 def plain(value):
