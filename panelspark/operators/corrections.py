@@ -83,8 +83,11 @@ def _segments(path: str) -> list:
     return [int(p) if p.isdigit() else p for p in parts]
 
 
-def patch(doc, op: str, path: str, value):
-    """Sets or unsets one path of a JSON value: lists grow with null, missing keys are made, a wrong container is left alone, an unset list item becomes null."""
+def patch(doc, op: str, path: str, value, splice: bool = False):
+    """Sets, unsets or appends at one path of a JSON value: lists grow with null, missing keys are made, a wrong container is left alone.
+
+    An unset list item becomes null; with ``splice`` it is taken out, as clients do.
+    """
     parts = _segments(path)
     if not parts:
         return doc
@@ -96,33 +99,42 @@ def patch(doc, op: str, path: str, value):
                 return doc
             while len(node) <= here:
                 node.append(None)
-            if node[here] is None and op != "unset":
-                node[here] = fresh
-        else:
-            if not isinstance(node, dict) or (op == "unset" and here not in node):
-                return doc
-            if node.get(here) is None and op != "unset":
-                node[here] = fresh
+        elif not isinstance(node, dict) or (op == "unset" and here not in node):
+            return doc
+        if (node[here] if isinstance(here, int) else node.get(here)) is None and op != "unset":
+            node[here] = fresh
         node = node[here]
     last = parts[-1]
-    if isinstance(last, int) and isinstance(node, list):
-        if op == "unset":
-            if last < len(node):
-                node[last] = None
-        else:
-            while len(node) <= last:
-                node.append(None)
-            node[last] = [*(node[last] or []), value] if op == "append" else value
-    elif isinstance(last, str) and isinstance(node, dict):
-        if op == "unset":
+    if isinstance(last, int) != isinstance(node, list) or not isinstance(node, list | dict):
+        return doc
+    if op == "unset":
+        if isinstance(node, dict):
             node.pop(last, None)
-        else:
-            node[last] = [*(node.get(last) or []), value] if op == "append" else value
+        elif last < len(node):
+            if splice:
+                del node[last]
+            else:
+                node[last] = None
+        return doc
+    old = node.get(last) if isinstance(node, dict) else node[last] if last < len(node) else None
+    if op == "append" and not isinstance(old, list | None):
+        return doc
+    if isinstance(node, list):
+        while len(node) <= last:
+            node.append(None)
+    node[last] = [*(old or []), value] if op == "append" else value
     return doc
 
 
-def patched(docs: DataFrame, log: DataFrame) -> DataFrame:
-    """docs(doc_id, json) with log(doc_id, ts, seq, op, path, value as JSON) applied in order. A document's items go with it as one array."""
+#: What clients call an operation, and what it is; anything else sets.
+CLIENT_OPS = {"unset": "unset", "remove": "unset", "append": "append"}
+
+
+def patched(docs: DataFrame, log: DataFrame, client: bool = False) -> DataFrame:
+    """docs(doc_id, json) with log(doc_id, ts, seq, op, path, value as JSON) applied in order. A document's items go with it as one array.
+
+    ``client``: operations have their client names, and a removed list item closes up.
+    """
     items = log.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ts", "seq", "op", "path", "value"))).alias("items"))
 
     @F.pandas_udf("string")
@@ -131,7 +143,8 @@ def patched(docs: DataFrame, log: DataFrame) -> DataFrame:
         for text, items in zip(document, lists, strict=True):
             doc = json.loads(text) if text else {}
             for item in items if items is not None else []:
-                doc = patch(doc, item["op"], item["path"], json.loads(item["value"]) if item["value"] is not None else None)
+                op = CLIENT_OPS.get(item["op"], "set") if client else item["op"]
+                doc = patch(doc, op, item["path"], json.loads(item["value"]) if item["value"] is not None else None, client)
             out.append(json.dumps(doc, sort_keys=True, ensure_ascii=False))
         return pd.Series(out)
 

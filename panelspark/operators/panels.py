@@ -1,10 +1,7 @@
-"""Panels: carrying headers forward, page breaks, neighbours, and the composing fold."""
+"""Panels: carrying headers forward, page breaks, neighbours, codes and guards."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -136,47 +133,3 @@ def split_rows(rows: DataFrame) -> DataFrame:
     lone = F.regexp_extract("_n.text", "^([0-9]+-[0-9]+)", 1)
     near = (F.col("_n.page") == F.col("page")) & (F.col("_n.y") - F.col("y") < 60) & (lone != "")
     return rows.withColumn("_n", follow).where((F.col("role") == "TEST_ROW") & ~F.col("text").rlike("[0-9]+-[0-9]+") & near).select("doc_id", "row_no", lone.alias("range_text"))
-
-
-def fold_documents(rows: DataFrame, strong: float = 0.6) -> DataFrame:
-    """The composing state machine, document by document.
-
-    Headers open panels; result rows go to the open one; rows before any header wait and go to the next panel
-    opened, or, two or more of them high on a page, make a panel of their own; a strong header within eight rows after
-    a page break closes the open panel; rows still waiting at the end of a document without panels are dropped.
-    """
-
-    def compose(key: tuple, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(frames)).sort_values("row_no")
-        panels: list[dict] = []
-        members: list[tuple[int, int]] = []
-        waiting: list[int] = []
-        current, page = None, 1
-        records = pdf[["row_no", "page", "y", "role", "header", "text"]].values.tolist()
-
-        def begin(name: str, at: int, on: int, continuity: float, origin: str) -> int:
-            panels.append({"name": name, "started_at": at, "page": on, "continuity": continuity, "origin": origin})
-            return len(panels) - 1
-
-        for i, (row, on, y, role, header, text) in enumerate(records):
-            if on > page:
-                page = on
-                if current is not None and any(r[3] == "SECTION_PANEL" and r[4] >= strong for r in records[i : i + 8]):
-                    current = None
-            if role == "SECTION_PANEL":
-                current = begin(text, row, on, 1.0, "header")
-                members += [(current, r) for r in waiting]
-                waiting = []
-            elif role == "TEST_ROW":
-                if current is not None:
-                    members.append((current, row))
-                else:
-                    waiting.append(row)
-                    if len(waiting) >= 2 and y <= 350:
-                        current = begin("UNNAMED", waiting[0], on, 0.35, "synthetic")
-                        members += [(current, r) for r in waiting]
-                        waiting = []
-        doc = key[0]
-        yield pd.DataFrame([(doc, k, panels[k]["name"], panels[k]["origin"], panels[k]["continuity"], row) for k, row in members], columns=["doc_id", "panel", "name", "origin", "continuity", "row_no"])
-
-    return rows.select("doc_id", "row_no", "page", "y", "role", "header", "text").groupBy("doc_id").applyInPandas(compose, "doc_id long, panel long, name string, origin string, continuity double, row_no long")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.functions import predicates as P
-from panelspark.operators import layout, panels, rows, scoring
+from panelspark.operators import compose, layout, panels, rows, scoring
 from panelspark.plans.sql import BINS, CELLS, ROWS
 from panelspark.sources.lines import chunked_pages, synthetic_cells
 
@@ -366,8 +366,8 @@ def common_unit_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def compose_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = _roles(spark, sf_dir).withColumn("header", P.header_score(F.col("text"), F.col("is_bold"), F.col("y")))
-    return panels.fold_documents(r)
+    r = _roles(spark, sf_dir)
+    return compose.composed(r.withColumn("unit", rows.coarse_fields(F.col("text"))["unit"]))
 
 
 @query(f"WITH {PANELS} SELECT doc_id, panel_no, n_tests, round(avg_confidence + 1e-9, 6) AS avg_confidence, continuity, round(coherence + 1e-9, 6) AS coherence, round(score + 1e-9, 6) AS score, reasons, needs_review FROM panels2")

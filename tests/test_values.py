@@ -1,4 +1,4 @@
-"""Normalisers, predicates, correction patches and the composing fold on typed-out vectors."""
+"""Normalisers, predicates, and correction patches on typed-out vectors."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions import predicates as P
 from panelspark.functions import text as T
-from panelspark.operators import corrections, panels
+from panelspark.operators import corrections
 
 
 def each(spark, f, values):
@@ -47,6 +47,9 @@ def test_rows_recognised(spark):
         ("set", "l.name", 1, {"a": {}, "l": [1, 2]}),
         ("append", "n", 1, {"a": {}, "l": [1, 2], "n": [1]}),
         ("set", "", 1, {"a": {}, "l": [1, 2]}),
+        ("append", "l", 3, {"a": {}, "l": [1, 2, 3]}),
+        ("append", "a", 3, {"a": {}, "l": [1, 2]}),
+        ("append", "l.0", 3, {"a": {}, "l": [1, 2]}),
     ],
 )
 def test_patches(op, path, value, want):
@@ -59,8 +62,9 @@ def test_patches_in_order(spark):
     assert {r.doc_id: json.loads(r.json) for r in corrections.patched(docs, log).collect()} == {1: {"a": 2}, 2: {"b": {"c": "x"}}}
 
 
-def test_fold(spark):
-    rows = [(1, 1, 1, 100.0, "TEST_ROW", 0.0, "a"), (1, 2, 1, 200.0, "TEST_ROW", 0.0, "b"), (1, 3, 1, 300.0, "SECTION_PANEL", 0.85, "CBC"), (1, 4, 1, 400.0, "TEST_ROW", 0.0, "c"), (1, 5, 2, 10.0, "TEST_ROW", 0.0, "d"), (1, 6, 2, 50.0, "SECTION_PANEL", 0.85, "CMP"), (1, 7, 2, 60.0, "TEST_ROW", 0.0, "e"), (2, 1, 1, 500.0, "TEST_ROW", 0.0, "x")]
-    df = spark.createDataFrame(rows, "doc_id long, row_no long, page int, y double, role string, header double, text string")
-    got = sorted((r.doc_id, r.panel, r.name, r.row_no) for r in panels.fold_documents(df).collect())
-    assert got == [(1, 0, "UNNAMED", 1), (1, 0, "UNNAMED", 2), (1, 1, "CBC", 4), (1, 2, "CMP", 5), (1, 2, "CMP", 7)]
+def test_client_patches(spark):
+    docs = spark.createDataFrame([(1, '{"l": [1, 2, 3], "a": {"x": 1}}')], "doc_id long, json string")
+    items = [("remove", "l[1]", None), ("replace", "a.y[1]", '"z"'), ("append", "l", "9"), ("whatever", "b", "0"), ("unset", "a.x", None)]
+    log = spark.createDataFrame([(1, i, 0, *x) for i, x in enumerate(items)], "doc_id long, ts long, seq long, op string, path string, value string")
+    got = json.loads(corrections.patched(docs, log, client=True).head().json)
+    assert got == {"l": [1, 3, 9], "a": {"y": [None, "z"]}, "b": 0}
