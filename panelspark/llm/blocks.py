@@ -13,6 +13,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from panelspark.llm.hashing import mix, slices
+
 CODEC = pa.Codec("zstd", compression_level=1)
 
 KEYS = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("owners", pa.binary())])
@@ -29,8 +31,6 @@ def bucket_of_keys(keys: np.ndarray, n: int) -> np.ndarray:
 
 
 def bucket_of_ids(ids: np.ndarray, n: int) -> np.ndarray:
-    from panelspark.llm.hashing import mix
-
     return bucket_of_keys(mix(ids.astype(np.int64).view(np.uint64) + np.uint64(0x51ED27)), n)
 
 
@@ -120,7 +120,7 @@ def texts_by_id(n_buckets: int):
     """docs(doc_id, text) -> blocks of texts, dealt by id."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in slices(it):
             ids = ids_of(batch.column("doc_id"))
             yield send_texts(bucket_of_ids(ids, n_buckets), ids, raw_texts(batch.column("text")))
 

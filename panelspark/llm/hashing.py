@@ -8,14 +8,18 @@ wherever they stand; a 64-bit finaliser spreads the bits.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 INVERSE = pow(BASE, -1, 1 << 64)
 SPACES = b" \t\n\v\f\r"
-#: Bytes of text hashed at a time; a longer text still goes in one piece.
-CHUNK = 1 << 20
+#: Bytes of text hashed at a time; a longer text still goes in one piece. A step needs about 60 bytes for each.
+CHUNK = 1 << 18
+#: Bytes of text whose keys are combined before they are sent.
+LOT = 1 << 22
 
 _up = np.ones(1, np.uint64)
 _down = np.ones(1, np.uint64)
@@ -62,7 +66,7 @@ FOLDED = table(lower=True)
 
 
 class Words:
-    """Words of a run of texts: ``starts``/``ends`` in ``data``, ``hashes``, and of each text its range of words."""
+    """Words of a run of texts: ``starts``/``ends`` in ``data``, ``hashes``, of each text its range of words (``first``) and of bytes (``bounds``)."""
 
     def __init__(self, data: bytes, bounds: np.ndarray):
         """data: translated bytes; bounds: where each text starts, and the end."""
@@ -85,7 +89,7 @@ class Words:
         prefix = np.zeros(n + 1, np.uint64)
         np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[:n], out=prefix[1:])
         self.hashes = mix((prefix[self.ends] - prefix[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(np.uint64))
-        self.first = np.searchsorted(self.starts, bounds)
+        self.first, self.bounds = np.searchsorted(self.starts, bounds), bounds
 
     def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash of the k words from each word on (of a text's last k-1 words it means nothing), and which are whole."""
@@ -104,22 +108,39 @@ class Words:
         return out, whole
 
 
+def _offsets(column: pa.Array) -> np.ndarray:
+    """Of a column of large binaries."""
+    return np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+
+
+def runs(column: pa.Array, limit: int = CHUNK):
+    """(first, end) of runs of texts of about ``limit`` bytes, a text at least."""
+    offsets = _offsets(column.cast(pa.large_binary())) if len(column) else ()
+    i = 0
+    while i < len(offsets) - 1:
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, side="right")) - 1)
+        yield i, j
+        i = j
+
+
+def slices(it: Iterator[pa.RecordBatch], limit: int = LOT) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in parts of about ``limit`` bytes of text, as their number of rows says nothing of their size."""
+    for batch in it:
+        for i, j in runs(batch.column("text"), limit):
+            yield batch.slice(i, j - i)
+
+
 def batches(column: pa.Array, translation: bytes, limit: int = CHUNK):
     """(index of the first text, Words) of runs of texts of about ``limit`` bytes; a null text is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.cast(pa.large_binary())
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    offsets = _offsets(column) if len(column) else ()
     data = column.buffers()[2]
-    sizes = np.diff(offsets)
-    i = 0
-    while i < len(column):
-        j = int(np.searchsorted(np.cumsum(sizes[i:]), limit)) + i + 1
-        j = min(max(j, i + 1), len(column))
+    for i, j in runs(column, limit):
         lo, hi = int(offsets[i]), int(offsets[j])
         raw = bytes(data[lo:hi]) if data is not None and hi > lo else b""
         yield i, Words(raw.translate(translation), (offsets[i : j + 1] - lo).astype(np.int64))
-        i = j
 
 
 def encoded(texts: list[str | None]) -> pa.Array:

@@ -13,15 +13,15 @@ get equal scores.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.hashing import PLAIN, Words, batches, mix, table
+from panelspark.llm.hashing import PLAIN, Words, batches, mix, runs, table
 
 #: Labelled rows fitted on.
 LABELLED = 10_000
@@ -103,17 +103,20 @@ class Model:
     thresholds: np.ndarray
 
     def scores(self, texts: pa.Array) -> np.ndarray:
-        row, col, value = features(texts)
-        return np.bincount(row, self.weights[col] * value, minlength=len(texts))
+        out = np.zeros(len(texts))
+        for lo, hi in runs(texts):
+            row, col, value = features(texts.slice(lo, hi - lo))
+            out[lo:hi] = np.bincount(row, self.weights[col] * value, minlength=hi - lo)
+        return out
 
     def tails(self, texts: pa.Array) -> np.ndarray:
         """(text, k): probability of a grade over k, for every grade but the last."""
         return _sigmoid(self.scores(texts)[:, None] - self.thresholds[None])
 
 
-def fit(texts: pa.Array, grades: np.ndarray, n_grades: int = GRADES, steps: int = STEPS, l2: float = L2, least_texts: int = LEAST_TEXTS, grade_weights: tuple[float, ...] = GRADE_WEIGHTS, rate: float = 0.1) -> Model:
-    """Full-batch Adam on the penalised likelihood."""
-    row, col, value = features(texts)
+def fit(found: tuple[np.ndarray, np.ndarray, np.ndarray], grades: np.ndarray, n_grades: int = GRADES, steps: int = STEPS, l2: float = L2, least_texts: int = LEAST_TEXTS, grade_weights: tuple[float, ...] = GRADE_WEIGHTS, rate: float = 0.1) -> Model:
+    """Full-batch Adam on the penalised likelihood of the grades of texts with the features (text, column, value)."""
+    row, col, value = found
     used, col, texts_with = np.unique(col, return_inverse=True, return_counts=True)
     common = texts_with[col] >= least_texts
     row, col, value = row[common], col[common], value[common]
@@ -154,31 +157,52 @@ def graded(labels: DataFrame) -> DataFrame:
     return labels.where("quality is not null and toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.min(grade).alias("grade"))
 
 
+def _featured(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, grade, text -> doc_id, grade, and the text's features as two byte strings."""
+    for batch in it:
+        texts = batch.column("text")
+        cols, values = [], []
+        for lo, hi in runs(texts):
+            row, col, value = features(texts.slice(lo, hi - lo))
+            order = np.argsort(row, kind="stable")
+            cuts = np.searchsorted(row[order], np.arange(1, hi - lo))
+            cols += [x.tobytes() for x in np.split(col[order].astype(np.int32), cuts)]
+            values += [x.tobytes() for x in np.split(value[order].astype(np.float32), cuts)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("grade"), pa.array(cols, pa.binary()), pa.array(values, pa.binary())], names=["doc_id", "grade", "cols", "values"])
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = LABELLED) -> Model | None:
-    """Fits on about ``rows`` of the rated documents; that sample alone reaches the driver."""
+    """Fits on about ``rows`` of the rated documents, one text of each doc_id; only the features of that sample reach the driver."""
     rated = graded(labels)
     n = rated.count()
     if not n:
         return None
     share = min(1.0, rows / n)
     sample = rated.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share * 1_000_003)
-    table = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "grade").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("doc_id", "grade", "text")
+    one = some.mapInArrow(_featured, "doc_id long, grade int, cols binary, values binary").groupBy("doc_id").agg(F.min(F.struct("cols", "values", "grade")).alias("x"))
+    table = one.select("doc_id", "x.*").toArrow().sort_by("doc_id")
     if not table.num_rows:
         return None
-    return fit(table.column("text"), table.column("grade").to_numpy().astype(np.int64))
+    cols = [np.frombuffer(x.as_py(), np.int32) for x in table.column("cols")]
+    row = np.repeat(np.arange(len(cols)), [len(x) for x in cols])
+    value = np.frombuffer(b"".join(x.as_py() for x in table.column("values")), np.float32)
+    return fit((row, np.concatenate(cols).astype(np.int64), value.astype(float)), table.column("grade").to_numpy().astype(np.int64))
 
 
 def score(docs: DataFrame, model: Model | None, keep: float = KEEP) -> DataFrame:
-    """Adds expected_grade, p_fair (grade 1 or better), p_good (grade 2) and keep to docs(text, ...)."""
+    """Adds expected_grade, p_fair (grade 1 or better), p_good (grade 2) and keep to docs(text, ...), in place of columns of these names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("struct<p_fair:double,p_good:double>")
-    def tails(text: pd.Series) -> pd.DataFrame:
-        if shared.value is None:
-            found = np.ones((len(text), GRADES - 1))
-        else:
-            found = shared.value.tails(pa.array(text, pa.large_string(), from_pandas=True))
-        return pd.DataFrame({"p_fair": found[:, 0], "p_good": found[:, 1]})
-
-    out = docs.withColumn("_tails", tails("text"))
-    return out.select(*docs.columns, (F.col("_tails.p_fair") + F.col("_tails.p_good")).alias("expected_grade"), F.col("_tails.p_fair").alias("p_fair"), F.col("_tails.p_good").alias("p_good"), (F.col("_tails.p_good") >= keep).alias("keep"))
+    @F.arrow_udf("struct<p_fair:double,p_good:double>")
+    def tails(text: pa.Array) -> pa.Array:
+        found = np.ones((len(text), GRADES - 1)) if shared.value is None else shared.value.tails(text)
+        return pa.StructArray.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["p_fair", "p_good"])
+
+    added = ("expected_grade", "p_fair", "p_good", "keep")
+    name = "tails"
+    while name in docs.columns:
+        name += "_"
+    out = docs.drop(*added).withColumn(name, tails("text"))
+    fair, good = (F.col(name)[x] for x in ("p_fair", "p_good"))
+    return out.select(*[c for c in docs.columns if c not in added], (fair + good).alias("expected_grade"), fair.alias("p_fair"), good.alias("p_good"), (good >= keep).alias("keep"))
