@@ -106,7 +106,7 @@ def edited_pairs(docs: DataFrame, k: int = SHINGLE, scale: int = SCALE) -> DataF
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    n = buckets(spark, 4)
+    n = buckets(docs, 4)
     q = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], max(10_000, 20 * n))).head()[0] or []
     bounds = np.unique(np.array(q, np.int64))
     range_of = _ranges(bounds)

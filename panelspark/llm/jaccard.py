@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from panelspark.llm import blocks
 from panelspark.llm.graph import components
-from panelspark.llm.hashing import BASE, FOLDED, batches, distinct, mix, shingles
+from panelspark.llm.hashing import BASE, FOLDED, LOT, batches, distinct, mix, shingles, slices
 from panelspark.llm.shared import buckets, written
 
 SHINGLE = 5
@@ -61,8 +61,8 @@ FINE = 4
 #: Lists with equally good leaders choose in so many ways.
 LEADERS = 4
 #: Keys of more than a HOT-th of a table's rows, and more than MANY rows, are joined apart from the rest.
-HOT, MANY = 20_000, 2_000
-#: Rows that a Python step works on at a time, and members of a list that travel in one row.
+HOT, MANY = 20_000, 200
+#: Members of a list that travel in one row.
 SLICE = 500
 
 
@@ -107,7 +107,7 @@ def _counted(k: int, n_buckets: int, fraction: float):
     below = np.uint64(min(int(fraction * 2**64), 2**64 - 1))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in slices(it):
             all_ids = blocks.ids_of(batch.column("doc_id"))
             tokens, owners, seen = [], [], np.empty(0, np.int64)
             for first, end, h, of in token_sets(batch.column("text"), k):
@@ -153,7 +153,7 @@ def _send_texts(n_buckets: int):
     """docs(doc_id, text, text_hash) -> blocks of texts, dealt by doc_id and text; equal rows of a batch once."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in slices(it):
             owners = row_owners(blocks.ids_of(batch.column("doc_id")), blocks.ids_of(batch.column("text_hash")))
             owners, at = np.unique(owners, return_index=True)
             yield blocks.send_texts(blocks.bucket_of_ids(owners, n_buckets), owners, blocks.raw_texts(batch.column("text").take(pa.array(at))))
@@ -193,26 +193,24 @@ def _pick(k: int):
 
 
 def _node_entries(k: int, n_buckets: int):
-    """All tokens of nodes, with their keys; of a batch's equal tokens two."""
+    """All tokens of nodes, with their keys; of a lot's equal tokens two."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in it:
-            for i in range(0, whole.num_rows, SLICE):
-                batch = whole.slice(i, SLICE)
-                keys = batch.column("key").to_numpy(zero_copy_only=False)
-                tokens, owners = [], []
-                for first, _, h, of in token_sets(batch.column("text"), k):
-                    tokens.append(h)
-                    owners.append(keys[first + of])
-                t, o = _first_and_last(np.concatenate(tokens), np.concatenate(owners))
-                yield blocks.send_keys(blocks.bucket_of_keys(mix(t), n_buckets), t, o)
+        for batch in slices(it, LOT // 4):
+            keys = batch.column("key").to_numpy(zero_copy_only=False)
+            tokens, owners = [], []
+            for first, _, h, of in token_sets(batch.column("text"), k):
+                tokens.append(h)
+                owners.append(keys[first + of])
+            t, o = _first_and_last(np.concatenate(tokens), np.concatenate(owners))
+            yield blocks.send_keys(blocks.bucket_of_keys(mix(t), n_buckets), t, o)
 
     return run
 
 
 def still_possible(nodes: DataFrame, k: int, percent: int) -> DataFrame:
     """Nodes that share enough of all their tokens with other nodes."""
-    n_buckets = buckets(nodes.sparkSession)
+    n_buckets = buckets(nodes, 2)
     unshared = nodes.select("key", "text").mapInArrow(_node_entries(k, n_buckets), blocks.KEYS_DDL).groupBy("bucket").applyInArrow(_unshared(n_buckets), blocks.OWNERS_DDL)
     counts = unshared.groupBy("bucket").applyInArrow(_counts, "id long, unshared long").withColumnRenamed("id", "key")
     too_many = F.col("unshared") > F.col("n") - F.ceil(F.col("n") * percent / 100)
@@ -224,7 +222,7 @@ _NODES = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("text", pa.binary()
 
 def possible_nodes(docs: DataFrame, sized: DataFrame, k: int, percent: int, fraction: float) -> DataFrame:
     """key, n, text of the distinct sets that can have a partner."""
-    n_buckets = buckets(docs.sparkSession)
+    n_buckets = buckets(docs, 2)
     entries = docs.mapInArrow(_counted(k, n_buckets, fraction), blocks.KEYS_DDL)
     unshared = entries.groupBy("bucket").applyInArrow(_unshared(n_buckets), blocks.OWNERS_DDL)
     counts = unshared.groupBy("bucket").applyInArrow(_counts, "id long, unshared long")
@@ -240,12 +238,10 @@ def possible_nodes(docs: DataFrame, sized: DataFrame, k: int, percent: int, frac
 
 def _node_tokens(k: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in it:
-            for i in range(0, whole.num_rows, SLICE):
-                batch = whole.slice(i, SLICE)
-                keys = batch.column("key").to_numpy(zero_copy_only=False)
-                for first, _, h, of in token_sets(batch.column("text"), k):
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[first + of], pa.int64()), pa.array(h.view(np.int64), pa.int64())], names=["key", "token"])
+        for batch in it:
+            keys = batch.column("key").to_numpy(zero_copy_only=False)
+            for first, _, h, of in token_sets(batch.column("text"), k):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[first + of], pa.int64()), pa.array(h.view(np.int64), pa.int64())], names=["key", "token"])
 
     return run
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,9 +14,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the cluster's shared folder (spark.checkpoint.dir); a local one only where none is set."""
+    """A new path in the cluster's shared folder (spark.checkpoint.dir). Only a local session gets a temporary one where none is set."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="panelspark-"))
         root = spark.sparkContext.getCheckpointDir()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -28,9 +31,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def buckets(spark: SparkSession, per_partition: int = 1) -> int:
-    """Groups that grouped-map steps split keys into: a multiple of the shuffle partitions, which the user scales with the data.
+#: Bytes of input (as stored) that a bucket of a grouped map stands for, and buckets that are made of the input's size at most.
+BUCKET_BYTES, MOST_BUCKETS = 1 << 26, 1 << 14
 
-    Small, as a step from buckets to buckets sends up to their square in blocks.
+
+def buckets(df: DataFrame, per_partition: int = 1) -> int:
+    """Groups that grouped-map steps split the keys of df into: as many as shuffle partitions, which the user scales with
+    the data, and more where the input is large, so that a group's memory doesn't grow with it.
+
+    Not more than MOST_BUCKETS for the size alone, as a step from buckets to buckets sends up to their square in blocks.
     """
-    return per_partition * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(per_partition * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // BUCKET_BYTES), MOST_BUCKETS))

@@ -118,3 +118,42 @@ def personal(text: str | None) -> list[tuple[int, int, str, int]]:
             if ok:
                 out.append((m.start(), k, kind, m.end()))
     return sorted(out)
+
+
+TERM = re.compile(r"[A-Za-z\u0080-\U0010ffff]+")
+
+
+def terms_apart(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, term) of the terms that no base span touches."""
+    spans = [(a, b) for a, _, _, b in personal(text)]
+    out = [(m.start(), m.end(), m[0].translate(LOWER)) for m in TERM.finditer(text) if len(m[0].encode()) >= 3]
+    return [(a, b, t) for a, b, t in out if not any(x < b and a < y for x, y in spans)]
+
+
+def disclosures(texts: list[str], window: int, support: int) -> dict[str, float]:
+    """Largest share of any entity's information that a term gives, of terms with a pair seen often enough."""
+    from collections import Counter, defaultdict
+    from math import log
+
+    from panelspark.llm.pii import entity
+
+    n_t, n_e, n_et = Counter(), Counter(), Counter()
+    windows = defaultdict(set)
+    for text in texts:
+        terms = terms_apart(text)
+        n_t.update({t for _, _, t in [(m.start(), m.end(), m[0].translate(LOWER)) for m in TERM.finditer(text) if len(m[0].encode()) >= 3]})
+        near = defaultdict(set)
+        for a, k, _, b in personal(text):
+            before = [t for s, _, t in terms if s < a][-window:]
+            after = [t for s, _, t in terms if s >= b][:window]
+            near[entity(text[a:b], k)].update(before + after)
+        for e, some in near.items():
+            n_e[e] += 1
+            for t in some:
+                n_et[e, t] += 1
+                windows[e, t].add(frozenset(some))
+    share: dict[str, float] = {}
+    for (e, t), n in n_et.items():
+        if len(windows[e, t]) >= support and n_e[e] < len(texts):
+            share[t] = max(share.get(t, 0), log(n * len(texts) / (n_e[e] * n_t[t])) / log(len(texts) / n_e[e]))
+    return share

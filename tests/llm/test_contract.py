@@ -102,13 +102,15 @@ def test_substrings(spark, place):
     assert ordered(got) == ordered(brute.repeats(table(place, "documents", "doc_id", "text")))
 
 
-def test_substrings_over_more_levels(spark, odd):
+@pytest.mark.parametrize("window, shortest, lengths", [(30, 4, [4, 8, 15, 30]), (25, 7, [7, 13, 25]), (50, 7, [7, 13, 25, 50]), (13, 4, [4, 7, 13])])
+def test_substrings_over_more_levels(spark, odd, window, shortest, lengths):
     from panelspark.llm import substrings
 
+    assert substrings.levels(window, shortest) == lengths
     docs = spark.read.parquet(f"{odd}/documents.parquet")
-    got = substrings.remove_repeats(docs, window=30, shortest=4)
+    got = substrings.remove_repeats(docs, window=window, shortest=shortest)
     rows = [tuple(r) for r in got.select("doc_id", "n_words", "n_removed", "kept_sha256").collect()]
-    assert ordered(rows) == ordered(brute.repeats(table(odd, "documents", "doc_id", "text"), 30))
+    assert ordered(rows) == ordered(brute.repeats(table(odd, "documents", "doc_id", "text"), window))
     assert all(brute.sha(r.kept) == r.kept_sha256 for r in got.collect())
 
 
@@ -124,9 +126,10 @@ def test_decontaminate_in_blocks_and_offsets(spark, odd):
     docs, items = (spark.read.parquet(f"{odd}/{t}.parquet") for t in ("documents", "benchmark"))
     whole = decontam.decontaminate(docs, items)
     parts = decontam.decontaminate(docs, items, block_words=20_000)
-    key = lambda df: ordered((r.doc_id, r.n_hit, tuple(r["items"])) for r in df.collect())
+    key = lambda df: ordered((r.doc_id, r.n_hit, tuple(r["items"]), tuple(map(tuple, r.spans))) for r in df.collect())
     assert key(whole) == key(parts)
-    for r in decontam.spans(whole).where("n_hit > 0").collect():
+    assert whole.where("n_hit > 0").count()
+    for r in [*whole.where("n_hit > 0").collect(), *parts.where("n_hit > 0").collect()]:
         hit = [w for s in r.spans for w in brute.ALNUM.findall(r.text[s.start : s.end].translate(brute.LOWER))]
         assert len(hit) == r.n_hit
 
@@ -262,6 +265,59 @@ def test_terms_that_disclose(spark, tmp_path):
     assert "common" in out[103].text and "wrote" in out[0].text and "term:" not in out[103].spans
 
 
+@pytest.mark.parametrize("most_terms", [0, 1000])
+def test_disclosures_against_plain_counts(spark, tmp_path, most_terms):
+    """Shares, what is replaced and by what, in documents without the entity too; terms broadcast or joined."""
+    from random import Random
+
+    from panelspark.llm import pii
+
+    r = Random(8)
+    letters = lambda: "".join(r.choices("abcdefgh", k=4))
+    common = [letters() for _ in range(30)]
+    texts = []
+    for i in range(120):
+        some = r.choices(common, k=r.randrange(60))
+        for who, tells in (("x@y.org", ("Zébre", "OKAPI", "quagga")), ("10.1.2.3", ("ibex",)), ("q@y.org", ())):
+            if r.random() < 0.15:
+                at = r.randrange(len(some) + 1)
+                some[at:at] = [*(t for t in tells if r.random() < 0.8), who, letters()]
+        some += ["Zébre"] * (i % 40 == 0) + ["ibex"] * (i % 5 == 0) + ["quagga"] * (i % 17 == 0)
+        texts.append(" ".join(some))
+    texts += [texts[0]] * 10 + ["", "x@y.org", None]
+    fixtures.documents(str(tmp_path), list(enumerate(texts)))
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    want = {t: s for t, s in brute.disclosures([t or "" for t in texts], pii.WINDOW, pii.SUPPORT).items() if s >= pii.GENERALISE}
+    got = sorted(x.share for x in pii.disclosures(docs).collect())
+    assert got == pytest.approx(sorted(want.values())) and {"okapi", "quagga", "zébre"} <= want.keys()
+    assert min(want.values()) < pii.REMOVE < max(want.values())
+    for row in pii.sanitise(docs, most_terms=most_terms).collect():
+        text = texts[row.doc_id] or ""
+        told = [(a, b, t) for a, b, t in brute.terms_apart(text) if t in want]
+        assert sorted(x for x in row.spans.split(",") if x[:4] == "term") == sorted(f"term:{a}:{b}" for a, b, _ in told)
+        out = text
+        changes = [(a, b, f"[{k.upper()}]") for a, _, k, b in brute.personal(text)] + [(a, b, "" if want[t] >= pii.REMOVE else {"Zébre": "[NAME]", "OKAPI": "[ACRONYM]"}.get(text[a:b], "[WORD]")) for a, b, t in told]
+        for a, b, new in sorted(changes, reverse=True):
+            out = out[:a] + new + out[b:]
+        assert row.text == out
+
+
+def test_personal_data_in_long_runs():
+    """In time in proportion to the length."""
+    from time import time
+
+    from panelspark.llm import pii
+
+    n = 1_000_000
+    began = time()
+    for text in ("1" * n, "1." * (n // 2), ("1" * 1000 + "..") * 1000, "+1" + " " * n, "+1" * (n // 2), "a" * n + "@", "a@" * (n // 2), "1 " * (n // 2), "1-" * (n // 2)):
+        assert not [s for s in pii.base_spans(text) if s[1] != 1]
+    assert time() - began < 20
+    short = ["1.2.3.4.5.6.7.8.9", "..1.2.3.4..", "01.002.0003.4 1.2.3.256.1.1.1.1", "1.2.3", "a1.2.3.4b", "1..2.3.4.5", "1" * 50 + ".2.3.4.5"]
+    for text in short:
+        assert [(a, k, b) for a, k, b in pii.base_spans(text) if k == 1] == [(a, k, b) for a, k, _, b in brute.personal(text) if k == 1]
+
+
 def test_quality_on_ratings_held_out(spark):
     """About one rating in twenty is noise, so toxic texts are judged by words that only rated-toxic texts hold."""
     from panelspark.llm import quality
@@ -361,17 +417,85 @@ def test_language_of_odd_rows(spark, odd):
         assert (r.lang_pred == "und") == (not lettered) and 0 <= r.score <= 1
 
 
-def test_forward_sums_all_segmentations():
-    from panelspark.llm import langid
+def segmentations(word, pieces):
+    """Every way to cut a word into pieces; a character that is no piece is None."""
+    if not word:
+        return [[]]
+    out = [[None, *rest] for rest in segmentations(word[1:], pieces)] if word[0] not in pieces else []
+    return out + [[word[:n], *rest] for n in range(1, len(word) + 1) if word[:n] in pieces for rest in segmentations(word[n:], pieces)]
+
 
-    pieces = ["a", "b", "ab", "▁", "▁a", "ba"]
-    p = np.concatenate([np.random.default_rng(1).dirichlet(np.ones(6), 2).T, np.zeros((1, 2))])
-    number = {x: i for i, x in enumerate(pieces)}
+def test_sums_and_learning_over_all_segmentations():
+    from collections import Counter
+    from math import prod
 
-    def total(s: str, k: int) -> float:
-        return 1.0 if not s else sum(p[number[s[:n]], k] * total(s[n:], k) for n in range(1, len(s) + 1) if s[:n] in number)
+    from panelspark.llm import langid
 
+    pieces = ["a", "b", "ab", "▁", "▁a", "ba", "abbabba"]
+    p = np.concatenate([np.random.default_rng(1).dirichlet(np.ones(7), 2).T, np.zeros((1, 2))])
+    chance = lambda k: {x: p[i, k] for i, x in enumerate(pieces)} | {None: langid.UNKNOWN}
     model = langid.Model(["x", "y"], pieces, p)
-    for word in ("a", "abba", "babab", "ab" * 20):
-        got = model.scorer().score([word])[0]
-        assert np.exp(got[:2]) == pytest.approx([total("▁" + word, 0), total("▁" + word, 1)]) if len(word) < 12 else np.isfinite(got).all()
+    for word in ("a", "abba", "babab", "abbabba", "acb", "abbabbabab"):
+        want = [sum(prod(chance(k)[x] for x in cut) for cut in segmentations("▁" + word, pieces)) for k in (0, 1)]
+        assert np.exp(model.scorer().score([word])[0][:2]) == pytest.approx(want)
+    once, often = model.scorer().score(["ab" * 20])[0], model.scorer().score(["ab" * 40])[0]
+    assert np.isfinite(often).all() and (often[:2] < once[:2]).all()
+
+    counts = {"x": {"ab": 3, "abba": 1, "bac": 2, "ab" * 9: 1, "abbabba" * 7: 1}}
+    q = Counter({x: 0.0 for x in pieces})
+    for word, n in counts["x"].items():  # to begin with: how often a piece occurs anywhere
+        for x in pieces:
+            q[x] += n * sum(("▁" + word)[i : i + len(x)] == x for i in range(len(word) + 1))
+    smoothed = lambda c: {x: (c[x] + 0.1) / (sum(c.values()) + 0.1 * len(pieces)) for x in pieces}
+    now = smoothed(q) | {None: langid.UNKNOWN}
+    expected = Counter({x: 0.0 for x in pieces})
+    for word, n in counts["x"].items():
+        # the same sums place by place: all ways before, over and after a piece
+        whole = "▁" + word
+        ahead, after = [1.0] + [0.0] * len(whole), [0.0] * len(whole) + [1.0]
+        fits = [(i, i + len(x), x) for i in range(len(whole)) for x in pieces if whole.startswith(x, i)] + [(i, i + 1, None) for i in range(len(whole)) if whole[i] not in pieces]
+        for i, j, x in sorted(fits, key=lambda f: f[:2]):
+            ahead[j] += ahead[i] * now[x]
+        for i, j, x in sorted(fits, key=lambda f: -f[0]):
+            after[i] += now[x] * after[j]
+        for i, j, x in fits:
+            if x:
+                expected[x] += n * ahead[i] * now[x] * after[j] / ahead[-1]
+    got = langid.learn(counts, pieces, rounds=1).p[:-1, 0]
+    assert got == pytest.approx([smoothed(expected)[x] for x in pieces], rel=1e-6)
+
+
+def test_language_against_plain_sums(spark, tmp_path):
+    """The query's answers are those of sums place by place, with pieces and words of any length."""
+    from math import exp, log
+
+    from panelspark.llm import langid
+
+    table_ = pq.read_table(f"{SUPPLIED}/documents.parquet", columns=["doc_id", "text", "lang"]).slice(0, 60).to_pylist() if os.path.isdir(SUPPLIED) else []
+    rows = [(x["doc_id"], (x["text"] or "")[:400], x["lang"]) for x in table_] + [(10_000 + i, t, "en") for i, t in enumerate(["internationalisation " * 3, "x" * 200, "", None, "12 34", "Donaudampfschifffahrtsgesellschaftskapitänsmützenabzeichen"])]
+    fixtures.documents(str(tmp_path), rows)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    model = langid.train(docs)
+    assert max(map(len, model.pieces)) > 8
+    number = {x: i for i, x in enumerate(model.pieces)}
+    longest = max(map(len, model.pieces))
+
+    def total(word: str, k: int) -> float:
+        whole, logs = "▁" + word, [0.0]
+        for j in range(1, len(whole) + 1):
+            terms = [logs[j - n] + log(model.p[number[whole[j - n : j]], k]) for n in range(1, min(longest, j) + 1) if whole[j - n : j] in number]
+            if whole[j - 1] not in number:
+                terms.append(logs[j - 1] + log(langid.UNKNOWN))
+            top = max(terms)
+            logs.append(top + log(sum(exp(t - top) for t in terms)))
+        return logs[-1]
+
+    text = {d: t for d, t, _ in rows}
+    for r in langid.predict(docs, model).collect():
+        words = langid.words_of(text[r.doc_id])
+        if not words:
+            assert r.lang_pred == "und"
+            continue
+        sums = [sum(total(w, k) for w in words) for k in range(len(model.langs))]
+        best = max(range(len(sums)), key=sums.__getitem__)
+        assert r.lang_pred == model.langs[best] and r.score == pytest.approx(1 / sum(exp(x - sums[best]) for x in sums), rel=1e-6)
