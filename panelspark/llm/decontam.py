@@ -2,7 +2,7 @@
 
 The automaton works on word numbers, not characters: words outside the benchmark's vocabulary are
 number 0, so a text is walked once however many items there are, and a match's end is a word
-position that maps straight back to offsets of the original text.
+position that maps straight back to offsets of the original text, found in the same scan.
 
 Cases: a null or empty text has no words and no hits; an item without words is ignored; an item
 shorter than the window is one window; equal items all count; a null item_id is named by the empty string; an empty benchmark marks nothing.
@@ -11,14 +11,15 @@ shorter than the window is one window; equal items all count; a null item_id is
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.hashing import table
+from panelspark.llm.hashing import slices, table
+from panelspark.llm.shared import written
 
 #: A-Z are lower-cased; 0-9, a-z and everything outside ASCII make up words.
 NORMAL = table(b"abcdefghijklmnopqrstuvwxyz0123456789", lower=True)
@@ -88,54 +89,108 @@ def offsets(text: str, ranges: list[tuple[int, int]]) -> list[dict]:
     return [{"start": int(point[starts[a]]), "end": int(point[ends[b - 1]])} for a, b in ranges]
 
 
-def _scan(block: list[tuple[str, str | None]], window: int, first: bool, keep_text: bool, carry: tuple[str, ...]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(block, window)
-        for batch in batches:
-            rows = batch.to_pydict()
-            out: dict[str, list] = {k: [] for k in ("doc_id", "text", "n_words", "firsts", "lasts", "items")}
-            for i, text in enumerate(rows["text"]):
+_STATE = pa.schema(
+    [
+        ("doc_id", pa.int64()),
+        ("text", pa.string()),
+        ("n_words", pa.int64()),
+        ("firsts", pa.list_(pa.int64())),
+        ("lasts", pa.list_(pa.int64())),
+        ("items", pa.list_(pa.string())),
+        ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+    ]
+)
+_STATE_DDL = "doc_id long, text string, n_words long, firsts array<long>, lasts array<long>, items array<string>, spans array<struct<start:long,end:long>>"
+
+
+def _results(batch: pa.RecordBatch, found: list[tuple], keep_text: bool, carry: tuple[str, ...]) -> pa.RecordBatch:
+    """found: of each row (text, number of words, ranges, names of items)."""
+    rows = [(doc, text if keep_text else None, n, [a for a, _ in ranges], [b for _, b in ranges], names, offsets(text, ranges) if ranges else []) for doc, (text, n, ranges, names) in zip(batch.column("doc_id").to_pylist(), found, strict=True)]
+    columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * len(_STATE), _STATE.types, strict=True)]
+    return pa.RecordBatch.from_arrays([*columns, *map(batch.column, carry)], names=[*_STATE.names, *carry])
+
+
+def _scan(shared, window: int, keep_text: bool, carry: tuple[str, ...]):
+    """The whole result from one block of items."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(shared.value, window)
+        for batch in slices(it):
+            found = []
+            for text in batch.column("text").to_pylist():
                 words = words_of(text)
                 ranges, items = matcher.find(words)
-                names = {matcher.names[k] for k in items}
-                if not first:
-                    ranges = merged([*ranges, *zip(rows["firsts"][i], rows["lasts"][i], strict=True)])
-                    names.update(rows["items"][i])
-                out["doc_id"].append(rows["doc_id"][i])
-                out["text"].append(text if keep_text else None)
-                out["n_words"].append(len(words))
-                out["firsts"].append([a for a, _ in ranges])
-                out["lasts"].append([b for _, b in ranges])
-                out["items"].append(sorted(names))
-            state = pa.RecordBatch.from_pydict(out, schema=_STATE)
-            yield pa.RecordBatch.from_arrays([*state.columns, *map(batch.column, carry)], names=[*_STATE.names, *carry])
+                found.append((text, len(words), ranges, sorted({matcher.names[k] for k in items})))
+            yield _results(batch, found, keep_text, carry)
+
+    return run
+
+
+_HITS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("firsts", pa.list_(pa.int64())), ("lasts", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
+
+
+def _hits(shared, window: int):
+    """What one of several blocks finds: rows with hits only."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(shared.value, window)
+        for batch in slices(it):
+            rows = []
+            for doc, key, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "text")), strict=True):
+                ranges, items = matcher.find(words_of(text))
+                if ranges:
+                    rows.append((doc, key, [a for a, _ in ranges], [b for _, b in ranges], sorted({matcher.names[k] for k in items})))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * len(_HITS), _HITS.types, strict=True)], schema=_HITS)
 
     return run
 
 
-_STATE = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("firsts", pa.list_(pa.int64())), ("lasts", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
-_STATE_DDL = "doc_id long, text string, n_words long, firsts array<long>, lasts array<long>, items array<string>"
+def _merge(keep_text: bool, carry: tuple[str, ...]):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(it):
+            found = []
+            for text, firsts, lasts, items in zip(*(batch.column(c).to_pylist() for c in ("text", "_firsts", "_lasts", "_items")), strict=True):
+                found.append((text, len(words_of(text)), merged(list(zip(firsts or [], lasts or [], strict=True))), sorted(items or [])))
+            yield _results(batch, found, keep_text, carry)
 
+    return run
 
-def blocks_of(benchmark: DataFrame, block_words: int) -> list[list[tuple[str, str | None]]]:
-    """The benchmark's items in blocks of a bounded number of words; a block at a time reaches the driver."""
+
+def blocks_of(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str, str | None]]]:
+    """The benchmark's items in blocks of about ``block_words`` words; one block at a time is in the driver. One empty block if there are no items."""
     sized = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text", F.expr("length(text) div 2 + 1").alias("most_words")).where("text is not null")
     total = sized.agg(F.sum("most_words")).head()[0] or 0
-    n = -(-total // block_words)
-    part = F.pmod(F.xxhash64("item_id"), F.lit(max(n, 1)))
-    return [sorted(tuple(r) for r in sized.where(part == k).select("item_id", "text").collect()) for k in range(n)]
+    n = max(1, -(-total // block_words))
+    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
+    for k in range(n):
+        yield sorted(tuple(r) for r in sized.where(part == k).select("item_id", "text").collect())
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_words: int = BLOCK_WORDS, keep_text: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
-    """docs(doc_id, text), benchmark(item_id, text) -> doc_id, text, n_words, n_hit, items, firsts, lasts.
+    """docs(doc_id, text), benchmark(item_id, text) -> doc_id, text, n_words, firsts, lasts, items, spans, n_hit.
 
-    firsts/lasts: ranges of hit words, ends exclusive; text is null unless ``keep_text``; columns named in ``carry`` go along. No shuffle: each block of items is one more pass of the same tasks.
+    firsts/lasts: ranges of hit words, ends exclusive; spans: the code points of the original text under each range; text is null
+    unless ``keep_text``; columns named in ``carry`` go along. With one block of items there is no shuffle and one scan of the
+    texts; of more blocks, each is one more scan, and only its hits are written and joined.
     """
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry)
     schema = ", ".join([_STATE_DDL, *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)])
-    blocks = blocks_of(benchmark, block_words) or [[]]
-    for k, block in enumerate(blocks):
-        out = out.mapInArrow(_scan(block, window, not k, keep_text or k < len(blocks) - 1, carry), schema)
+    share = docs.sparkSession.sparkContext.broadcast
+    hits = []
+    blocks = blocks_of(benchmark, block_words)
+    block, following = next(blocks), next(blocks, None)
+    if following is None:
+        out = rows.mapInArrow(_scan(share(block), window, keep_text, carry), schema)
+    else:
+        keyed = rows.withColumn("_text_hash", F.xxhash64("text"))
+        while block is not None:
+            found = keyed.select("doc_id", F.col("_text_hash").alias("text_hash"), "text").mapInArrow(_hits(share(block), window), "doc_id long, text_hash long, firsts array<long>, lasts array<long>, items array<string>")
+            hits.append(written(found, "hits"))
+            block, following = following, next(blocks, None)
+        flat = lambda c: F.flatten(F.collect_list(c))
+        every = reduce(DataFrame.unionByName, hits).distinct().groupBy(F.col("doc_id").alias("_doc_id"), "text_hash").agg(flat("firsts").alias("_firsts"), flat("lasts").alias("_lasts"), F.array_distinct(flat("items")).alias("_items"))
+        both = keyed.join(every, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("_text_hash") == F.col("text_hash")), "left")
+        out = both.select("doc_id", "text", *carry, "_firsts", "_lasts", "_items").mapInArrow(_merge(keep_text, carry), schema)
     n_hit = F.aggregate(F.zip_with("lasts", "firsts", lambda b, a: b - a), F.lit(0).cast("long"), lambda x, y: x + y)
     return out.withColumn("n_hit", n_hit)
 
@@ -145,16 +200,6 @@ def is_contaminated(n_hit, n_words, share: int = 20):
     return (n_hit > 0) & (n_hit * share >= n_words)
 
 
-def spans(found: DataFrame) -> DataFrame:
-    """Adds ``spans``: code points of the original text under each range of hit words."""
-
-    @F.pandas_udf("array<struct<start:long,end:long>>")
-    def locate(text: pd.Series, firsts: pd.Series, lasts: pd.Series) -> pd.Series:
-        return pd.Series([offsets(t, list(zip(a, b, strict=True))) if t is not None and len(a) else [] for t, a, b in zip(text, firsts, lasts, strict=True)])
-
-    return found.withColumn("spans", locate("text", "firsts", "lasts"))
-
-
 def digest(found: DataFrame) -> DataFrame:
     return found.select(
         "doc_id",
@@ -164,5 +209,3 @@ def digest(found: DataFrame) -> DataFrame:
         F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"),
         is_contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"),
     )
-
-
