@@ -24,8 +24,6 @@ from pyspark.sql import functions as F
 
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
-#: Longest piece used, in characters with the mark.
-LONGEST = 8
 UNKNOWN = 1e-7
 #: Labelled rows learnt from, about so many of each language.
 ROWS_A_LANGUAGE = 1000
@@ -49,7 +47,7 @@ def vocabulary(name: str = VOCABULARY) -> list[str]:
     path = name if "/" in name else public_tokenizers.path(name)
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = (model.id_to_piece(i) for i in range(model.get_piece_size()))
-    return sorted({p for p in pieces if len(p) <= LONGEST and (p == MARK or (x := p.removeprefix(MARK)).isalpha() and x == x.lower())})
+    return sorted({p for p in pieces if p == MARK or (x := p.removeprefix(MARK)).isalpha() and x == x.lower()})
 
 
 def _hash(chars: np.ndarray) -> np.ndarray:
@@ -69,21 +67,22 @@ class Pieces:
         self.keys, self.index = keys[order], order.astype(np.int64)
         self.seen = np.zeros(1 << 20, bool)
         self.seen[keys >> np.uint64(44)] = True
-        self.n = len(pieces)
+        self.n, self.longest = len(pieces), max(map(len, pieces), default=1)
 
-    def at(self, chars: np.ndarray) -> list[np.ndarray]:
-        """For each length, the piece that starts at each place of each row: its index, or n if none."""
-        out = []
+    def at(self, chars: np.ndarray) -> dict[int, np.ndarray]:
+        """By length, the piece that starts at each place of each row: its index, or n if none; a length without any is left out, but for 1."""
+        out = {}
         width = chars.shape[1]
         h = np.zeros(chars.shape, np.uint64)
-        for length in range(1, min(LONGEST, width) + 1):
+        for length in range(1, min(self.longest, width) + 1):
             h = h[:, : width - length + 1] * _BASE + chars[:, length - 1 :].astype(np.uint64) + np.uint64(1)
             found = np.full(h.shape, self.n, np.int64)
             maybe = np.nonzero(self.seen[h >> np.uint64(44)])
             x = h[maybe]
             k = np.minimum(np.searchsorted(self.keys, x), self.n - 1)
             found[maybe] = np.where(self.keys[k] == x, self.index[k], self.n)
-            out.append(found)
+            if length == 1 or (found != self.n).any():
+                out[length] = found
         return out
 
 
@@ -101,22 +100,35 @@ def by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
                 yield at, np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(at), n)
 
 
-def _forward(at: list[np.ndarray], p: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """alpha (place, row, language), scaled, and the log of the scale at the end. p: (piece or none, language)."""
-    rows, langs = at[0].shape[0], p.shape[1]
-    alpha = np.zeros((width + 1, rows, langs))
-    alpha[0] = 1
-    scale = np.zeros((rows, langs))
+#: Places after which sums are brought back to about 1.
+RESCALE = 16
+
+
+def _sums(at: dict[int, np.ndarray], p: np.ndarray, width: int, backward: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(place, row, language): sums over the segmentations of all before a place (or after it, ``backward``), and logs of their scales.
+
+    p: (piece or none, language). A sum is its value times e to its scale.
+    """
+    rows, langs = at[1].shape[0], p.shape[1]
+    sums, scale = np.zeros((width + 1, rows, langs)), np.zeros((width + 1, rows, langs))
     single = p.copy()
     single[-1] = UNKNOWN  # a character outside the vocabulary is a piece of its own
-    for j in range(1, width + 1):
-        for length in range(1, min(LONGEST, j) + 1):
-            alpha[j] += alpha[j - length] * (single if length == 1 else p)[at[length - 1][:, j - length]]
-        if j % 16 == 0:
-            m = alpha[j].copy()
-            alpha[max(0, j - LONGEST) : j + 1] /= m
-            scale += np.log(m)
-    return alpha, scale
+    longest = max(at)
+    places = range(width - 1, -1, -1) if backward else range(1, width + 1)
+    sums[width if backward else 0] = 1
+    for n, j in enumerate(places, 1):
+        for length, found in at.items():
+            if length <= n:
+                start, other = (j, j + length) if backward else (j - length, j - length)
+                sums[j] += sums[other] * (single if length == 1 else p)[found[:, start]]
+        if n % RESCALE == 0:
+            m = sums[j].copy()
+            near = slice(j, min(width, j + longest) + 1) if backward else slice(max(0, j - longest), j + 1)
+            sums[near] /= m
+            scale[near] += np.log(m)
+        if n < width:
+            scale[j - 1 if backward else j + 1] = scale[j]
+    return sums, scale
 
 
 @dataclass
@@ -142,8 +154,8 @@ class Scorer:
         """(word, language): log probabilities, and in the last column if the word has a letter."""
         out = np.zeros((len(words), len(self.model.langs) + 1))
         for at, chars in by_length(words):
-            alpha, scale = _forward(self.pieces.at(chars), self.model.p, chars.shape[1])
-            out[at, :-1] = np.log(alpha[-1]) + scale
+            alpha, scale = _sums(self.pieces.at(chars), self.model.p, chars.shape[1])
+            out[at, :-1] = np.log(alpha[-1]) + scale[-1]
         out[:, -1] = [any(map(str.isalpha, w)) for w in words]
         return out
 
@@ -171,7 +183,7 @@ def learn(counts: dict[str, dict[str, int]], pieces: list[str], rounds: int = RO
         lots = [(times[at], chars.shape[1], finder.at(chars)) for at, chars in by_length(words)]
         q = np.zeros(len(pieces) + 1)
         for w, _, at in lots:  # to begin with: how often a piece occurs anywhere
-            for found in at:
+            for found in at.values():
                 q += np.bincount(found.ravel(), np.repeat(w, found.shape[1]), len(q))
         for _ in range(rounds):
             q[-1] = 0
@@ -179,23 +191,12 @@ def learn(counts: dict[str, dict[str, int]], pieces: list[str], rounds: int = RO
             q[-1] = 0
             expected = np.zeros(len(q))
             for w, width, at in lots:
-                if width > 40:  # too long for unscaled sums; such words are rare and no matter for learning
-                    continue
-                single = q.copy()
-                single[-1] = UNKNOWN
-                alpha, beta = np.zeros((width + 1, len(w))), np.zeros((width + 1, len(w)))
-                alpha[0] = beta[width] = 1
-                for j in range(1, width + 1):
-                    for length in range(1, min(LONGEST, j) + 1):
-                        alpha[j] += alpha[j - length] * (single if length == 1 else q)[at[length - 1][:, j - length]]
-                for j in range(width - 1, -1, -1):
-                    for length in range(1, min(LONGEST, width - j) + 1):
-                        beta[j] += beta[j + length] * (single if length == 1 else q)[at[length - 1][:, j]]
-                ratio = w / alpha[width]
-                for length, found in enumerate(at, 1):
+                (alpha, up), (beta, down) = (_sums(at, q[:, None], width, backward) for backward in (False, True))
+                for length, found in at.items():
                     for j in range(width - length + 1):
                         f = found[:, j]
-                        expected += np.bincount(f, ratio * alpha[j] * q[f] * beta[j + length], len(q))
+                        scale = np.exp(up[j, :, 0] + down[j + length, :, 0] - up[width, :, 0]) if width >= RESCALE else 1.0
+                        expected += np.bincount(f, w / alpha[width, :, 0] * scale * alpha[j, :, 0] * q[f] * beta[j + length, :, 0], len(q))
             q = expected
         q[-1] = 0
         p[:, k] = (q + 0.1) / (q.sum() + 0.1 * len(pieces))
