@@ -7,8 +7,10 @@ whole page, whether it is part of the article. It is trained on pages composed b
 kinds of parts that pages have, with and without telling tags, so nothing of the input is learnt from.
 
 Cases: null, empty or text-free html gives an empty text; unclosed, stray and upper-case tags are
-read as browsers do, roughly; character references are decoded once, with or without semicolon;
-white space of any kind inside a block becomes one space; nothing is cut, whatever a page's length.
+read as browsers do, roughly, and what they never end goes to the end of the page; character references
+are decoded once, with or without semicolon; white space of any kind inside a block becomes one space.
+No text is cut, whatever a page's length; a path is of the innermost 32 elements. Reading a page takes
+time in proportion to its length, however deep or broken it is.
 """
 
 from __future__ import annotations
@@ -31,24 +33,30 @@ from panelspark.llm.html_pages import MARK, composed
 PATH_BUCKETS, WORD_BUCKETS = 1024, 2048
 PATH_SIZE, WORD_SIZE, HIDDEN = 12, 8, 16
 SIZES = 6
+#: Elements of a path, and names of an element, that the labeller sees.
+DEPTH, NAMES = 32, 64
 PAGES, STEPS, BATCH, SEED = 2500, 450, 50, 7
 
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is not text of the page.
-_SILENT = "script|style|noscript|template|textarea|iframe|svg|object|canvas|title"
+_SILENT = frozenset("script style noscript template textarea iframe svg object canvas title".split())
+#: A comment, a tag or a declaration, as browsers cut them: a quote counts after = only, and what never ends goes to the page's
+#: end. Possessive throughout, so that a page is read once whatever is wrong with it.
 _TAG = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_SILENT})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
-    re.S | re.I,
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"?+|'[^']*+'?+)?+)*+)>?|<[!?/][^>]*+>?",
+    re.S,
 )
-_ATTR = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_SHUT = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+>?", re.I) for name in _SILENT}
+_ATTR = re.compile(r"(?<![\w-])(?:class|id|role)\s*+=\s*+(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+))", re.I)
 _PART = re.compile(r"[a-z]+", re.I)
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 def leaves(page: str) -> list[tuple[tuple[str, ...], str, float]]:
-    """(path, text, share of the text in links) of each block with text."""
+    """(path, text, share of the text in links) of each block with text. The path is of the innermost DEPTH elements."""
     stack: list[tuple[str, tuple[str, ...]]] = []
+    open_: dict[str, int] = {}
     out: list[tuple[tuple[str, ...], str, float]] = []
     parts: list[str] = []
     linked = in_link = 0
@@ -57,7 +65,7 @@ def leaves(page: str) -> list[tuple[tuple[str, ...], str, float]]:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split()) if parts else ""
         if text:
-            out.append((tuple(x for _, names in stack for x in names), text, min(1.0, linked / len(text))))
+            out.append((tuple(x for _, names in stack[-DEPTH:] for x in names), text, min(1.0, linked / len(text))))
         parts.clear()
         linked = 0
 
@@ -67,34 +75,42 @@ def leaves(page: str) -> list[tuple[tuple[str, ...], str, float]]:
         if in_link:
             linked += len(text)
 
+    def shut() -> str:
+        name, _ = stack.pop()
+        open_[name] -= 1
+        return name
+
     at = 0
-    for m in _TAG.finditer(page):
+    while m := _TAG.search(page, at):
         if m.start() > at:
             add(page[at : m.start()])
         at = m.end()
-        if m[3] is None:
+        if m[2] is None:
             continue
-        name = m[3].lower()
-        if name == "br":
+        name = m[2].lower()
+        if name in _SILENT:
+            if not m[1] and not (name == "svg" and m[3].endswith("/")):
+                end = _SHUT[name].search(page, at)
+                at = end.end() if end else len(page)
+        elif name == "br":
             parts.append(" ")
         elif name == "a":
-            in_link = 0 if m[2] else 1
+            in_link = 0 if m[1] else 1
         elif name in _BLOCK:
             flush()
             in_link = 0 if name in ("p", "li", "div", "td") else in_link
-            if m[2]:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == name:
-                        del stack[i:]
-                        break
+            if m[1]:
+                while open_.get(name) and shut() != name:
+                    pass
             else:
                 if stack and (stack[-1][0] == "p" or stack[-1][0] == name == "li"):
-                    stack.pop()
+                    shut()
                 if name not in _VOID:
                     words = [name]
-                    for found in _ATTR.finditer(m[4]):
-                        words += ["." + x.lower() for v in found.groups() if v for x in _PART.findall(_CAMEL.sub(" ", v))]
+                    for found in _ATTR.finditer(m[3]):
+                        words += ["." + x.lower() for v in found.groups() if v for x in _PART.findall(_CAMEL.sub(" ", v))][: NAMES - len(words)]
                     stack.append((name, tuple(words)))
+                    open_[name] = open_.get(name, 0) + 1
     if at < len(page):
         add(page[at:])
     flush()
