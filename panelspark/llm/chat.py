@@ -7,7 +7,7 @@ strings inside a text are escaped, reversibly: backslashes are doubled, then ``\
 control string's first character. No control string overlaps itself, so the first closing string
 after an opening one always ends the turn, and the string can be read back.
 
-Cases: a null text or role is empty; turns are ordered by (turn, role, text), null first, and
+Cases: a null text or role is empty; rows with a null conv_id are one conversation; turns are ordered by (turn, role, text), null first, and
 repeated rows stay; a role the template lacks is marked with its name in base64 and bears no loss;
 a conversation out of turn order is formatted too, with ``valid`` false. A conversation is one
 output string, so its rows meet in one task: its length, not the table's, bounds that group.

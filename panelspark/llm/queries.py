@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelspark.llm import chat, decontam, fingerprint, html_text, jaccard, langid, packing, pii, quality, substrings
+from panelspark.llm import chat, decontam, fingerprint, html_text, jaccard, langid, oracles, packing, pii, quality, substrings
 from panelspark.llm.shared import read
 
 
@@ -69,4 +69,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language": op10_language,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_substrings": oracles.SUBSTRINGS,
+    "op3_decontaminate": oracles.DECONTAMINATE,
+    "op4_near_duplicates": oracles.NEAR_DUPLICATES,
+    "op5_chat_format": oracles.chat_format(),
+}
