@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from random import Random
 
 _SYLLABLES = "an ar ba be ca ce co da de di el en er es fa ga ha he in is ka la le li lo ma me mi na ne no on or pa pe po ra re ri ro sa se si so ta te ti to un ur va ve vi zu th sh ch ing tion ment eau qu ung keit lich rr ñ é è ö ü ción".split()
@@ -21,6 +22,8 @@ def _sentence(r: Random, n: int | None = None) -> str:
         words = [w + r.choice(["***", "%%%", "!!", " |", "$$$"]) for w in words]
     if r.random() < 0.06:
         words = [w.upper() for w in words]
+    if r.random() < 0.06:
+        words = [w + " |" for w in words]
     return " ".join(words).capitalize() + r.choices([".", "!", "?", ""], [0.9, 0.04, 0.04, 0.02])[0]
 
 
@@ -97,8 +100,34 @@ def _footer(r: Random) -> str:
     return _boxed(r, ["footer", "footer", "footer", 'div class="footer"', 'div id="footer"', 'div class="site-footer legal"', 'div role="contentinfo"'], inner)
 
 
+def _links(r: Random) -> str:
+    """Links to other pages, in a block without a name."""
+    items = [f'<a href="/{i}">{_sentence(r, r.randrange(1, 5)).rstrip(".!?")}</a>' for i in range(r.randrange(2, 6))]
+    head = f"<h{r.randrange(2, 6)}>{_sentence(r, r.randrange(1, 5)).rstrip('.!?')}</h{r.randrange(2, 6)}>" if r.random() < 0.6 else ""
+    return f"<div>{head}{_pick(r, '<br>', ' ', ' | ', '</div><div>').join(items)}</div>"
+
+
+def _colophon(r: Random) -> str:
+    """A last line with a link and little else."""
+    inner = _pick(r, "&copy; ", "", "Copyright ", "&#169; 2014 ") + _sentence(r, r.randrange(2, 9)) + f' <a href="mailto:x">{_sentence(r, r.randrange(1, 4)).rstrip(".!?")}</a>' + _pick(r, "", ".", " | " + f'<a href="/l">{_word(r)}</a>')
+    return _pick(r, f"<div>{inner}</div>", f"<p><small>{inner}</small></p>", f"<td align=center>{inner}</td>")
+
+
+_NAMED = re.compile(r"<(/?)(?:nav|header|footer|aside|article|main|section)\b[^>]*>")
+_NAMES = re.compile(r"\s(?:class|id|role)=(?:\"[^\"]*\"|'[^']*'|[^\s>]+)")
+
+
+def _unnamed(r: Random, page: str) -> str:
+    """The page with tags that tell nothing."""
+    tag = _pick(r, "div", "div", "td", "span></span><div")
+    page = _NAMED.sub(lambda m: f"</{tag.split('<')[-1]}>" if m[1] else f"<{tag}>", page)
+    return _NAMES.sub(lambda _: _pick(r, "", f' class="{r.choice("abcdefg")}{r.randrange(9)}"'), page)
+
+
 #: Ends every text of the article; a private-use character that is taken out again before anything is learnt.
 MARK = "\ue000"
+#: Share of pages whose tags tell nothing.
+UNNAMED = 0.2
 
 
 def composed(r: Random) -> str:
@@ -108,6 +137,7 @@ def composed(r: Random) -> str:
         return text + MARK
 
     body: list[str] = []
+    plain = r.random() < UNNAMED
     if r.random() < 0.9:
         level = _pick(r, "1", "1", "2")
         body.append(f"<h{level}>{own(_sentence(r, r.randrange(2, 12)))}</h{level}>")
@@ -126,10 +156,15 @@ def composed(r: Random) -> str:
             body.append("<table>" + "".join(f"<tr><td>{own(_word(r))}</td><td>{own(_sentence(r, 3))}</td></tr>" for _ in range(r.randrange(1, 4))) + "</table>")
         elif kind < 0.95:
             body.append(f"<div>{own(_text(r))}</div>")
-        else:
+        elif not plain:
             body.append(inner_parts[r.randrange(len(inner_parts))](r))
     if MARK not in "".join(body):
         body.append(f"<p>{own(_text(r))}</p>")
+    if r.random() < 0.15 and body[0].startswith("<h"):
+        body[0] = f"<header>{body[0]}</header>"
+    if r.random() < 0.15:
+        at = r.randrange(len(body))
+        body = [*body[:at], "<section>", *body[at:], "</section>"]
     tag = _pick(r, "article", "article", "article", "main", 'div class="content"', 'div class="post"', 'div id="article-body"', 'div class="entry-content"', 'section class="story"', "div", 'main><article class="post"', 'div role="main"')
     shut = tag.split(">")[-1].lstrip("<").split()[0]
     core = f"<{tag}>" + "".join(body) + ("" if r.random() < 0.05 else f"</{shut}>")
@@ -139,5 +174,9 @@ def composed(r: Random) -> str:
         r.shuffle(before)
     if r.random() < 0.2:
         before, after = ["<div class='wrapper'>", *before], [*after, "</div>"]
+    if plain:  # without names, only what its links and its place tell apart is put around the article
+        before = [f(r) for f, p in ((_links, 0.3), (_menu, 0.9)) if r.random() < p]
+        after = [f(r) for f, p in ((_links, 0.4), (_colophon, 0.5), (_footer, 0.5)) if r.random() < p]
     head = f"<!DOCTYPE html><html><head><title>{_sentence(r)}</title><style>p{{margin:0}}</style><script>var t='</p>';</script></head><body>"
-    return head + "".join(before) + core + "".join(after) + ("</body></html>" if r.random() < 0.9 else "")
+    page = "".join(before) + core + "".join(after)
+    return head + (_unnamed(r, page) if plain else page) + ("</body></html>" if r.random() < 0.9 else "")

@@ -35,7 +35,7 @@ PATH_SIZE, WORD_SIZE, HIDDEN = 12, 8, 16
 SIZES = 6
 #: Elements of a path, and names of an element, that the labeller sees.
 DEPTH, NAMES = 32, 64
-PAGES, STEPS, BATCH, SEED = 2500, 450, 50, 7
+PAGES, STEPS, BATCH, SEED = 3000, 540, 50, 7
 
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())

@@ -240,6 +240,80 @@ def test_main_text_learns_composed_pages():
     assert np.mean(hit) > 0.97
 
 
+def test_main_text_of_pages_written_by_hand():
+    """Pages unlike the composed ones, judged block by block."""
+    from collections import Counter
+
+    from panelspark.llm import html_text
+    from tests.llm.pages import PAGES
+
+    model = html_text.trained()
+    both = got = want = 0
+    for page, blocks in PAGES:
+        found = html_text.main_texts(model, [page])[0]
+        found, right = Counter(found.split("\n\n") if found else []), Counter(blocks)
+        both, got, want = both + (found & right).total(), got + found.total(), want + right.total()
+    assert 2 * both / (got + want) > 0.9
+
+
+def test_leaves_of_broken_pages():
+    """In time in proportion to the length, however deep or broken a page is."""
+    from time import time
+
+    from panelspark.llm import html_text
+
+    n = 100_000
+    began = time()
+    for page in ("<div>x" * n, "<a " * n, '<a "' * n, '<a x="' * n, "<div>" * n + "</p>" * n, "</section>" * n + "<div>" * n, "<!--" * n, "<script>" * n, "<a ====\'" * n, "<" * 5 * n, "&" * 5 * n, "<div class=\'" + "a " * n + "\'>x", "<div " + "id=x " * n + ">x"):
+        html_text.leaves(page)
+    assert time() - began < 20
+    texts = lambda page: [t for _, t, _ in html_text.leaves(page)]
+    assert texts("<!-->a<p title='a>b'>hi <b>x</b> 1 < 2 <3<!-- c --><svg/>q<SCRIPT>no</ScRiPt >yes<textarea>k") == ["a", "hi x 1 < 2 <3qyes"]
+    assert texts("<p>a<p>b</div>c<li>d<li>e<br>f &amp g") == ["a", "b", "c", "d", "e f & g"]
+    assert texts("<title>no</title><style>p{}</style>t<p>u<template><p>v</template>w") == ["t", "uw"]
+    assert texts("a<p b=\"c") == ["a"]
+
+
+def test_clashing_columns(spark, tmp_path):
+    """Columns of the input that have the names of an operator's own."""
+    from panelspark.llm import html_text, langid, pii, quality
+
+    rows = [(i, f"text {i} of words a@b.org", "x") for i in range(3)]
+    names = ("tails", "keep", "p_good", "html", "url", "held_out", "lang_pred", "telling", "_telling", "term", "row", "text_hash")
+    docs = spark.createDataFrame([(*r, *(["z"] * len(names))) for r in rows], ", ".join(["doc_id long", "text string", "lang string", *(f"{n} string" for n in names)]))
+    scored = quality.score(docs, None)
+    assert scored.columns.count("keep") == 1 and all(r.keep is True and r.tails == "z" for r in scored.collect())
+    assert langid.predict(docs, langid.train(docs)).count() == 3
+    assert pii.sanitise(docs).count() == 3 and pii.sanitise(docs, most_terms=0, carry=("lang",)).count() == 3
+    pages = docs.withColumnRenamed("doc_id", "page_id").withColumn("n_chars", docs.text)
+    assert html_text.extract(pages).count() == 3
+
+
+def test_quality_gradient_and_a_fit_by_hand():
+    """The fit's minimum, by finite differences of the likelihood written out."""
+    from panelspark.llm import quality
+
+    r = np.random.default_rng(5)
+    n, d = 60, 4
+    x = r.random((n, d)) * (r.random((n, d)) < 0.7)
+    grades = np.clip((x @ [2.0, -1, 0, 1] + r.normal(0, 0.4, n)).round().astype(int), 0, 2)
+    row, col = np.nonzero(x)
+    model = quality.fit((row, col, x[row, col]), grades, steps=4000, l2=0.01, least_texts=1, rate=0.02)
+    part = np.array(quality.GRADE_WEIGHTS)[grades]
+
+    def loss(w, theta):
+        s = x @ w
+        below = np.concatenate([np.zeros((n, 1)), 1 / (1 + np.exp(s[:, None] - theta[None])), np.ones((n, 1))], 1)
+        return -(part / part.sum() * np.log(below[np.arange(n), grades + 1] - below[np.arange(n), grades])).sum() + 0.005 * (w**2).sum()
+
+    w, theta = model.weights[:d].astype(float), model.thresholds
+    best = loss(w, theta)
+    for k in range(d + 2):
+        for step in (-1e-3, 1e-3):
+            move = np.eye(d + 2)[k] * step
+            assert loss(w + move[:d], theta + move[d:]) > best - 1e-7
+
+
 def test_personal_data(spark, place):
     got = {r.doc_id: r for r in QUERIES["op7_sanitise"](spark, place).collect()}
     docs = dict(table(place, "documents", "doc_id", "text"))
@@ -499,3 +573,21 @@ def test_language_against_plain_sums(spark, tmp_path):
         sums = [sum(total(w, k) for w in words) for k in range(len(model.langs))]
         best = max(range(len(sums)), key=sums.__getitem__)
         assert r.lang_pred == model.langs[best] and r.score == pytest.approx(1 / sum(exp(x - sums[best]) for x in sums), rel=1e-6)
+
+
+@pytest.mark.parametrize("name", ["op2_substrings", "op3_decontaminate", "op4_near_duplicates", "op5_chat_format"])
+def test_query_equals_its_sql(spark, place, name):
+    import duckdb
+
+    from panelspark.llm.queries import ORACLES
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "conversations"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{place}/{t}.parquet')")
+    if name in ("op2_substrings", "op4_near_duplicates") and place != SUPPLIED:
+        pytest.skip("SQL of this one takes distinct ids that aren't null")
+    want = con.sql(ORACLES[name])
+    at = [want.columns.index(c) for c in sorted(want.columns)]
+    df = QUERIES[name](spark, place)
+    assert sorted(df.columns) == sorted(want.columns)
+    assert ordered(tuple(r[i] for i in at) for r in want.fetchall()) == ordered(tuple(r[c] for c in sorted(df.columns)) for r in df.collect())
