@@ -20,23 +20,40 @@ _FLAG_TOKEN = "(?:HIGH|LOW|H|L|ABN|ABNORMAL|CRIT|CRITICAL|ALERT)"
 PRIMARY = f"(?i)^[ ]*(.+?)[ ]+([<>]?[0-9]+(?:[.][0-9]+)?)(?:[ ]+({_FLAG_TOKEN}))?(?:[ ]+({_UNIT_TOKEN}))?(?:[ ]+([0-9]+(?:[.][0-9]+)?[ ]*-[ ]*[0-9]+(?:[.][0-9]+)?))?(?:[ ]+.*)?$"
 
 
+def once(value: Column, use) -> Column:
+    """use(value), with the value worked out once a row however often it is used: it is a lambda's variable."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def coarse_fields(text: Column) -> Column:
     """struct(test_name, result_value, unit, reference_range, n_flags): the first number splits the row, a unit may follow within 20 characters."""
-    text = F.trim(text)
-    value = _group(text, VALUE, 1)
-    at = F.regexp_instr(text, F.lit(VALUE))
-    name = F.nullif(F.trim(F.substring(text, F.lit(1), at - 1)), F.lit(""))
-    after = F.substring(text, at + F.length(value), F.lit(20))
-    unit = _group(after, L.UNIT_AFTER_VALUE, 1)
-    flags = F.size(F.filter(F.split(text, "[ \t]+"), lambda t: F.upper(t).isin("HIGH", "LOW", "H", "L", "↑", "↓")))
-    none = value.isNull()
-    only = lambda c: F.when(~none, c)
-    return F.struct(only(name).alias("test_name"), F.trim(value).alias("result_value"), only(unit).alias("unit"), only(F.trim(_group(text, RANGE, 1))).alias("reference_range"), F.coalesce(only(flags), F.lit(0)).cast("long").alias("n_flags"))
+    return once(F.trim(text), lambda t: once(_group(t, VALUE, 1), lambda v: _around_value(t, v)))
+
+
+def _around_value(text: Column, value: Column) -> Column:
+    def fields(at: Column) -> Column:
+        name = F.nullif(F.trim(F.substring(text, F.lit(1), at - 1)), F.lit(""))
+        after = F.substring(text, at + F.length(value), F.lit(20))
+        unit = _group(after, L.UNIT_AFTER_VALUE, 1)
+        flags = F.size(F.filter(F.split(text, "[ \t]+"), lambda t: F.upper(t).isin("HIGH", "LOW", "H", "L", "↑", "↓")))
+        only = lambda c: F.when(value.isNotNull(), c)
+        return F.struct(only(name).alias("test_name"), F.trim(value).alias("result_value"), only(unit).alias("unit"), only(F.trim(_group(text, RANGE, 1))).alias("reference_range"), F.coalesce(only(flags), F.lit(0)).cast("long").alias("n_flags"))
+
+    return once(F.instr(text, value), fields)
 
 
 def parse_row(text: Column) -> Column:
-    """struct(test_name, result_value, units, reference_range, flag, warning) by the primary pattern; a flag read as unit is moved."""
-    g = lambda n: F.trim(_group(text, PRIMARY, n))
+    """struct(test_name, result_value, units, reference_range, flag, warning) by the primary pattern; a flag read as unit is moved.
+
+    The pattern spans the row, so one replacement by its groups gives all of them.
+    """
+    mark = "\x01"
+    groups = F.split(F.regexp_replace(text, PRIMARY, mark.join(["", *(f"${i}" for i in range(1, 6))])), mark)
+    return once(groups, _parsed)
+
+
+def _parsed(groups: Column) -> Column:
+    g = lambda n: F.nullif(F.trim(F.get(groups, n)), F.lit(""))
     unit_is_flag = F.upper(g(4)).rlike(f"^{_FLAG_TOKEN}$") & g(3).isNull()
     flag = flag_word(F.coalesce(g(3), F.when(unit_is_flag, g(4))))
     raw = F.when(F.coalesce(unit_is_flag, F.lit(False)), F.lit(None)).otherwise(g(4))

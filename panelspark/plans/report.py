@@ -382,8 +382,7 @@ d AS (SELECT *, avg_panel * 0.6::DOUBLE + mean * 0.3::DOUBLE + least(n_panels /
 SELECT doc_id, n_panels, n_tests, in_review, high, low, round(avg_panel + 1e-9, 6) AS avg_panel, round(mean + 1e-9, 6) AS mean, round(median + 1e-9, 6) AS median, round(min + 1e-9, 6) AS min, round(max + 1e-9, 6) AS max, round(std + 1e-9, 5) AS std, round(score + 1e-9, 6) AS score,
  score < 0.75 OR in_review > n_panels * 0.3 OR avg_panel < 0.6 OR low > 0 OR n_tests < 5 AS needs_review FROM d""")
 def document_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tests = _tests(spark, sf_dir)
-    out = scoring.document_scores(scoring.panel_scores(tests), tests)
+    out = scoring.document_scores(scoring.panel_scores(_tests(spark, sf_dir), with_tests=True))
     return out.withColumns({c: _rounded(c) for c in ("avg_panel", "mean", "median", "min", "max", "score")} | {"std": F.round(F.col("std") + 1e-9, 5)})
 
 
