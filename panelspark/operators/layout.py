@@ -112,6 +112,30 @@ def repeated_texts(rows: DataFrame, least_pages: int = 2) -> DataFrame:
     return rows.where(edge(F.col("y"))).groupBy("doc_id", masked.alias("masked")).agg(F.countDistinct("page").alias("pages"), F.count("*").alias("lines")).where(F.col("pages") >= least_pages)
 
 
+def similar_texts(texts: DataFrame, least: float = 0.85) -> DataFrame:
+    """Pairs of a document's texts (doc_id, text), distinct, by the cosine of their TF-IDF of runs of two to four characters.
+
+    Texts meet by the runs they share; a run's weight is its count times 1 + ln((1 + texts) / (1 + texts with it)).
+    """
+
+    def of(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length("text") - n + 1)
+        return F.when(F.length("text") >= n, F.transform(starts, lambda i: F.substring("text", i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    runs = F.flatten(F.array(*map(of, (2, 3, 4))))
+    distinct = texts.select("doc_id", "text").distinct()
+    size = distinct.groupBy("doc_id").agg(F.count("*").alias("texts"))
+    tf = distinct.select("doc_id", "text", F.explode(runs).alias("run")).groupBy("doc_id", "text", "run").agg(F.count("*").alias("tf"))
+    df = tf.groupBy("doc_id", "run").agg(F.count("*").alias("df"))
+    weighed = tf.join(df, ["doc_id", "run"]).join(size, "doc_id").withColumn("w", F.col("tf") * (1 + F.log((1 + F.col("texts")) / (1 + F.col("df")))))
+    norm = weighed.groupBy("doc_id", "text").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    unit = weighed.join(norm, ["doc_id", "text"]).select("doc_id", "run", "text", (F.col("w") / F.col("norm")).alias("w"))
+    a, b = unit.alias("a"), unit.where("true").alias("b")
+    met = a.join(b, (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.run") == F.col("b.run")) & (F.col("a.text") < F.col("b.text")))
+    out = met.groupBy(F.col("a.doc_id").alias("doc_id"), F.col("a.text").alias("a"), F.col("b.text").alias("b")).agg(F.sum(F.col("a.w") * F.col("b.w")).alias("cosine"))
+    return out.where(F.col("cosine") >= least)
+
+
 def words_of(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), "[ \t]+"), lambda w: w != ""))
 

@@ -62,6 +62,27 @@ def _parsed(groups: Column) -> Column:
     return F.struct(g(1).alias("test_name"), g(2).alias("result_value"), unit.alias("units"), F.replace(g(5), F.lit(" "), F.lit("")).alias("reference_range"), flag.alias("flag"), warning.alias("warning"))
 
 
+# Fixed values.
+METHODS = ["(?i)(?:Method|Methodology)[ \t:]*([^,\n]+)", "(?i)(?:^|[^A-Za-z0-9_])(Immunoassay|LC/MS-MS|LC-MS|HPLC|RIA|ELISA|PCR|Flow Cytometry|Microscopy)(?:[^A-Za-z0-9_]|$)"]
+CLOCK = ["(?i)(?:^|[^A-Za-z0-9_])([0-9]{1,2}:[0-9]{2}[ \t]*(?:AM|PM))(?:[^A-Za-z0-9_]|$)", "(?:^|[^A-Za-z0-9_])([0-9]{1,2}:[0-9]{2})(?:[^A-Za-z0-9_]|$)"]
+
+
+def row_extras(text: Column, *fields: Column) -> Column:
+    """struct(methodology, observed_at, comments): the latter is what is left of the text without its fields, if it is more than a few characters or a number."""
+    rest = text
+    for f in fields:
+        rest = F.trim(F.when(F.nullif(f, F.lit("")).isNotNull(), F.replace(rest, f, F.lit(""))).otherwise(rest))
+    rest = F.trim(F.regexp_replace(rest, "[^A-Za-z0-9_ \t\n]", " "))
+    says = (F.length(rest) > 5) & ~rest.rlike("^[0-9]+[.]?[0-9]*$")
+    return F.struct(F.trim(F.coalesce(*(_group(text, p, 1) for p in METHODS))).alias("methodology"), F.coalesce(*(_group(text, p, 1) for p in CLOCK)).alias("observed_at"), F.when(says, rest).alias("comments"))
+
+
+def lexicon_confidence(base: Column, lexicon: Column, in_context: Column) -> Column:
+    """Three fifths of a pattern's confidence and two of the word lists', less a fifth where the line's role doesn't fit; between 0 and 1."""
+    mixed = base * 0.6 + lexicon * 0.4
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(in_context, mixed).otherwise(mixed * 0.8)))
+
+
 def value_score(v: Column) -> Column:
     v = F.trim(v)
     n = "[0-9]+[.]?[0-9]*"

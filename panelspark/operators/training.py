@@ -63,6 +63,32 @@ def entity_scores(truth: DataFrame, pred: DataFrame, on: list[str]) -> DataFrame
     return n.withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
+def classification_metrics(rows: DataFrame) -> DataFrame:
+    """rows(truth, pred, confidence) -> for each true label and for all (null): n, right, accuracy, mean confidence, and how many are in each band of confidence."""
+    c = F.col("confidence")
+    among = lambda test: F.count(F.when(test, 1))
+    judged = rows.select("truth", (F.col("truth") == F.col("pred")).alias("hit"), "confidence")
+    out = judged.rollup("truth").agg(F.count("*").alias("n"), among(F.col("hit")).alias("right"), F.avg("confidence").alias("mean_confidence"), among(c > 0.9).alias("over_90"), among((c > 0.7) & (c <= 0.9)).alias("to_90"), among((c > 0.5) & (c <= 0.7)).alias("to_70"), among(c <= 0.5).alias("to_50"))
+    return out.withColumn("accuracy", F.col("right") / F.col("n"))
+
+
+def set_checks(rows: DataFrame, rare: int = 5, least_rows: int = 20, ratio: int = 10) -> DataFrame:
+    """rows(label) -> one row: labels, the largest and the least count, if they are out of balance, labels with few examples, if result rows are too few."""
+    counts = rows.groupBy("label").agg(F.count("*").alias("n"))
+    some = counts.agg(F.count("*").alias("labels"), F.max("n").alias("most"), F.min("n").alias("fewest"), F.count(F.when(F.col("n") < rare, 1)).alias("rare"), F.coalesce(F.max(F.when(F.col("label") == "TEST_ROW", F.col("n"))), F.lit(0)).alias("test_rows"))
+    return some.withColumns({"unbalanced": F.col("most") > ratio * F.col("fewest"), "few_test_rows": F.col("test_rows") < least_rows})
+
+
+def tag_stats(tokens: DataFrame, mostly: float = 0.8, seldom: float = 0.3) -> DataFrame:
+    """tokens(id, tag) -> entities (B), tokens (B and I) and examples of each type; and for O its share of all tokens and the band it is in."""
+    kind = F.when(F.col("tag") == "O", "O").otherwise(F.substring_index("tag", "-", -1))
+    each = tokens.groupBy(kind.alias("type")).agg(F.count(F.when(F.col("tag").startswith("B-"), 1)).alias("entities"), F.count("*").alias("tokens"), F.countDistinct("id").alias("examples"))
+    total = each.agg(F.sum("tokens").alias("total"))
+    share = F.when(F.col("type") == "O", F.col("tokens") / F.col("total"))
+    band = F.when(share > mostly, "mostly outside").when(share < seldom, "seldom outside").when(share.isNotNull(), "balanced")
+    return each.crossJoin(F.broadcast(total)).select("type", "entities", "tokens", "examples", F.round(share, 6).alias("share"), band.alias("band"))  # one row of totals
+
+
 def fit_role_classifier(rows: DataFrame, features: int = 1 << 14):
     """Word and bigram TF-IDF with three numbers, and a balanced logistic regression; rows(text, y, is_bold, label)."""
     from pyspark.ml import Pipeline

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from panelspark.functions import text as T
 from panelspark.operators import corrections, meta, registry, training
 from panelspark.plans.report import ROLES, _roles
+from panelspark.sources.scratch import scratch
 from panelspark.streaming import ingest
 
 QUERIES: dict = {}
@@ -408,7 +409,9 @@ def prob_lookup_left(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def role_classifier_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fits the role classifier on all rows of four fifths of the documents and counts right and wrong on the rest."""
-    rows = training.role_features(_roles(spark, sf_dir).select("doc_id", "text", "y", "is_bold", F.col("role").alias("label")))
+    path = scratch(spark, "roles")  # a fit reads its rows many times
+    training.role_features(_roles(spark, sf_dir).select("doc_id", "text", "y", "is_bold", F.col("role").alias("label"))).write.parquet(path)
+    rows = spark.read.parquet(path)
     model = training.fit_role_classifier(rows.where("doc_id % 5 <> 0"))
     out = model.transform(rows.where("doc_id % 5 = 0").withColumn("weight", F.lit(1.0)))
     return out.groupBy("label", (F.col("index") == F.col("prediction")).alias("right")).agg(F.count("*").alias("n"))

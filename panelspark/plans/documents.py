@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions import text as T
 from panelspark.functions import tokens
-from panelspark.operators import headers, labels, layout, panels, registry, results
+from panelspark.operators import headers, labels, layout, panels, registry, results, rows, training
 from panelspark.plans import report
 from panelspark.plans.sql import CELLS
 from panelspark.sources.lines import synthetic_cells
@@ -380,3 +380,55 @@ def migration_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_type AS kind, event_id AS seq, CAST(row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS INT) AS place FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) <= 7")
 def last_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.last_events(_t(spark, sf_dir, "events").select(F.col("event_type").alias("kind"), F.col("event_id").alias("seq")), 7)
+
+
+# Measures -------------------------------------------------------------------------------------------------------
+
+_JUDGED = "j AS (SELECT l_returnflag AS truth, CASE WHEN l_partkey % 4 = 0 THEN 'N' ELSE l_returnflag END AS pred, (l_suppkey * 3 + l_partkey) % 100 / 100.0::DOUBLE AS confidence FROM lineitem)"
+
+
+@query(f"""WITH {_JUDGED} SELECT truth, count(*) AS n, count(*) FILTER (truth = pred) AS "right", round(avg(confidence) + 1e-9, 6) AS mean_confidence, count(*) FILTER (confidence > 0.9) AS over_90, count(*) FILTER (confidence > 0.7 AND confidence <= 0.9) AS to_90,
+count(*) FILTER (confidence > 0.5 AND confidence <= 0.7) AS to_70, count(*) FILTER (confidence <= 0.5) AS to_50, round(count(*) FILTER (truth = pred) / count(*)::DOUBLE + 1e-9, 6) AS accuracy FROM j GROUP BY ROLLUP (truth)""")
+def classification_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, f = F.col("l_partkey"), F.col("l_returnflag")
+    judged = _t(spark, sf_dir, "lineitem").select(f.alias("truth"), F.when(p % 4 == 0, "N").otherwise(f).alias("pred"), ((F.col("l_suppkey") * 3 + p) % 100 / 100).alias("confidence"))
+    out = training.classification_metrics(judged)
+    return out.withColumns({c: F.round(F.col(c) + 1e-9, 6) for c in ("mean_confidence", "accuracy")})
+
+
+@query(f"""WITH {report.ROLES}, c AS (SELECT role, count(*) AS n FROM roles GROUP BY role)
+SELECT count(*) AS labels, max(n) AS most, min(n) AS fewest, count(*) FILTER (n < 5) AS rare, coalesce(max(n) FILTER (role = 'TEST_ROW'), 0) AS test_rows, max(n) > 10 * min(n) AS unbalanced, coalesce(max(n) FILTER (role = 'TEST_ROW'), 0) < 20 AS few_test_rows FROM c""")
+def training_set_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training.set_checks(report._roles(spark, sf_dir).select(F.col("role").alias("label")))
+
+
+@query("""WITH t AS (SELECT event_id // 10 AS id, CASE event_id % 6 WHEN 0 THEN 'B-NAME' WHEN 1 THEN 'I-NAME' WHEN 2 THEN 'B-VALUE' ELSE 'O' END AS tag FROM events), e AS (SELECT CASE WHEN tag = 'O' THEN 'O' ELSE substr(tag, 3) END AS type, count(*) FILTER (tag LIKE 'B-%') AS entities, count(*) AS tokens, count(DISTINCT id) AS examples FROM t GROUP BY 1)
+SELECT *, CASE WHEN type = 'O' THEN round(tokens / (SELECT sum(tokens) FROM e)::DOUBLE, 6) END AS share, CASE WHEN type = 'O' THEN 'balanced' END AS band FROM e""")
+def tag_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id")
+    return training.tag_stats(_t(spark, sf_dir, "events").select(F.floor(k / 10).alias("id"), _case(k % 6, ["B-NAME", "I-NAME", "B-VALUE", "O", "O", "O"]).alias("tag")))
+
+
+@query("""WITH t AS (SELECT DISTINCT p_partkey % 25 AS doc_id, lower(p_name || ' ' || p_type) AS text FROM part), n AS (SELECT doc_id, count(*) AS texts FROM t GROUP BY doc_id),
+g AS (SELECT doc_id, text, substr(text, i, k) AS run FROM t, (SELECT unnest([2, 3, 4]) AS k), unnest(range(1, length(text) - k + 2)) AS r(i)),
+tf AS (SELECT doc_id, text, run, count(*) AS tf FROM g GROUP BY ALL), df AS (SELECT doc_id, run, count(*) AS df FROM tf GROUP BY ALL),
+w AS MATERIALIZED (SELECT tf.doc_id, text, tf.run, tf * (1 + ln((1 + texts) / (1 + df)::DOUBLE)) AS w FROM tf JOIN df ON tf.doc_id = df.doc_id AND tf.run = df.run JOIN n ON n.doc_id = tf.doc_id),
+u AS MATERIALIZED (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id, text)) AS u FROM w)
+SELECT a.doc_id, a.text AS a, b.text AS b, round(sum(a.u * b.u), 6) AS cosine FROM u a JOIN u b ON a.doc_id = b.doc_id AND a.run = b.run AND a.text < b.text GROUP BY ALL HAVING sum(a.u * b.u) >= 0.4""")
+def similar_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = _t(spark, sf_dir, "part").select((F.col("p_partkey") % 25).alias("doc_id"), F.lower(_cat(F.col("p_name"), " ", F.col("p_type"))).alias("text"))
+    return layout.similar_texts(texts, 0.4).withColumn("cosine", F.round("cosine", 6))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'dry ' || p_size WHEN 1 THEN 'HPLC' END AS methodology, CASE p_partkey % 4 WHEN 2 THEN '9:05 am' WHEN 3 THEN '19:30' END AS observed_at,
+CASE p_partkey % 4 WHEN 0 THEN 'Method  dry ' || p_size WHEN 2 THEN 'at 9 05 am  hemolyzed' END AS comments FROM part""")
+def row_extras(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("p_size")
+    text = _case(F.col("p_partkey") % 4, [_cat("Glucose 777 Method: dry ", n, ""), "Glucose 777 HPLC", "Glucose 777 at 9:05 am (hemolyzed)", "Glucose 777 19:30"])
+    return _t(spark, sf_dir, "part").select("p_partkey", rows.row_extras(text, F.lit("Glucose"), F.lit("777")).alias("x")).select("p_partkey", "x.*")
+
+
+@query("SELECT p_partkey, round(CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 0.8 END * ((p_partkey % 11) / 10.0 * 0.6 + (p_size % 11) / 10.0 * 0.4) + 1e-9, 6)::DOUBLE AS confidence FROM part")
+def lexicon_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    return _t(spark, sf_dir, "part").select("p_partkey", F.round(rows.lexicon_confidence(k % 11 / 10, F.col("p_size") % 11 / 10, k % 2 == 0) + 1e-9, 6).alias("confidence"))

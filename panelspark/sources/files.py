@@ -30,6 +30,35 @@ def inbox(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFrame:
     return spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", pattern).load(path)
 
 
+def correction_files(spark: SparkSession, path: str) -> DataFrame:
+    """Correction logs at any depth below a folder: their text and file name."""
+    raw = spark.read.option("pathGlobFilter", "*.txt").option("recursiveFileLookup", True).text(path, wholetext=True)
+    return raw.select(F.col("_metadata.file_name").alias("file_name"), F.trim("value").alias("content"))
+
+
+def golden_records(spark: SparkSession, path: str) -> DataFrame:
+    """Promoted records, a JSON line each: rid, promoted_at, and for a broken line its text as ``error``."""
+    raw = spark.read.schema("rid string, promoted_at string, error string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "error").json(path)
+    return raw.select("rid", "promoted_at", "error")
+
+
+def aged(files: DataFrame, now, days: int = 1) -> DataFrame:
+    """Files (modified) that are due for the archive: older than so many days at a time."""
+    return files.where(F.col("modified") < F.lit(now) - F.make_dt_interval(F.lit(days)))
+
+
+def write_stages(stages: dict[str, DataFrame], path: str) -> None:
+    """Each stage of a run as a table of its own below a folder."""
+    for name, df in stages.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def write_training_set(rows: DataFrame, path: str) -> None:
+    """The same rows as JSON lines and as CSV with a header."""
+    rows.write.mode("overwrite").json(f"{path}/jsonl")
+    rows.write.mode("overwrite").option("header", True).csv(f"{path}/csv")
+
+
 def write_reports(reports: DataFrame, path: str) -> None:
     """A JSON line a document; nulls are left out."""
     reports.write.mode("overwrite").option("ignoreNullFields", True).json(path)
@@ -42,10 +71,13 @@ def append_log(items: DataFrame, path: str) -> None:
 
 def tagged_lines(spark: SparkSession, path: str, defaults: dict[str, str]) -> DataFrame:
     """Training lines from CSV or JSON files: camelCase names become snake_case, label becomes role, missing fields their default."""
-    csv = path.rstrip("/").endswith(".csv")
-    df = spark.read.option("header", True).csv(path) if csv else spark.read.option("multiLine", True).json(path)
     import re
 
+    # what the files are shows in their first character, not in their name
+    start = spark.read.text(path, wholetext=True).select(F.substring(F.ltrim("value"), 1, 1).alias("c")).where("c <> ''").head()
+    is_json = start is not None and start.c in "[{"
+    df = spark.read.option("multiLine", start.c == "[").json(path) if is_json else spark.read.option("header", True).csv(path)
+
     names = {c: re.sub(r"(?<=[a-z])(?=[A-Z])", "_", c).lower() for c in df.columns}
     df = df.withColumnsRenamed({c: "role" if n == "label" else n for c, n in names.items()})
     return df.select(*[F.coalesce(F.col(c).cast("string"), F.lit(d)).alias(c) if c in df.columns else F.lit(d).alias(c) for c, d in defaults.items()])

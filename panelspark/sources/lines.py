@@ -54,7 +54,9 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Line files in any of three shapes: a list of lines, {lines: [...]} or {data: {lines: [...]}}; camelCase keys too."""
     line = "array<struct<page:int,text:string,xLeft:double,xRight:double,yNorm:double,fontSize:double,isBold:boolean,hasText:boolean,x_left:double,x_right:double,y_norm:double,font_size:double,is_bold:boolean,has_text:boolean>>"
     raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("source"), F.col("value"))
-    lists = F.coalesce(F.from_json("value", line), F.from_json(F.get_json_object("value", "$.lines"), line), F.from_json(F.get_json_object("value", "$.data.lines"), line))
+    # an object isn't read as a list of one
+    whole = F.when(F.ltrim("value").startswith("["), F.col("value"))
+    lists = F.from_json(F.coalesce(whole, F.get_json_object("value", "$.lines"), F.get_json_object("value", "$.data.lines")), line)
     one = raw.select("source", F.posexplode(lists).alias("line_no", "l"))
     both = lambda a, b, default=None: F.coalesce(*(F.col(f"l.{x}") for x in (a, b)), F.lit(default))
     return one.select(

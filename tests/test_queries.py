@@ -7,12 +7,12 @@ from collections import Counter
 
 import pytest
 
-from panelspark.plans import catalog, documents, report
+from panelspark.plans import catalog, documents, files, report
 
 SUPPLIED = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUERIES = report.QUERIES | catalog.QUERIES | documents.QUERIES
-ORACLES = report.ORACLES | catalog.ORACLES | documents.ORACLES
+QUERIES = report.QUERIES | catalog.QUERIES | documents.QUERIES | files.QUERIES
+ORACLES = report.ORACLES | catalog.ORACLES | documents.ORACLES | files.ORACLES
 
 
 def plain(value):
@@ -44,19 +44,41 @@ def test_query_equals_its_sql(spark, duck, name):
     assert got == Counter(tuple(plain(r[i]) for i in at) for r in want.fetchall())
 
 
-@pytest.mark.parametrize("name", ["json_set_unset", "quarantine_greedy"])
+@pytest.mark.parametrize("name", ["json_set_unset", "compose_full"])
 def test_query_without_sql_has_rows(spark, name):
     if not os.path.isdir(SUPPLIED):
         pytest.skip("no supplied tables")
     assert QUERIES[name](spark, SUPPLIED).limit(1).count() == 1
 
 
+def test_greedy_repeats_against_plain_loop(spark):
+    if not os.path.isdir(SUPPLIED):
+        pytest.skip("no supplied tables")
+    want = set()
+    docs: dict = {}
+    for r in report._rows(spark, SUPPLIED).where("y < 100 or y > 900").collect():
+        docs.setdefault(r.doc_id, []).append(r)
+    for doc, rows in docs.items():
+        clusters: list[list] = []
+        for r in sorted(rows, key=lambda r: r.row_no):
+            like = lambda c: all(m.page != r.page for m in c) and abs(c[0].y - r.y) < 100 and 100 * len(set(c[0].text.lower().split()) & set(r.text.lower().split())) >= 60 * len(set(c[0].text.lower().split()) | set(r.text.lower().split()))  # noqa: B023, E731
+            found = next((c for c in clusters if like(c)), None)
+            if found is None:
+                clusters.append([r])
+            else:
+                found.append(r)
+        want |= {(doc, k, m.row_no) for k, c in enumerate(clusters) if len({m.page for m in c}) > 1 for m in c}
+    assert {(r.doc_id, r.cluster, r.row_no) for r in QUERIES["quarantine_greedy"](spark, SUPPLIED).collect()} == want and want
+
+
 def test_role_classifier_judges_every_row(spark):
     if not os.path.isdir(SUPPLIED):
         pytest.skip("no supplied tables")
-    got = Counter()
+    got, right = Counter(), 0
     for r in QUERIES["role_classifier_fit"](spark, SUPPLIED).collect():
         got[r.label] += r.n
+        right += r.n * r.right
+    assert right > 0.95 * got.total()
     assert got == Counter(r.role for r in report._roles(spark, SUPPLIED).where("doc_id % 5 = 0").select("role").collect())
 
 
