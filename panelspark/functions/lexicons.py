@@ -41,6 +41,15 @@ PANEL_INDICATORS = ["comprehensive metabolic panel", "cmp", "complete blood coun
 HEADER_TERMS = ["Specimen ID", "Acct #", "Phone", "Client", "Rte"]
 GUARD_UNITS = ["mg/dL", "g/dL", "mEq/L", "mmol/L", "uIU/mL", "IU/L", "ng/mL", "pg/mL", "mcg/dL", "ug/dL", "mg/L", "g/L", "%", "ratio", "index", "units/L", "U/L", "mU/L", "fL", "pg", "K/uL", "M/uL", "cells/uL", "per hpf", "copies/mL", "cells/mL", "mg", "g", "mL", "L", "cm", "mm", "bpm"]
 CODE_FORM = "(?i)(?:^|[^A-Za-z0-9_]){kind}[ \t]*[:#]?[ \t]*([A-Za-z0-9-]+)"
+ASSIGNED_PANELS = "(?i)\\b(CMP|COMPREHENSIVE METABOLIC PANEL|CBC|COMPLETE BLOOD COUNT|LIPID PANEL|TSH|THYROID|BASIC METABOLIC PANEL|BMP|LIVER FUNCTION|KIDNEY FUNCTION|ELECTROLYTES|CHEMISTRY)\\b"
+ASSIGNED_UNITS = "(?i)\\b[0-9]+[.]?[0-9]*[ \\t]*(mmol|mEq|IU|U/L|ng/mL|mg/dL|g/dL|mcg/dL|µg/L|pg/mL|x10\\^[0-9]+|%|cells/µL|fL|pg|g/L|mL|L|U|ng|mg|mcg|µg|cells|K/µL|/µL|/uL|per µL|per uL)\\b"
+SPLIT_NAMES = [r"^([A-Za-z][A-Za-z0-9\s\-,\(\)]+?)\s*(?=\d|<|>|\*)", r"^([A-Za-z][A-Za-z\s\-,\(\)]+?)\s+(?=\d)", r"^([A-Za-z]+(?:\s+[A-Za-z]+)*)\s*(?=\d)"]
+SPLIT_STAGES = {
+    "FLAG": [r"(\*+)", r"\b(HIGH|LOW|H|L)\b", r"\b(CRITICAL|PANIC)\b", r"\b(ABNORMAL|ABN)\b", r"(\!+)"],
+    "VALUE": [r"(\d+\.?\d*)", r"(<\s*\d+\.?\d*)", r"(>\s*\d+\.?\d*)", r"(\d+\.?\d*\s*-\s*\d+\.?\d*)", r"(NEGATIVE|POSITIVE|NEG|POS)", r"(NORMAL|ABNORMAL|HIGH|LOW)", r"(DETECTED|NOT\s+DETECTED)"],
+    "UNIT": [r"\b(mg/dL|g/dL|mmol/L|mEq/L|U/L|IU/L|ng/mL|pg/mL|μg/dL|mcg/dL)", r"\b(K/uL|M/uL|cells/uL|/uL)", r"\b(mm/hr|mmHg|bpm|%|ratio)", r"\b(mg|g|mL|L|units|IU)"],
+    "REF_RANGE": [r"(\d+\.?\d*\s*-\s*\d+\.?\d*)", r"(<\s*\d+\.?\d*)", r"(>\s*\d+\.?\d*)", r"(\d+\.?\d*\s*-\s*\d+\.?\d*\s+[A-Za-z/]+)", r"(NEGATIVE|NOT\s+DETECTED)"],
+}
 # Thresholds and weights: fixed values too.
 STITCH_GAP = 28  # units of x between cells that are one row
 LOW_CONFIDENCE = 0.7

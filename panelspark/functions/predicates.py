@@ -85,3 +85,49 @@ def header_score(text: Column, is_bold: Column, y: Column) -> Column:
     known = F.upper(F.trim(text)).isin(L.PANEL_LEXICON)
     part = lambda c, v: F.when(c, F.lit(v)).otherwise(F.lit(0.0))
     return F.least(F.lit(1.0), part(known, 0.7) + part(is_bold, 0.15) + part(y <= 200, 0.15))
+
+
+def _ladder(rungs: list[tuple[Column, str]], other: str) -> Column:
+    out = F.lit(other)
+    for test, role in reversed(rungs):
+        out = F.when(test, role).otherwise(out)
+    return out
+
+
+def assigned_role(text: Column, is_bold: Column) -> Column:
+    """The ladder for poor models: a panel in bold or capitals, a number with a unit, and words of pages, patients and specimens."""
+    text, low = F.trim(text), F.lower(F.trim(text))
+    return _ladder(
+        [
+            (text == "", "EMPTY"),
+            ((is_bold | is_upper(text)) & text.rlike(L.ASSIGNED_PANELS), "SECTION_PANEL"),
+            (text.rlike(L.ASSIGNED_UNITS), "TEST_ROW"),
+            (low.contains("page"), "PAGE_HEADER"),
+            (any_of(low, ["patient", "name", "dob", "date of birth"]), "HEADER_PATIENT"),
+            (any_of(low, ["specimen", "collected", "accession"]), "HEADER_SPECIMEN"),
+        ],
+        "OTHER",
+    )
+
+
+def simple_role(text: Column) -> Column:
+    """The shortest ladder: capitals, and words of results, patients and pages."""
+    text, low = F.trim(text), F.lower(F.trim(text))
+    words = [(["test", "result", "normal", "high", "low"], "TEST_ROW"), (["patient", "name", "dob", "id"], "PATIENT_INFO"), (["page"], "PAGE_HEADER")]
+    return _ladder([(text == "", "EMPTY"), (is_upper(text) & (F.length(text) > 10), "SECTION_PANEL"), *((any_of(low, w), role) for w, role in words)], "OTHER")
+
+
+def hinted_role(text: Column, hint: Column, tertile: Column) -> Column:
+    """The ladder where no model loads: by the third of the page and a hint that a line is a header."""
+    low = F.lower(F.trim(text))
+    head = hint | (tertile == 2)
+    return _ladder(
+        [
+            (head & any_of(low, ["patient", "name", "dob", "id"]), "HEADER_PATIENT"),
+            (head, "SECTION_PANEL"),
+            (tertile == 0, "PAGE_FOOTER"),
+            (any_of(low, ["test", "result", "value"]), "TEST_ROW"),
+            (low.startswith("#") | low.contains("comment"), "COMMENT"),
+        ],
+        "SECTION_MISC",
+    )

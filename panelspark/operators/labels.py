@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelspark.functions import lexicons as L
+
 _RESULT = "struct<from_name:string,type:string,value:struct<choices:array<string>,text:array<string>,start:int,end:int,labels:array<string>,rectanglelabels:array<string>,x:double,y:double>>"
 TASK = f"struct<id:long,data:struct<text:string,page:int,y:double,is_bold:boolean>,annotations:array<struct<result:array<{_RESULT}>>>>"
 
@@ -49,3 +54,50 @@ def from_templates(templates: DataFrame, values: DataFrame, each: int) -> DataFr
     due = values.withColumn("template_no", F.explode(F.transform(F.sequence(F.lit(0), F.lit(each - 1)), lambda i: (F.col("value_no") + i) % n)))
     text = F.replace(F.replace("template", F.lit("{name}"), F.col("name")), F.lit("{unit}"), F.col("unit"))
     return due.join(templates, "template_no").select("value_no", "template_no", text.alias("text"))
+
+
+def rule_spans(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, label) of a row's parts by rules, stage by stage: name, flags, values, units, ranges. A stage leaves what earlier ones took."""
+    out: list[tuple[int, int, str]] = []
+    for pattern in L.SPLIT_NAMES:
+        if m := re.search(pattern, text, re.I):
+            out.append((*m.span(1), "TEST_NAME"))
+            break
+    else:
+        words = text.split()
+        for n in range(1, min(3, len(words)) + 1 if len(words) >= 2 and words[0].isalpha() else 0):
+            end = text.find(" ".join(words[:n])) + len(" ".join(words[:n]))
+            if re.match("[0-9<>]", text[end:].strip()):
+                out.append((0, end, "TEST_NAME"))
+                break
+    for label, patterns in L.SPLIT_STAGES.items():
+        taken = list(out)
+        for m in (m for p in patterns for m in re.finditer(p, text, re.I)):
+            if not any(a < m.end() and m.start() < b for a, b, _ in taken):
+                out.append((*m.span(), label))
+    return sorted(out, key=lambda s: s[0])
+
+
+def rule_tags(text: str) -> list[str]:
+    """B, I or O of each white-space token: of a type only the first token is B."""
+    places, at = [], 0
+    for word in text.split():
+        start = text.find(word, at)
+        at = start + len(word)
+        places.append((start, at))
+    tags = ["O"] * len(places)
+    for a, b, label in rule_spans(text):
+        for i, (start, end) in enumerate(places):
+            if tags[i] == "O" and a < end and start < b:
+                tags[i] = ("I-" if f"B-{label}" in tags[:i] else "B-") + label
+    return tags
+
+
+def tagged_by_rule(rows: DataFrame) -> DataFrame:
+    """Adds ``tags``: what rule_tags() says of each row's text."""
+
+    @F.pandas_udf("array<string>")
+    def tags(text: pd.Series) -> pd.Series:
+        return text.fillna("").str.strip().map(rule_tags)
+
+    return rows.withColumn("tags", tags("text"))

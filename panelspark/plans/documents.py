@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelspark.functions import text as T
+from panelspark.functions import predicates as P
 from panelspark.functions import tokens
 from panelspark.operators import headers, labels, layout, panels, registry, results, rows, training
 from panelspark.plans import report
@@ -432,3 +432,20 @@ def row_extras(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lexicon_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     return _t(spark, sf_dir, "part").select("p_partkey", F.round(rows.lexicon_confidence(k % 11 / 10, F.col("p_size") % 11 / 10, k % 2 == 0) + 1e-9, 6).alias("confidence"))
+
+
+@query(fr"""WITH {report.ROLES}, t AS (SELECT *, trim(text) AS t, lower(trim(text)) AS low, {report._UP} AS caps, CASE WHEN y <= 330 THEN 0 WHEN y <= 670 THEN 1 ELSE 2 END AS third FROM roles)
+SELECT doc_id, row_no, CASE WHEN t = '' THEN 'EMPTY' WHEN (is_bold OR caps) AND regexp_matches(t, '(?i)\b(CMP|COMPREHENSIVE METABOLIC PANEL|CBC|COMPLETE BLOOD COUNT|LIPID PANEL|TSH|THYROID|BASIC METABOLIC PANEL|BMP|LIVER FUNCTION|KIDNEY FUNCTION|ELECTROLYTES|CHEMISTRY)\b') THEN 'SECTION_PANEL'
+  WHEN regexp_matches(t, '(?i)\b[0-9]+[.]?[0-9]*[ \t]*(mmol|mEq|IU|U/L|ng/mL|mg/dL|g/dL|mcg/dL|µg/L|pg/mL|x10\^[0-9]+|%|cells/µL|fL|pg|g/L|mL|L|U|ng|mg|mcg|µg|cells|K/µL|/µL|/uL|per µL|per uL)\b') THEN 'TEST_ROW'
+  WHEN contains(low, 'page') THEN 'PAGE_HEADER' WHEN regexp_matches(low, 'patient|name|dob|date of birth') THEN 'HEADER_PATIENT' WHEN regexp_matches(low, 'specimen|collected|accession') THEN 'HEADER_SPECIMEN' ELSE 'OTHER' END AS assigned,
+ CASE WHEN t = '' THEN 'EMPTY' WHEN caps AND length(t) > 10 THEN 'SECTION_PANEL' WHEN regexp_matches(low, 'test|result|normal|high|low') THEN 'TEST_ROW' WHEN regexp_matches(low, 'patient|name|dob|id') THEN 'PATIENT_INFO' WHEN contains(low, 'page') THEN 'PAGE_HEADER' ELSE 'OTHER' END AS simple,
+ CASE WHEN is_bold OR third = 2 THEN CASE WHEN regexp_matches(low, 'patient|name|dob|id') THEN 'HEADER_PATIENT' ELSE 'SECTION_PANEL' END WHEN third = 0 THEN 'PAGE_FOOTER' WHEN regexp_matches(low, 'test|result|value') THEN 'TEST_ROW' WHEN low LIKE '#%' OR contains(low, 'comment') THEN 'COMMENT' ELSE 'SECTION_MISC' END AS hinted FROM t""")
+def other_ladders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text, third = F.col("text"), F.when(F.col("y") <= 330, 0).when(F.col("y") <= 670, 1).otherwise(2)
+    return report._roles(spark, sf_dir).select("doc_id", "row_no", P.assigned_role(text, F.col("is_bold")).alias("assigned"), P.simple_role(text).alias("simple"), P.hinted_role(text, F.col("is_bold"), third).alias("hinted"))
+
+
+@query()
+def rows_tagged_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = labels.tagged_by_rule(report._roles(spark, sf_dir).where("role = 'TEST_ROW'"))
+    return found.select("doc_id", "row_no", F.array_join("tags", " ").alias("tags"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions import predicates as P
 from panelspark.functions import text as T
-from panelspark.operators import corrections
+from panelspark.operators import corrections, labels
 
 
 def each(spark, f, values):
@@ -68,3 +68,18 @@ def test_client_patches(spark):
     log = spark.createDataFrame([(1, i, 0, *x) for i, x in enumerate(items)], "doc_id long, ts long, seq long, op string, path string, value string")
     got = json.loads(corrections.patched(docs, log, client=True).head().json)
     assert got == {"l": [1, 3, 9], "a": {"y": [None, "z"]}, "b": 0}
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("Glucose 105 mg/dL 70-99 H", "B-TEST_NAME B-VALUE B-UNIT I-VALUE B-FLAG"),
+        ("Total Protein <5 g/L", "B-TEST_NAME I-TEST_NAME B-VALUE B-UNIT"),
+        ("WBC* 12.5 K/uL", "B-TEST_NAME B-VALUE B-UNIT"),
+        ("HIV NEGATIVE", "O B-VALUE"),
+        ("LOW 3", "B-TEST_NAME B-VALUE"),
+        ("", ""),
+    ],
+)
+def test_rows_tagged_by_rule(text, want):
+    assert " ".join(labels.rule_tags(text)) == want
