@@ -78,7 +78,10 @@ def test_near_duplicates_that_share_ids(spark, tmp_path):
 
 
 def test_whole_run(spark, place):
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
     out = corpus_pipeline.run(spark, place)
+    assert [x.split("-")[:2] for x in set(os.listdir(folder)) - before] == [["stage", "packing"]]
     assert out.count() and set(out.columns) >= {"doc_id", "start", "length", "ids_crc32", "sequence_id", "offset"}
 
 
