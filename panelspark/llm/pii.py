@@ -47,8 +47,10 @@ _DIGIT = re.compile("[0-9]")
 
 KINDS = ("email", "ip", "card", "phone", "term")
 SUPPORT = 3
-GENERALISE = 0.6
-REMOVE = 0.9
+#: A share s says that a document with the term mentions the entity with a probability of (n_e / N) ** (1 - s): as terms are
+#: changed wherever they stand, not only beside the entity, they must tell nearly all.
+GENERALISE = 0.85
+REMOVE = 0.95
 #: Words on either side of a mention.
 WINDOW = 16
 #: Telling terms that are broadcast, of 16 bytes each.

@@ -346,7 +346,7 @@ def test_disclosures_against_plain_counts(spark, tmp_path, most_terms):
 
     from panelspark.llm import pii
 
-    r = Random(8)
+    r, generalise, remove = Random(8), 0.6, 0.9
     letters = lambda: "".join(r.choices("abcdefgh", k=4))
     common = [letters() for _ in range(30)]
     texts = []
@@ -361,16 +361,16 @@ def test_disclosures_against_plain_counts(spark, tmp_path, most_terms):
     texts += [texts[0]] * 10 + ["", "x@y.org", None]
     fixtures.documents(str(tmp_path), list(enumerate(texts)))
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
-    want = {t: s for t, s in brute.disclosures([t or "" for t in texts], pii.WINDOW, pii.SUPPORT).items() if s >= pii.GENERALISE}
-    got = sorted(x.share for x in pii.disclosures(docs).collect())
+    want = {t: s for t, s in brute.disclosures([t or "" for t in texts], pii.WINDOW, pii.SUPPORT).items() if s >= generalise}
+    got = sorted(x.share for x in pii.disclosures(docs, least=generalise).collect())
     assert got == pytest.approx(sorted(want.values())) and {"okapi", "quagga", "zébre"} <= want.keys()
-    assert min(want.values()) < pii.REMOVE < max(want.values())
-    for row in pii.sanitise(docs, most_terms=most_terms).collect():
+    assert min(want.values()) < remove < max(want.values())
+    for row in pii.sanitise(docs, generalise=generalise, remove=remove, most_terms=most_terms).collect():
         text = texts[row.doc_id] or ""
         told = [(a, b, t) for a, b, t in brute.terms_apart(text) if t in want]
         assert sorted(x for x in row.spans.split(",") if x[:4] == "term") == sorted(f"term:{a}:{b}" for a, b, _ in told)
         out = text
-        changes = [(a, b, f"[{k.upper()}]") for a, _, k, b in brute.personal(text)] + [(a, b, "" if want[t] >= pii.REMOVE else {"Zébre": "[NAME]", "OKAPI": "[ACRONYM]"}.get(text[a:b], "[WORD]")) for a, b, t in told]
+        changes = [(a, b, f"[{k.upper()}]") for a, _, k, b in brute.personal(text)] + [(a, b, "" if want[t] >= remove else {"Zébre": "[NAME]", "OKAPI": "[ACRONYM]"}.get(text[a:b], "[WORD]")) for a, b, t in told]
         for a, b, new in sorted(changes, reverse=True):
             out = out[:a] + new + out[b:]
         assert row.text == out
