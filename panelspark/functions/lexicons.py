@@ -41,6 +41,10 @@ PANEL_INDICATORS = ["comprehensive metabolic panel", "cmp", "complete blood coun
 HEADER_TERMS = ["Specimen ID", "Acct #", "Phone", "Client", "Rte"]
 GUARD_UNITS = ["mg/dL", "g/dL", "mEq/L", "mmol/L", "uIU/mL", "IU/L", "ng/mL", "pg/mL", "mcg/dL", "ug/dL", "mg/L", "g/L", "%", "ratio", "index", "units/L", "U/L", "mU/L", "fL", "pg", "K/uL", "M/uL", "cells/uL", "per hpf", "copies/mL", "cells/mL", "mg", "g", "mL", "L", "cm", "mm", "bpm"]
 CODE_FORM = "(?i)(?:^|[^A-Za-z0-9_]){kind}[ \t]*[:#]?[ \t]*([A-Za-z0-9-]+)"
+HEADER_HINTS = ["patient", "specimen", "lab", "report", "results", "test", "name:", "dob:", "mrn:", "accession:", "collected:", "received:", "provider:", "location:", "status:", "reference", "range", "panel", "profile", "chemistry", "hematology", "urinalysis"]
+EXPECTED_PANELS = "(?i)CBC.*With.*Differential|Comprehensive.*Metabolic.*Panel|CMP|Complete.*Blood.*Count"
+FOOTNOTE_MARKS = "([*†‡§¶#]|\\[[0-9]+\\]|\\([0-9]+\\))"
+FILE_KINDS = {".pdf": "pdf", ".docx": "docx", ".png": "image", ".jpg": "image", ".jpeg": "image"}
 ASSIGNED_PANELS = "(?i)\\b(CMP|COMPREHENSIVE METABOLIC PANEL|CBC|COMPLETE BLOOD COUNT|LIPID PANEL|TSH|THYROID|BASIC METABOLIC PANEL|BMP|LIVER FUNCTION|KIDNEY FUNCTION|ELECTROLYTES|CHEMISTRY)\\b"
 ASSIGNED_UNITS = "(?i)\\b[0-9]+[.]?[0-9]*[ \\t]*(mmol|mEq|IU|U/L|ng/mL|mg/dL|g/dL|mcg/dL|µg/L|pg/mL|x10\\^[0-9]+|%|cells/µL|fL|pg|g/L|mL|L|U|ng|mg|mcg|µg|cells|K/µL|/µL|/uL|per µL|per uL)\\b"
 SPLIT_NAMES = [r"^([A-Za-z][A-Za-z0-9\s\-,\(\)]+?)\s*(?=\d|<|>|\*)", r"^([A-Za-z][A-Za-z\s\-,\(\)]+?)\s+(?=\d)", r"^([A-Za-z]+(?:\s+[A-Za-z]+)*)\s*(?=\d)"]

@@ -131,3 +131,12 @@ def hinted_role(text: Column, hint: Column, tertile: Column) -> Column:
         ],
         "SECTION_MISC",
     )
+
+
+def header_hint(text: Column) -> Column:
+    return any_of(F.lower(text), L.HEADER_HINTS)
+
+
+def third_of_page(y: Column) -> Column:
+    """0, 1 or 2 by y as a share of the page."""
+    return F.when(y <= 0.33, 0).when(y <= 0.67, 1).otherwise(2)

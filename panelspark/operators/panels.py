@@ -114,6 +114,30 @@ def names_panel(text: Column) -> Column:
     return F.greatest(*(F.lower(text).contains(w) for w in L.PANEL_INDICATORS))
 
 
+def panel_notes(lines: DataFrame, ahead: int = 10, foot: int = 5) -> DataFrame:
+    """lines(doc_id, page, line_no, role, text) -> doc_id, line_no, comments: footnotes of headers that bear marks.
+
+    A mark's notes are lines of the page that begin with it, among the next ``ahead`` lines of the document and the page's last ``foot``.
+    """
+    order = W.partitionBy("doc_id").orderBy("line_no")
+    page = W.partitionBy("doc_id", "page").orderBy(F.desc("line_no"))
+    line = F.struct("line_no", "page", F.trim("text").alias("text"))
+    known = lines.withColumns({"_next": F.collect_list(line).over(order.rowsBetween(1, ahead)), "_place": F.row_number().over(page)})
+    last = known.where(F.col("_place") <= foot).groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(line)).alias("_last"))
+    marks = F.array_distinct(F.regexp_extract_all("text", F.lit(L.FOOTNOTE_MARKS), F.lit(1)))
+    heads = known.where((F.col("role") == "SECTION_PANEL") & (F.size(marks) > 0)).withColumn("_marks", marks).join(last, ["doc_id", "page"])
+    of_page = F.filter("_next", lambda x: x["page"] == F.col("page"))
+    note = lambda x: F.get(F.filter(F.transform("_marks", lambda m: F.when(x["text"].startswith(m), F.trim(F.substring(x["text"], F.length(m) + 1, F.length(x["text"]))))), lambda n: n.isNotNull() & (n != "")), 0)
+    notes = F.array_distinct(F.array_compact(F.transform(F.concat(of_page, "_last"), note)))
+    return heads.select("doc_id", "line_no", F.array_join(notes, "; ").alias("comments")).where("comments <> ''")
+
+
+def expected_panels(rows: DataFrame) -> DataFrame:
+    """doc_id, expected, headers: rows that name a panel that reports have, and how many of them have a header's role."""
+    named = rows.where(F.col("text").rlike(L.EXPECTED_PANELS))
+    return named.groupBy("doc_id").agg(F.count("*").alias("expected"), F.count(F.when(F.col("role") == "SECTION_PANEL", 1)).alias("headers"))
+
+
 def kept_panels(panels: DataFrame) -> DataFrame:
     """panels(..., n_tests, continuity, reasons array): those with rows and enough continuity; weak continuity is a reason for review."""
     weak = F.col("continuity") < L.WEAK_CONTINUITY

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelspark.functions.lexicons import JOB_STATUSES
+from panelspark.functions.lexicons import FILE_KINDS, JOB_STATUSES
 
 
 def latest_status(events: DataFrame) -> DataFrame:
@@ -85,3 +85,16 @@ def last_events(log: DataFrame, n: int) -> DataFrame:
     """Of each kind the n last events (a ring of n places)."""
     place = F.row_number().over(W.partitionBy("kind").orderBy(F.col("seq").desc()))
     return log.withColumn("place", place).where(F.col("place") <= n)
+
+
+def file_kind(name: Column) -> Column:
+    """What reads a file, by its ending; null where nothing does."""
+    out = F.lit(None).cast("string")
+    for ending, kind in FILE_KINDS.items():
+        out = F.when(name.endswith(ending), kind).otherwise(out)
+    return out
+
+
+def job_id(name: Column) -> Column:
+    """The debug files' variant of result_id(): only the longest of the two suffixes goes."""
+    return F.when(name.endswith(".03_compose.debug"), F.regexp_replace(name, "[.]03_compose[.]debug$", "")).otherwise(F.regexp_replace(name, "[.]debug$", ""))

@@ -79,6 +79,13 @@ def set_checks(rows: DataFrame, rare: int = 5, least_rows: int = 20, ratio: int
     return some.withColumns({"unbalanced": F.col("most") > ratio * F.col("fewest"), "few_test_rows": F.col("test_rows") < least_rows})
 
 
+def role_documents(rows: DataFrame) -> DataFrame:
+    """rows(doc_id, role, role_confidence) -> doc_id, lines, mean confidence and the number of lines of each role, as a map in JSON by role."""
+    each = rows.groupBy("doc_id", "role").agg(F.count("*").alias("n"), F.sum("role_confidence").alias("c"))
+    roles = F.map_from_entries(F.array_sort(F.collect_list(F.struct("role", "n"))))
+    return each.groupBy("doc_id").agg(F.sum("n").alias("lines"), F.round(F.sum("c") / F.sum("n") + 1e-9, 6).alias("confidence"), F.to_json(roles).alias("roles"))
+
+
 def tag_stats(tokens: DataFrame, mostly: float = 0.8, seldom: float = 0.3) -> DataFrame:
     """tokens(id, tag) -> entities (B), tokens (B and I) and examples of each type; and for O its share of all tokens and the band it is in."""
     kind = F.when(F.col("tag") == "O", "O").otherwise(F.substring_index("tag", "-", -1))

@@ -449,3 +449,40 @@ def other_ladders(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rows_tagged_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = labels.tagged_by_rule(report._roles(spark, sf_dir).where("role = 'TEST_ROW'"))
     return found.select("doc_id", "row_no", F.array_join("tags", " ").alias("tags"))
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'pdf' WHEN 1 THEN 'image' WHEN 2 THEN 'docx' END AS kind, CASE o_orderkey % 5 WHEN 3 THEN 'job' WHEN 4 THEN 'job.03_compose' ELSE ['job.pdf', 'job.jpeg', 'job.docx'][o_orderkey % 5 + 1] END AS job FROM orders")
+def file_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = _case(F.col("o_orderkey") % 5, ["job.pdf", "job.jpeg", "job.docx", "job.03_compose.debug", "job.03_compose"])
+    return _t(spark, sf_dir, "orders").select("o_orderkey", registry.file_kind(name).alias("kind"), registry.job_id(name).alias("job"))
+
+
+@query(f"""WITH {report.ROLES}, r AS (SELECT doc_id, role, count(*) AS n, sum(CASE role WHEN 'SECTION_PANEL' THEN 0.9 WHEN 'TEST_ROW' THEN 0.8 WHEN 'PAGE_HEADER' THEN 0.8 WHEN 'PAGE_FOOTER' THEN 0.8 WHEN 'COMMENT' THEN 0.5 WHEN 'SECTION_MISC' THEN 0.6 WHEN 'JUNK' THEN 0.1 ELSE 0.7 END::DOUBLE) AS c FROM roles GROUP BY ALL)
+SELECT doc_id, CAST(sum(n) AS BIGINT) AS lines, round(sum(c) / sum(n) + 1e-9, 6) AS confidence, '{{' || string_agg('"' || role || '":' || n, ',' ORDER BY role) || '}}' AS roles FROM r GROUP BY doc_id""")
+def role_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training.role_documents(report._roles(spark, sf_dir))
+
+
+@query(f"""WITH {report.ROLES} SELECT doc_id, row_no, regexp_matches(lower(text), 'patient|specimen|lab|report|results|test|name:|dob:|mrn:|accession:|collected:|received:|provider:|location:|status:|reference|range|panel|profile|chemistry|hematology|urinalysis') AS hint,
+CASE WHEN y / 1000 <= 0.33 THEN 0 WHEN y / 1000 <= 0.67 THEN 1 ELSE 2 END AS third FROM roles""")
+def header_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report._roles(spark, sf_dir).select("doc_id", "row_no", P.header_hint(F.col("text")).alias("hint"), P.third_of_page(F.col("y") / 1000).alias("third"))
+
+
+@query(f"""WITH {report.ROLES} SELECT doc_id, count(*) AS expected, count(*) FILTER (role = 'SECTION_PANEL') AS headers FROM roles WHERE regexp_matches(text, '(?i)CBC.*With.*Differential|Comprehensive.*Metabolic.*Panel|CMP|Complete.*Blood.*Count') GROUP BY doc_id""")
+def expected_panels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return panels.expected_panels(report._roles(spark, sf_dir))
+
+
+@query("""WITH n AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate, l_returnflag, l_linestatus) AS line_no, l_partkey AS p FROM lineitem),
+l AS (SELECT doc_id, line_no, 1 + (line_no - 1) // 8 AS page, line_no % 6 = 1 AS head, CASE WHEN line_no % 6 = 1 THEN 'Panel ' || CASE p % 3 WHEN 0 THEN '*' WHEN 1 THEN '[1]' ELSE '' END WHEN p % 4 = 0 THEN '* note ' || p % 5 WHEN p % 4 = 1 THEN ' [1]also ' || p % 3 ELSE 'row' END AS text, p % 3 AS kind, count(*) OVER (PARTITION BY doc_id, 1 + (line_no - 1) // 8) - row_number() OVER (PARTITION BY doc_id, 1 + (line_no - 1) // 8 ORDER BY line_no) AS below FROM n),
+h AS (SELECT * FROM l WHERE head AND kind < 2),
+f AS (SELECT h.doc_id, h.line_no, CASE h.kind WHEN 0 THEN trim(substr(trim(x.text), 2)) ELSE trim(substr(trim(x.text), 4)) END AS note, min(CASE WHEN x.line_no > h.line_no AND x.line_no <= h.line_no + 10 THEN x.line_no ELSE 1000000 + x.line_no END) AS place FROM h JOIN l x ON h.doc_id = x.doc_id AND h.page = x.page AND ((x.line_no > h.line_no AND x.line_no <= h.line_no + 10) OR x.below < 5) AND starts_with(trim(x.text), CASE h.kind WHEN 0 THEN '*' ELSE '[1]' END) GROUP BY ALL)
+SELECT doc_id, line_no, string_agg(note, '; ' ORDER BY place) AS comments FROM f WHERE note <> '' GROUP BY doc_id, line_no""")
+def panel_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, n = F.col("l_partkey"), F.row_number().over(W.partitionBy("l_orderkey").orderBy(*_ITEM_ORDER))
+    items = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), n.alias("line_no"), p.alias("l_partkey"))
+    head = F.col("line_no") % 6 == 1
+    text = F.when(head, _cat("Panel ", F.when(p % 3 == 0, "*").when(p % 3 == 1, "[1]").otherwise(""))).when(p % 4 == 0, _cat("* note ", p % 5)).when(p % 4 == 1, _cat(" [1]also ", p % 3)).otherwise("row")
+    lines = items.select("doc_id", "line_no", F.expr("1 + (line_no - 1) div 8").alias("page"), F.when(head, "SECTION_PANEL").otherwise("TEST_ROW").alias("role"), text.alias("text"))
+    return panels.panel_notes(lines)
