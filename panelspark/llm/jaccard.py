@@ -210,7 +210,7 @@ def _node_entries(k: int, n_buckets: int):
 
 def still_possible(nodes: DataFrame, k: int, percent: int) -> DataFrame:
     """Nodes that share enough of all their tokens with other nodes."""
-    n_buckets = buckets(nodes, 2)
+    n_buckets = buckets(nodes)
     unshared = nodes.select("key", "text").mapInArrow(_node_entries(k, n_buckets), blocks.KEYS_DDL).groupBy("bucket").applyInArrow(_unshared(n_buckets), blocks.OWNERS_DDL)
     counts = unshared.groupBy("bucket").applyInArrow(_counts, "id long, unshared long").withColumnRenamed("id", "key")
     too_many = F.col("unshared") > F.col("n") - F.ceil(F.col("n") * percent / 100)
@@ -222,7 +222,7 @@ _NODES = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("text", pa.binary()
 
 def possible_nodes(docs: DataFrame, sized: DataFrame, k: int, percent: int, fraction: float) -> DataFrame:
     """key, n, text of the distinct sets that can have a partner."""
-    n_buckets = buckets(docs, 2)
+    n_buckets = buckets(docs)
     entries = docs.mapInArrow(_counted(k, n_buckets, fraction), blocks.KEYS_DDL)
     unshared = entries.groupBy("bucket").applyInArrow(_unshared(n_buckets), blocks.OWNERS_DDL)
     counts = unshared.groupBy("bucket").applyInArrow(_counts, "id long, unshared long")
