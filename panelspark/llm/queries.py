@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelspark.llm import chat, decontam, fingerprint, html_text, jaccard, langid, oracles, packing, pii, quality, substrings
+from panelspark.llm import bpe, chat, decontam, fingerprint, html_text, infill, jaccard, langid, merkle, oracles, packing, pii, quality, substrings
 from panelspark.llm.shared import read
 
 
@@ -56,6 +56,18 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.train(docs))
 
 
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digest(infill.rewrite(read(spark, sf_dir, "documents")))
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify(merkle.manifest(read(spark, sf_dir, "documents"), claim=merkle.tampered()))
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(bpe.decode(bpe.encode(read(spark, sf_dir, "documents"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprint": op1_fingerprint,
     "op2_substrings": op2_substrings,
@@ -67,6 +79,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_pack": op9_pack,
     "op10_language": op10_language,
+    "op11_infill": op11_infill,
+    "op12_manifest": op12_manifest,
+    "op13_bpe": op13_bpe,
 }
 
 ORACLES: dict[str, str] = {
@@ -74,4 +89,6 @@ ORACLES: dict[str, str] = {
     "op3_decontaminate": oracles.DECONTAMINATE,
     "op4_near_duplicates": oracles.NEAR_DUPLICATES,
     "op5_chat_format": oracles.chat_format(),
+    "op11_infill": oracles.INFILL,
+    "op12_manifest": oracles.MANIFEST,
 }
