@@ -2,16 +2,20 @@
 
 Base spans are e-mail addresses, IP and card numbers and phone numbers, by fixed patterns. Beyond
 them, a term (a run of ASCII letters and characters outside ASCII of three bytes or more, A-Z folded)
-can give away a protected entity by keeping its company. Over all N documents, an entity is mentioned
+can give away a protected entity by keeping its company. Entities are identifiers and what several of them
+have in common (``keys``): the domain of an address, the network of an IP number, the issuer of a card,
+the area of a phone number. Over all N documents, an entity is mentioned
 in n_e, a term occurs in n_t, and stands within WINDOW words of a mention of the entity in n_et; the
 term's disclosure of the entity is
 
     PMI(entity, term) / IC(entity) = log(n_et N / (n_e n_t)) / log(N / n_e),
 
 the share of the entity's information that the term gives. Copies prove nothing: a pair must be seen
-in SUPPORT different windows. Terms with a share of GENERALISE or more for some entity are generalised
-to their kind of word in every document that holds them, the entity there or not, and those of REMOVE
-or more are removed.
+in SUPPORT different windows. Nor does chance: n_et PMI, which is how improbable the pair is if term and entity are
+independent (as a logarithm), must be as much as the logarithm of the number of pairs looked at, so about one
+pair of a whole corpus is expected to pass by chance, however large it is. Terms with a share of GENERALISE or more for some
+entity are generalised to their kind of word in every document that holds them, the entity there or not, and those of
+REMOVE or more are removed.
 
 Steps: one pass collects windows and, a batch at a time, in how many texts each term occurs; joins by
 term and entity give the shares; a second pass rewrites the texts where they are read. The telling
@@ -46,13 +50,15 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _DIGIT = re.compile("[0-9]")
 
 KINDS = ("email", "ip", "card", "phone", "term")
-SUPPORT = 3
+SUPPORT = 2
 #: A share s says that a document with the term mentions the entity with a probability of (n_e / N) ** (1 - s): as terms are
 #: changed wherever they stand, not only beside the entity, they must tell nearly all.
 GENERALISE = 0.85
 REMOVE = 0.95
 #: Words on either side of a mention.
 WINDOW = 16
+#: Parts that the pairs of an entity are joined in, as it may be in every footer.
+PARTS = 32
 #: Telling terms that are broadcast, of 16 bytes each.
 TERMS = 1_000_000
 #: Bytes of a term at least.
@@ -105,6 +111,19 @@ def entity(text: str, kind: int) -> str:
     return KINDS[kind] + ":" + (text.lower() if kind == 0 else re.sub(r"[^0-9.]" if kind == 1 else r"[^0-9]", "", text))
 
 
+def keys(text: str, kind: int) -> list[str]:
+    """The entity of an identifier and what it has in common with others."""
+    name = entity(text, kind)
+    value = name.partition(":")[2]
+    if kind == 0:
+        domain = value.rpartition("@")[2]
+        return list(dict.fromkeys([name, f"domain:{domain}", "domain:" + ".".join(domain.split(".")[-2:])]))
+    if kind == 1:
+        parts = value.split(".")
+        return [name, "network:" + ".".join(parts[:3]), "network:" + ".".join(parts[:2])]
+    return [name, f"issuer:{value[:6]}" if kind == 2 else f"area:{value[:-7]}"]
+
+
 def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
 
@@ -145,13 +164,13 @@ def _apart(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int, int
     return (at < 0) | (reach[np.maximum(at, 0)] <= starts)
 
 
-_EVIDENCE_DDL = "entity string, window long, terms array<long>, counts array<long>"
+_EVIDENCE_DDL = "entities array<string>, window long, terms array<long>, counts array<long>"
 
 
 def _evidence(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each text and entity mentioned a row (entity, window, terms); of each batch a row of its terms and in how many texts they are."""
+    """Of each text and window a row (entities it is of, window, terms); of each batch a row of its terms and in how many texts they are."""
     for batch in slices(it):
-        entities: list[str | None] = []
+        entities: list[list[str] | None] = []
         windows: list[int | None] = []
         terms: list[np.ndarray] = []
         seen = [np.empty(0, np.uint64)]
@@ -173,10 +192,15 @@ def _evidence(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 near: dict[str, list[np.ndarray]] = {}
                 for a, k, b in spans:
                     at, end = np.searchsorted(starts, [a, b])
-                    near.setdefault(entity(text[a:b], k), []).append(mine[max(0, at - WINDOW) : end + WINDOW])
+                    some = mine[max(0, at - WINDOW) : end + WINDOW]
+                    for name in keys(text[a:b], k):
+                        near.setdefault(name, []).append(some)
+                one: dict[bytes, list[str]] = {}
                 for name, some in near.items():
-                    distinct = np.unique(np.concatenate(some))
-                    entities.append(name)
+                    one.setdefault(np.unique(np.concatenate(some)).tobytes(), []).append(name)
+                for raw, names in one.items():
+                    distinct = np.frombuffer(raw, np.uint64)
+                    entities.append(names)
                     windows.append(int(mix(np.cumsum(mix(distinct), dtype=np.uint64)[-1:]).view(np.int64)[0]) if len(distinct) else 0)
                     terms.append(distinct.view(np.int64))
         every, n = np.unique(np.concatenate(seen), return_counts=True)
@@ -184,25 +208,32 @@ def _evidence(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
         counts = [None] * len(terms) + [n.tolist()]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([*entities, None], pa.string()), pa.array([*windows, None], pa.int64()), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(np.concatenate(lists), pa.int64())), pa.array(counts, pa.list_(pa.int64()))],
-            names=["entity", "window", "terms", "counts"],
+            [pa.array([*entities, None], pa.list_(pa.string())), pa.array([*windows, None], pa.int64()), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(np.concatenate(lists), pa.int64())), pa.array(counts, pa.list_(pa.int64()))],
+            names=["entities", "window", "terms", "counts"],
         )
 
 
-def disclosures(docs: DataFrame, support: int = SUPPORT, least: float = GENERALISE) -> DataFrame:
-    """docs(text) -> term (hash), share: terms that disclose some entity, with the largest share of any."""
+def disclosing(docs: DataFrame, support: int = SUPPORT, least: float = GENERALISE) -> DataFrame:
+    """docs(text) -> entity, term (hash), n_e, n_t, n_et, share: the pairs that disclose, for audits."""
     total = docs.count()
     found = written(docs.select("text").mapInArrow(_evidence, _EVIDENCE_DDL), "evidence")
-    n_t = found.where("entity is null").select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).groupBy(F.col("x.terms").alias("term")).agg(F.sum("x.counts").alias("n_t"))
+    n_t = found.where("entities is null").select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).groupBy(F.col("x.terms").alias("term")).agg(F.sum("x.counts").alias("n_t"))
     # equal windows have equal terms, so they are one row with a count before terms become rows
-    windows = found.where("entity is not null").groupBy("entity", "window").agg(F.count("*").alias("n"), F.first("terms").alias("terms"))
-    n_e = windows.groupBy("entity").agg(F.sum("n").alias("n_e"))
+    mentions = found.where("entities is not null").select(F.explode("entities").alias("entity"), "window", "terms")
+    windows = written(mentions.groupBy("entity", "window").agg(F.count("*").alias("n"), F.first("terms").alias("terms")), "windows")
+    chance = float(np.log(max(1, windows.agg(F.sum(F.size("terms"))).head()[0] or 0)))
+    n_e = windows.groupBy("entity").agg(F.sum("n").alias("n_e")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
     pairs = windows.select("entity", "n", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.sum("n").alias("n_et"), F.count("*").alias("windows")).where(F.col("windows") >= support)
-    likely = pairs.join(n_e, "entity").join(n_t, "term")
+    likely = pairs.withColumn("part", F.pmod("term", F.lit(PARTS)).cast("int")).join(n_e, ["entity", "part"]).join(n_t, "term")
     pmi = F.log(F.col("n_et") * F.lit(float(total)) / (F.col("n_e") * F.col("n_t")))
     ic = F.log(F.lit(float(total)) / F.col("n_e"))
     share = F.when(ic > 0, pmi / ic).otherwise(0.0)
-    return likely.groupBy("term").agg(F.max(share).alias("share")).where(F.col("share") >= least)
+    return likely.where(F.col("n_et") * pmi >= chance).select("entity", "term", "n_e", "n_t", "n_et", share.alias("share")).where(F.col("share") >= least)
+
+
+def disclosures(docs: DataFrame, support: int = SUPPORT, least: float = GENERALISE) -> DataFrame:
+    """docs(text) -> term (hash), share: terms that disclose some entity, with the largest share of any."""
+    return disclosing(docs, support, least).groupBy("term").agg(F.max("share").alias("share"))
 
 
 def kind_of_word(word: str) -> str:

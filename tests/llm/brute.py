@@ -130,30 +130,45 @@ def terms_apart(text: str) -> list[tuple[int, int, str]]:
     return [(a, b, t) for a, b, t in out if not any(x < b and a < y for x, y in spans)]
 
 
+def entity_keys(found: str, kind: str) -> list[str]:
+    """An identifier and what it has in common with others."""
+    if kind == "email":
+        domain = found.lower().split("@")[1].split(".")
+        return ["email:" + found.lower(), "domain:" + ".".join(domain), "domain:" + ".".join(domain[-2:])]
+    digits = re.sub(r"[^0-9]", "", found)
+    if kind == "ip":
+        parts = found.split(".")
+        return ["ip:" + found, "network:" + ".".join(parts[:3]), "network:" + ".".join(parts[:2])]
+    return [f"{kind}:{digits}", f"issuer:{digits[:6]}" if kind == "card" else f"area:{digits[:-7]}"]
+
+
 def disclosures(texts: list[str], window: int, support: int) -> dict[str, float]:
     """Largest share of any entity's information that a term gives, of terms with a pair seen often enough."""
     from collections import Counter, defaultdict
     from math import log
 
-    from panelspark.llm.pii import entity
-
     n_t, n_e, n_et = Counter(), Counter(), Counter()
-    windows = defaultdict(set)
+    windows, sets = defaultdict(set), defaultdict(set)
     for text in texts:
         terms = terms_apart(text)
         n_t.update({t for _, _, t in [(m.start(), m.end(), m[0].translate(LOWER)) for m in TERM.finditer(text) if len(m[0].encode()) >= 3]})
         near = defaultdict(set)
-        for a, k, _, b in personal(text):
+        for a, _, kind, b in personal(text):
             before = [t for s, _, t in terms if s < a][-window:]
             after = [t for s, _, t in terms if s >= b][:window]
-            near[entity(text[a:b], k)].update(before + after)
+            for e in set(entity_keys(text[a:b], kind)):
+                near[e].update(before + after)
         for e, some in near.items():
             n_e[e] += 1
+            sets[e].add(frozenset(some))
             for t in some:
                 n_et[e, t] += 1
                 windows[e, t].add(frozenset(some))
+    looked_at = sum(len(some) for each in sets.values() for some in each)
     share: dict[str, float] = {}
     for (e, t), n in n_et.items():
         if len(windows[e, t]) >= support and n_e[e] < len(texts):
-            share[t] = max(share.get(t, 0), log(n * len(texts) / (n_e[e] * n_t[t])) / log(len(texts) / n_e[e]))
+            pmi = log(n * len(texts) / (n_e[e] * n_t[t]))
+            if n * pmi >= log(looked_at):
+                share[t] = max(share.get(t, 0), pmi / log(len(texts) / n_e[e]))
     return share
