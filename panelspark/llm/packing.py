@@ -11,13 +11,15 @@ first-fit-decreasing into common sequences.
 Cases: a null or empty text is the single end id; equal doc_ids are packed one by one; an empty
 table gives no rows. Ids equal those of the `tokenizers` file of the same vocabulary as it is, its
 added tokens (<|endoftext|>) matched inside text included (tested); the rank file is used because its
-encoder needs a fifth of the CPU time, and the added tokens are read from the `tokenizers` file.
+encoder needs a fifth of the CPU time, and the added tokens are read from the `tokenizers` file. That
+encoder gives up on runs of about a million white-space characters: such a text goes through the `tokenizers` file itself.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from panelspark.llm import bpe
+from panelspark.llm.hashing import slices
 from panelspark.llm.shared import written
 
 CAPACITY = 1024
@@ -43,6 +47,7 @@ def encoder(vocabulary: str = VOCABULARY):
 
     import public_tokenizers
     import tiktoken
+    import tokenizers
 
     path = vocabulary if "/" in vocabulary else public_tokenizers.path(vocabulary)
     with open(path, "rb") as lines:
@@ -52,7 +57,21 @@ def encoder(vocabulary: str = VOCABULARY):
         with open(whole, encoding="utf-8") as file:
             added = {x["content"]: x["id"] for x in json.load(file)["added_tokens"]}
     encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
-    return lambda text: encoding.encode(text, allowed_special="all")
+
+    @lru_cache(maxsize=1)
+    def patient():
+        if not os.path.exists(whole):
+            return bpe.load(path).encode
+        tokenizer = tokenizers.Tokenizer.from_file(whole)
+        return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+
+    def encode(text: str):
+        try:
+            return encoding.encode(text, allowed_special="all")
+        except ValueError:  # more backtracking than it allows itself
+            return patient()(text)
+
+    return encode
 
 
 def class_lengths(capacity: int) -> np.ndarray:
@@ -76,7 +95,7 @@ def _pieces(capacity: int, vocabulary: str, end: int):
 
         encode, worker, lengths = encoder(vocabulary), TaskContext.get().partitionId(), class_lengths(capacity)
         counts: dict[int, int] = {}
-        for batch in batches:
+        for batch in slices(batches):
             rows: list[tuple] = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 ids = np.array([*encode(text.as_py() or ""), end], "<u4")
