@@ -123,10 +123,10 @@ def runs(column: pa.Array, limit: int = CHUNK):
         i = j
 
 
-def slices(it: Iterator[pa.RecordBatch], limit: int = LOT) -> Iterator[pa.RecordBatch]:
+def slices(it: Iterator[pa.RecordBatch], limit: int = LOT, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Arrow batches in parts of about ``limit`` bytes of text, as their number of rows says nothing of their size."""
     for batch in it:
-        for i, j in runs(batch.column("text"), limit):
+        for i, j in runs(batch.column(column), limit):
             yield batch.slice(i, j - i)
 
 

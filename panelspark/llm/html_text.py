@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.hashing import FOLDED, batches
+from panelspark.llm.hashing import FOLDED, batches, slices
 from panelspark.llm.html_pages import MARK, composed
 
 PATH_BUCKETS, WORD_BUCKETS = 1024, 2048
@@ -326,7 +326,7 @@ def extract(pages: DataFrame, model: Labeller | None = None) -> DataFrame:
     shared = pages.sparkSession.sparkContext.broadcast(model or trained())
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in it:
+        for whole in slices(it, column="html"):
             for i in range(0, whole.num_rows, 512):
                 batch = whole.slice(i, 512)
                 texts = main_texts(shared.value, batch.column("html").to_pylist())

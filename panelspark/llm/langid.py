@@ -22,11 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelspark.llm.hashing import slices
+
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN = 1e-7
-#: Labelled rows learnt from, about so many of each language.
+#: Labelled rows learnt from, about so many of each language, and languages at most: the model has a column for each.
 ROWS_A_LANGUAGE = 1000
+LANGUAGES = 2000
 ROUNDS = 3
 #: Words whose scores a worker keeps.
 CACHE = 300_000
@@ -209,18 +212,24 @@ def is_held_out(doc_id):
 
 
 def train(docs: DataFrame, rows_a_language: int = ROWS_A_LANGUAGE, vocabulary_name: str = VOCABULARY) -> Model:
-    """Learns from docs(doc_id, text, lang) that aren't held out, about ``rows_a_language`` of each language, picked by hash of doc_id."""
+    """Learns from docs(doc_id, text, lang) that aren't held out, about ``rows_a_language`` of each language, picked by hash of doc_id and text.
+
+    Of a row that is repeated one is learnt from, so a sample's size is bounded however often an id or a text occurs.
+    """
     usable = docs.where(F.col("lang").isNotNull() & ~is_held_out(F.col("doc_id")))
-    sizes = {r[0]: r[1] for r in usable.groupBy("lang").count().collect()}  # a row a language
+    sizes = {r[0]: r[1] for r in usable.groupBy("lang").count().limit(LANGUAGES + 1).collect()}  # a row a language
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"lang has more than {LANGUAGES} values")
     if not sizes:
         return Model([], [], np.zeros((1, 0)))
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, rows_a_language / n))])
-    sample = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < F.element_at(share, F.col("lang")) * 1_000_003)
+    picked = usable.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_003)) < F.element_at(share, F.col("lang")) * 1_000_003)
+    sample = picked.select("lang", "text", "doc_id").dropDuplicates()
 
     def words(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from collections import Counter
 
-        for batch in it:
+        for batch in slices(it):
             found: Counter = Counter()
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 found.update((lang, w) for w in words_of(text))
@@ -240,7 +249,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = shared.value.scorer()
         langs = shared.value.langs
-        for whole in it:
+        for whole in slices(it):
             for i in range(0, whole.num_rows, 500):
                 batch = whole.slice(i, 500)
                 names, scores = ["und"] * batch.num_rows, [0.0] * batch.num_rows
