@@ -42,3 +42,40 @@ rows_ AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, bin) AS row_no FROM merged
   WHERE n_cells >= 2 OR regexp_matches(text, '[0-9]') OR (is_bold AND font >= 11) OR length(text) >= 10)"""
 )
+
+_PIECES = [
+    ("k % 6 = 0 AND s % 7 <> 0", "-40", 50, 250, "{names}", "'SECTION_PANEL'"),
+    ("kind = 0", "0", 60, 300, "name || ' ' || qty || ' ' || unit || ' ' || span || mark", "'TEST_ROW'"),
+    ("kind = 1", "0", 60, 100, "name", "'TEST_ROW'"),
+    ("kind = 1", "sway", 110, 130, "qty || mark", "'TEST_ROW'"),
+    ("kind = 1", "sway", 140, 170, "unit", "side"),
+    ("kind = 1", "1", 180, 230, "span", "side"),
+    ("kind = 2", "0", 60, 80, "qty", "'TEST_ROW'"),
+    ("kind = 2", "2", 90, 120, "unit", "side"),
+    ("kind = 2", "sway", 130, 180, "span", "'TEST_ROW'"),
+    ("kind = 2", "0", 190, 250, "name", "'TEST_ROW'"),
+    ("kind = 2 AND f <> 'N'", "0", 260, 270, "trim(mark)", "side"),
+    ("kind = 3", "0", 60, 130, "name || ' ' || qty", "'TEST_ROW'"),
+    ("kind = 3", "20", 60, 90, "unit", "'TEST_ROW'"),
+    ("kind = 3", "40", 60, 100, "span", "'TEST_ROW'"),
+    ("kind = 4", "0", 60, 130, "name || ' ' || qty", "'TEST_ROW'"),
+    ("kind = 4", "20 + p % 3 * 25", 60, 140, "unit || ' ' || span", "'TEST_ROW'"),
+    ("kind = 5", "0", 60, 200, "name || ' screen ' || CASE WHEN s % 2 = 0 THEN 'NEGATIVE' ELSE 'Positive' END || CASE WHEN p % 2 = 0 THEN ' <5' ELSE '' END", "'TEST_ROW'"),
+    ("kind = 6", "0", 60, 100, "name", "'TEST_ROW'"),
+    ("kind = 6", "0", 140, 170, "qty", "'TEST_ROW'"),
+    ("kind = 7", "0", 60, 130, "name || ' ' || qty", "'TEST_ROW'"),
+    ("kind = 7", "p % 5", 365, 395, "unit", "'COMMENT'"),
+    ("kind = 7", "1", 460, 500, "span", "'COMMENT'"),
+    ("kind = 8", "0", 60, 130, "name || ' ' || qty", "'TEST_ROW'"),
+    ("kind = 8", "20", 60, 130, "'x ' || (p % 50) || ' %'", "'TEST_ROW'"),
+    ("kind = 8", "40", 60, 130, "'mg/dL'", "'TEST_ROW'"),
+    ("kind = 8", "60", 60, 130, "'ok ' || span", "'TEST_ROW'"),
+]
+FRAGMENTS = f"""
+fi AS (
+  SELECT l_orderkey AS doc_id, l_partkey AS p, l_suppkey AS s, l_returnflag AS f, CAST(CAST(l_quantity AS INT) AS VARCHAR) AS qty,
+    row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate, l_returnflag, l_linestatus) - 1 AS k FROM lineitem),
+fi2 AS (SELECT *, CAST(1 + k // 6 AS INT) AS page, CAST(90 + k % 6 * 140 AS INT) AS y0, (p + s) % 9 AS kind, {_list(TEST_NAMES)}[p % 8 + 1] AS name, {_list(TEST_UNITS)}[p % 7 + 1] AS unit, (p % 50) || '-' || (p % 50 + 10 + p % 40) AS span,
+  CASE f WHEN 'R' THEN ' H' WHEN 'A' THEN ' L' ELSE '' END AS mark, CASE WHEN p % 3 = 0 THEN 'COMMENT' ELSE 'TEST_ROW' END AS side, p % 4 * 2 AS sway FROM fi),
+fp AS ({" UNION ALL ".join(f"SELECT doc_id, page, k, CAST(y0 + {dy} AS INT) AS y, {left} AS x_left, {right} AS x_right, {text.format(names=_list(PANEL_NAMES) + '[p % 5 + 1]')} AS text, {role} AS role FROM fi2 WHERE {when}" for when, dy, left, right, text, role in _PIECES)}),
+frags AS MATERIALIZED (SELECT doc_id, page, y, x_left, x_right, text, role, row_number() OVER (PARTITION BY doc_id ORDER BY page, y, x_left, text, role, k) AS line_no FROM fp)"""

@@ -50,6 +50,69 @@ def synthetic_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("line_no", F.row_number().over(W.partitionBy("doc_id").orderBy("page", "y", "x", "text", "k")).cast("long")).drop("k")
 
 
+FRAGMENT_KINDS = 9
+
+
+def synthetic_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of pages made from lineitem, six items a page, in which a result stands in one line, in fragments side by side, on lines below each other or in far columns."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumnRenamed("l_orderkey", "doc_id")
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate", "l_returnflag", "l_linestatus"]
+    items = items.select("doc_id", F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), F.col("l_returnflag").alias("f"), F.col("l_quantity").cast("int").cast("string").alias("qty"), (F.row_number().over(W.partitionBy("doc_id").orderBy(*order)) - 1).alias("k"))
+    c, text = F.col, lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    low = c("p") % 50
+    items = items.withColumns(
+        {
+            "page": F.expr("cast(1 + k div 6 as int)"),
+            "y0": F.expr("cast(90 + k % 6 * 140 as int)"),
+            "kind": (c("p") + c("s")) % FRAGMENT_KINDS,
+            "name": _pick(TEST_NAMES, "p"),
+            "unit": _pick(TEST_UNITS, "p"),
+            "span": F.concat(low.cast("string"), F.lit("-"), (low + 10 + c("p") % 40).cast("string")),
+            "mark": F.when(c("f") == "R", " H").when(c("f") == "A", " L").otherwise(""),
+            "word": F.when(c("s") % 2 == 0, "NEGATIVE").otherwise("Positive"),
+        }
+    )
+
+    def cell(when, dy, left: int, right: int, what, role=None):
+        role = F.lit("TEST_ROW") if role is None else role
+        return F.when(when, F.struct((c("y0") + dy).cast("int").alias("y"), F.lit(left).alias("x_left"), F.lit(right).alias("x_right"), what.alias("text"), role.alias("role")))
+
+    kind, lit = lambda n: c("kind") == n, F.lit
+    side = F.when(c("p") % 3 == 0, "COMMENT").otherwise("TEST_ROW")
+    sway = c("p") % 4 * 2
+    cells = [
+        cell((c("k") % 6 == 0) & (c("s") % 7 != 0), lit(-40), 50, 250, _pick(PANEL_NAMES, "p"), lit("SECTION_PANEL")),
+        cell(kind(0), lit(0), 60, 300, text(c("name"), " ", c("qty"), " ", c("unit"), " ", c("span"), c("mark"))),
+        cell(kind(1), lit(0), 60, 100, c("name")),
+        cell(kind(1), sway, 110, 130, text(c("qty"), c("mark"))),
+        cell(kind(1), sway, 140, 170, c("unit"), side),
+        cell(kind(1), lit(1), 180, 230, c("span"), side),
+        cell(kind(2), lit(0), 60, 80, c("qty")),
+        cell(kind(2), lit(2), 90, 120, c("unit"), side),
+        cell(kind(2), sway, 130, 180, c("span")),
+        cell(kind(2), lit(0), 190, 250, c("name")),
+        cell(kind(2) & (c("f") != "N"), lit(0), 260, 270, F.trim(c("mark")), side),
+        cell(kind(3), lit(0), 60, 130, text(c("name"), " ", c("qty"))),
+        cell(kind(3), lit(20), 60, 90, c("unit")),
+        cell(kind(3), lit(40), 60, 100, c("span")),
+        cell(kind(4), lit(0), 60, 130, text(c("name"), " ", c("qty"))),
+        cell(kind(4), 20 + c("p") % 3 * 25, 60, 140, text(c("unit"), " ", c("span"))),
+        cell(kind(5), lit(0), 60, 200, text(c("name"), " screen ", c("word"), F.when(c("p") % 2 == 0, " <5").otherwise(""))),
+        cell(kind(6), lit(0), 60, 100, c("name")),
+        cell(kind(6), lit(0), 140, 170, c("qty")),
+        cell(kind(7), lit(0), 60, 130, text(c("name"), " ", c("qty"))),
+        cell(kind(7), c("p") % 5, 365 + 0, 395, c("unit"), lit("COMMENT")),
+        cell(kind(7), lit(1), 460, 500, c("span"), lit("COMMENT")),
+        # lines that are used up by the one before and would use up the next
+        cell(kind(8), lit(0), 60, 130, text(c("name"), " ", c("qty"))),
+        cell(kind(8), lit(20), 60, 130, text("x ", low.cast("string"), " %")),
+        cell(kind(8), lit(40), 60, 130, lit("mg/dL")),
+        cell(kind(8), lit(60), 60, 130, text("ok ", c("span"))),
+    ]
+    out = items.select("doc_id", "page", "k", F.explode(F.array_compact(F.array(*cells))).alias("c")).select("doc_id", "page", "k", "c.*")
+    return out.withColumn("line_no", F.row_number().over(W.partitionBy("doc_id").orderBy("page", "y", "x_left", "text", "role", "k")).cast("long")).drop("k")
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Line files in any of three shapes: a list of lines, {lines: [...]} or {data: {lines: [...]}}; camelCase keys too."""
     line = "array<struct<page:int,text:string,xLeft:double,xRight:double,yNorm:double,fontSize:double,isBold:boolean,hasText:boolean,x_left:double,x_right:double,y_norm:double,font_size:double,is_bold:boolean,has_text:boolean>>"
