@@ -77,3 +77,23 @@ FIELD_ALIASES = {
     "header_value": [],
 }
 REQUIRED_FIELDS = ["vendor_name"]
+# Word lists of header lines.
+MONTH_NAMES = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
+FIRST_NAMES = [
+    "james", "john", "robert", "michael", "william", "david", "richard", "joseph", "thomas", "christopher", "charles", "daniel", "matthew", "anthony", "mark", "donald", "steven", "paul", "andrew", "joshua", "kenneth", "kevin", "brian", "george", "timothy", "ronald", "jason", "edward", "jeffrey", "ryan", "jacob",
+    "mary", "patricia", "jennifer", "linda", "elizabeth", "barbara", "susan", "jessica", "sarah", "karen", "nancy", "lisa", "betty", "helen", "sandra", "donna", "carol", "ruth", "sharon", "michelle", "laura", "kimberly", "deborah", "dorothy",
+    "mike", "dave", "steve", "chris", "bob", "bill", "tom", "jim", "joe", "sue", "beth", "liz", "kate", "ann", "lynn", "pat", "jan", "kim",
+]
+NAME_SUFFIXES = ["jr", "sr", "ii", "iii", "iv", "v", "md", "phd", "rn", "do"]
+NAME_LABELS = [r"patient\s*(?:name|id|number)", r"medical\s*record", r"date\s*of\s*birth", r"hospital\s*name", r"doctor\s*name", r"physician\s*name", r"lab\s*name", r"test\s*name"]
+NO_NAMES = ["patient", "name", "male", "female", "date", "time", "hospital", "clinic", "doctor", "physician"]
+NO_NUMBERS = ["specimen", "sample", "number", "accession", "lab", "test", "blood", "urine"]
+NUMBER_PREFIXES = ["lab", "acc", "accession", "specimen", "spec", "sample", "samp", "test", "order", "req", "request", "case", "path", "cyto", "hist", "micro", "chem", "heme", "coag", "immuno", "molec"]
+PATIENT_WORDS = ["patient", "name", "pt", "ptnt", "person", "individual", "client", "subject", "case", "record", "mrn", "medical record number", "account", "id", "identifier", "sex", "gender", "male", "female", "man", "woman", "boy", "girl", "m", "f", "masculine", "feminine"]
+SPECIMEN_WORDS = [
+    "blood", "serum", "plasma", "urine", "stool", "sputum", "csf", "cerebrospinal fluid", "saliva", "swab", "tissue", "biopsy", "fluid", "aspirate", "lavage", "washing",
+    "tube", "vial", "container", "cup", "bottle", "bag", "syringe", "capillary", "microtainer", "vacutainer", "edta", "heparin",
+    "collected", "collection", "drawn", "obtained", "taken", "received", "entered", "processed", "analyzed", "reported", "completed", "finalized", "verified", "reviewed",
+]
+TIME_WORDS = ["am", "pm", "morning", "afternoon", "evening", "night", "midnight", "noon", "o'clock"]
+DATE_WORDS = ["on", "at", "date", "time", "dated", "timestamp", "when", "during"]

@@ -115,7 +115,8 @@ def repeated_texts(rows: DataFrame, least_pages: int = 2) -> DataFrame:
 def similar_texts(texts: DataFrame, least: float = 0.85) -> DataFrame:
     """Pairs of a document's texts (doc_id, text), distinct, by the cosine of their TF-IDF of runs of two to four characters.
 
-    Texts meet by the runs they share; a run's weight is its count times 1 + ln((1 + texts) / (1 + texts with it)).
+    A run's weight is its count times 1 + ln((1 + texts) / (1 + texts with it)). Texts meet by their rarest runs only: if what is left of a
+    text, from the first run it shares with another on, is shorter than ``least``, their cosine can't reach it. Pairs that met are measured in full.
     """
 
     def of(n: int) -> Column:
@@ -128,12 +129,59 @@ def similar_texts(texts: DataFrame, least: float = 0.85) -> DataFrame:
     tf = distinct.select("doc_id", "text", F.explode(runs).alias("run")).groupBy("doc_id", "text", "run").agg(F.count("*").alias("tf"))
     df = tf.groupBy("doc_id", "run").agg(F.count("*").alias("df"))
     weighed = tf.join(df, ["doc_id", "run"]).join(size, "doc_id").withColumn("w", F.col("tf") * (1 + F.log((1 + F.col("texts")) / (1 + F.col("df")))))
-    norm = weighed.groupBy("doc_id", "text").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    unit = weighed.join(norm, ["doc_id", "text"]).select("doc_id", "run", "text", (F.col("w") / F.col("norm")).alias("w"))
-    a, b = unit.alias("a"), unit.where("true").alias("b")
+    whole = W.partitionBy("doc_id", "text")
+    unit = weighed.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(whole)))
+    rarest = whole.orderBy("df", "run").rowsBetween(0, W.unboundedFollowing)
+    unit = unit.select("doc_id", "text", "run", "w", F.sqrt(F.sum(F.col("w") * F.col("w")).over(rarest)).alias("_left"))
+    listed = unit.where(F.col("_left") >= least - 1e-9).select("doc_id", "run", "text")
+    a, b = listed.alias("a"), listed.alias("b")
     met = a.join(b, (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.run") == F.col("b.run")) & (F.col("a.text") < F.col("b.text")))
-    out = met.groupBy(F.col("a.doc_id").alias("doc_id"), F.col("a.text").alias("a"), F.col("b.text").alias("b")).agg(F.sum(F.col("a.w") * F.col("b.w")).alias("cosine"))
-    return out.where(F.col("cosine") >= least)
+    met = met.select(F.col("a.doc_id").alias("doc_id"), F.col("a.text").alias("a"), F.col("b.text").alias("b")).distinct()
+    left = met.join(unit.select("doc_id", F.col("text").alias("a"), "run", F.col("w").alias("wa")), ["doc_id", "a"])
+    both = left.join(unit.select("doc_id", F.col("text").alias("b"), "run", F.col("w").alias("wb")), ["doc_id", "b", "run"])
+    return both.groupBy("doc_id", "a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine")).where(F.col("cosine") >= least)
+
+
+def edge_texts(rows: DataFrame, least_pages: int = 2) -> DataFrame:
+    """rows(doc_id, page, row_no, y, text) -> doc_id, side, text, first_row, pages: texts of the top and of the bottom tenth of a page's lines
+    (one at least), white space closed up and numbers masked, that stand there on several pages."""
+    page = W.partitionBy("doc_id", "page")
+    tenth = F.greatest(F.lit(1), F.floor(F.count("*").over(page) / 10))
+    masked = F.regexp_replace(F.regexp_replace(F.trim(F.lower("text")), r"\s+", " "), r"\b[0-9]+\b", "[NUM]")
+    placed = rows.withColumns({"_top": F.row_number().over(page.orderBy("y", "row_no")), "_foot": F.row_number().over(page.orderBy(F.desc("y"), "row_no")), "_n": tenth, "text": masked}).where("text <> ''")
+    sides = F.array_compact(F.array(F.when(F.col("_top") <= F.col("_n"), "top"), F.when(F.col("_foot") <= F.col("_n"), "bottom")))
+    each = placed.select("doc_id", "page", "row_no", "text", F.explode(sides).alias("side"))
+    return each.groupBy("doc_id", "side", "text").agg(F.min("row_no").alias("first_row"), F.countDistinct("page").alias("pages")).where(F.col("pages") >= least_pages)
+
+
+def clustered_texts(texts: DataFrame, least: float = 0.85) -> DataFrame:
+    """texts(doc_id, side, text, first_row) -> doc_id, side, text, cluster: a text that isn't taken yet, in the order of first rows, takes
+    those after it that are like it (similar_texts); a cluster is named after the text that began it.
+
+    Likeness is found by joins; only who takes whom is decided one after the other, among a document's pairs.
+    """
+    import pandas as pd
+
+    keyed = texts.withColumn("_doc", F.struct("doc_id", "side"))
+    pairs = similar_texts(keyed.select(F.to_json("_doc").alias("doc_id"), "text"), least).select("doc_id", "a", "b")
+    listed = keyed.select(F.to_json("_doc").alias("_doc"), "doc_id", "side", "text", "first_row")
+
+    def take(key, some: pd.DataFrame, like: pd.DataFrame) -> pd.DataFrame:
+        near: dict[str, set[str]] = {}
+        for a, b in like[["a", "b"]].itertuples(index=False):
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+        some = some.sort_values(["first_row", "text"])
+        began: dict[str, str] = {}
+        for text in some["text"]:
+            if text not in began:
+                began[text] = text
+                for other in near.get(text, ()):
+                    began.setdefault(other, text)
+        return some.assign(cluster=some["text"].map(began))[["doc_id", "side", "text", "cluster"]]
+
+    result = ", ".join(f"{c} {texts.schema[c].dataType.simpleString()}" for c in ("doc_id", "side", "text")) + ", cluster string"
+    return listed.groupBy("_doc").cogroup(pairs.withColumnRenamed("doc_id", "_doc").groupBy("_doc")).applyInPandas(take, result)
 
 
 def words_of(text: Column) -> Column:

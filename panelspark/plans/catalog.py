@@ -9,7 +9,7 @@ from panelspark.functions import text as T
 from panelspark.operators import corrections, meta, registry, training
 from panelspark.plans.report import ROLES, _roles
 from panelspark.sources.scratch import scratch
-from panelspark.streaming import ingest
+from panelspark.streaming import ingest, jobs
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -433,3 +433,37 @@ def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id, user_id, event_type FROM events WHERE event_type = 'error'")
 def stream_ingest_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.drained(spark, ingest.event_stream(spark, sf_dir).where("event_type = 'error'").select("event_id", "user_id", "event_type"))
+
+
+_STATUS = ["queued", "processing", "completed", "failed", "cancelled"]
+_MOVES = [(before, after) for before, some in jobs.MOVES.items() for after in sorted(some)]
+_LEGAL = " OR ".join(f"(status = '{after}' AND before {f'= {chr(39)}{before}{chr(39)}' if before else 'IS NULL'})" for before, after in _MOVES)
+
+
+def _job_events(events: DataFrame) -> DataFrame:
+    """Four events on end as those of a job, whose statuses mostly follow each other."""
+    k = F.col("event_id")
+    status = F.element_at(F.array(*map(F.lit, _STATUS)), ((k % 4 + F.floor(k / 4)) % 5 + 1).cast("int"))
+    return events.select((k - k % 4).cast("long").alias("id"), k.cast("long").alias("seq"), status.alias("status"), F.col("ts").cast("timestamp").alias("at"))
+
+
+@query(f"""WITH RECURSIVE e AS MATERIALIZED (SELECT event_id - event_id % 4 AS id, event_id AS seq, ['queued', 'processing', 'completed', 'failed', 'cancelled'][(event_id % 4 + event_id // 4) % 5 + 1] AS status, ts AS at_, row_number() OVER (PARTITION BY event_id - event_id % 4 ORDER BY ts, event_id) AS n FROM events),
+w AS (SELECT id, n, CAST(NULL AS VARCHAR) AS before, status, at_, status = 'queued' AS legal FROM e WHERE n = 1
+  UNION ALL SELECT id, n, before, status, at_, coalesce(({_LEGAL}), false) FROM (SELECT e.id, e.n, CASE WHEN w.legal THEN w.status ELSE w.before END AS before, e.status, e.at_ FROM w JOIN e ON e.id = w.id AND e.n = w.n + 1)),
+mark AS (SELECT max(ts) - INTERVAL 1 HOUR AS at_ FROM events),
+fin AS (SELECT id, arg_max(CASE WHEN legal THEN status ELSE before END, n) AS status, max(at_) FILTER (legal) AS since FROM w GROUP BY id)
+SELECT id, before, status, at_ AS at, legal, 'event' AS cause FROM w UNION ALL SELECT id, 'processing', 'failed', since + INTERVAL 2 HOUR, true, 'stale' FROM fin, mark WHERE status = 'processing' AND since + INTERVAL 2 HOUR <= mark.at_""")
+def stream_job_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each event does to its job, and jobs that went stale."""
+    moved = jobs.drained_with_state(spark, lambda: jobs.job_moves(_job_events(ingest.event_stream(spark, sf_dir, 1_000_000)), stale="2 hours"))
+    return moved.withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
+@query("""WITH e AS (SELECT ts, event_id % 4 <> 0 AS broken FROM events), s AS (SELECT time_bucket(INTERVAL 10 MINUTE, ts) - INTERVAL 10 MINUTE * i AS start, broken FROM e, unnest([0, 1, 2]) AS r(i))
+SELECT start, count(*) FILTER (broken) AS broken, count(*) AS entries FROM s GROUP BY start""")
+def stream_broken_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of the log that aren't lists, in half hours that begin every ten minutes."""
+    k = F.col("event_id").cast("string")
+    payload = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("["), k, F.lit("]"))).when(F.col("event_id") % 4 == 1, F.concat(F.lit('{"a": '), k, F.lit("}"))).when(F.col("event_id") % 4 == 2, F.concat(F.lit("{"), k)).otherwise(k)
+    log = ingest.event_stream(spark, sf_dir).withColumn("at", F.col("ts").cast("timestamp"))
+    return ingest.drained(spark, jobs.broken_entries(log, payload), "complete")

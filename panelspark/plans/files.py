@@ -11,6 +11,7 @@ from panelspark.operators import labels, registry
 from panelspark.plans.documents import _case, _cat
 from panelspark.sources import files, lines
 from panelspark.sources.scratch import scratch
+from panelspark.streaming import inbox, ingest
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -72,15 +73,46 @@ def tagged_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read[0].unionByName(read[1])
 
 
-@query("SELECT unnest(['scanned', 'lists', 'to_migrate', 'errors']) AS kind, unnest([3, 1, 1, 1]) AS n")
+_LOG_KINDS = "SELECT DISTINCT s_nationkey % 3 AS kind, s_nationkey FROM supplier"
+
+
+@query(f"WITH k AS ({_LOG_KINDS}) SELECT 'scanned' AS kind, count(*) AS n FROM k UNION ALL SELECT 'lists', count(*) FILTER (kind = 0) FROM k UNION ALL SELECT 'to_migrate', count(*) FILTER (kind = 1) FROM k UNION ALL SELECT 'errors', count(*) FILTER (kind = 2) FROM k")
 def correction_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Logs at several depths, one of each kind."""
-    path = scratch(spark, "corrections")
-    for folder, text in (("", "[]"), ("a", "{}"), ("a/b/c", "{broken")):
-        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("append").text(f"{path}/{folder}")
+    """A log of each nation's suppliers, at several depths: a list, an object or a broken text."""
+    path, k = scratch(spark, "corrections"), F.col("s_nationkey")
+    items = F.to_json(F.array_sort(F.collect_list(F.struct("s_suppkey", "s_name"))))
+    logs = _t(spark, sf_dir, "supplier").groupBy(k).agg(items.alias("items")).withColumn("deep", k % 4)
+    text = F.when(k % 3 == 0, F.col("items")).when(k % 3 == 1, _cat('{"items": ', F.col("items"), "}")).otherwise(F.expr("substring(items, 1, length(items) - 1)"))
+    for depth in range(4):
+        logs.where(F.col("deep") == depth).select("s_nationkey", text.alias("value")).repartition("s_nationkey").write.partitionBy("s_nationkey").text(f"{path}/{'/'.join('abc'[:depth])}".rstrip("/") if depth else f"{path}/top")
     return registry.shape_stats(files.correction_files(spark, path))
 
 
+@query("SELECT s_nationkey AS nation, count(*) AS n FROM supplier GROUP BY ALL")
+def inbox_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file of each nation's suppliers comes into the inbox, and is read as a stream."""
+    path = scratch(spark, "inbox")
+    _t(spark, sf_dir, "supplier").select("s_nationkey", F.col("s_name").alias("value")).repartition("s_nationkey").write.partitionBy("s_nationkey").text(path)
+    stream = inbox.inbox(spark, path, "*.txt", scratch(spark, "archive"))
+    seen = stream.select(F.regexp_extract("path", "s_nationkey=([0-9]+)", 1).cast("long").alias("nation"), F.size(F.filter(F.split(F.col("content").cast("string"), "\n"), lambda x: x != "")).cast("long").alias("n"))
+    return ingest.drained(spark, seen)
+
+
+@query("SELECT s_nationkey AS nation, 'N' || s_nationkey AS rid, '03_compose' AS stage, count(*) AS n, true AS has_size FROM supplier GROUP BY ALL")
+def result_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A result of each nation's suppliers, written as a file of a stage and scanned with what the file system knows of it."""
+    path, raw = scratch(spark, "results"), scratch(spark, "raw")
+    items = F.to_json(F.array_sort(F.collect_list(F.col("s_suppkey"))))
+    _t(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(items.alias("value")).repartition("s_nationkey").write.partitionBy("s_nationkey").text(raw)
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    fs = place(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(place(path))
+    for row in spark.read.text(raw, wholetext=True).select(F.col("_metadata.file_path").alias("p"), "s_nationkey").toLocalIterator():  # a file a nation
+        fs.rename(place(row.p), place(path, f"N{row.s_nationkey}.03_compose.json"))
+    found = files.result_files(spark, path)
+    return found.select(F.regexp_extract("rid", "N([0-9]+)", 1).cast("long").alias("nation"), "rid", "stage", F.size(F.from_json("data", "array<long>")).cast("long").alias("n"), (F.col("size") > 0).alias("has_size"))
+
+
 @query("SELECT event_id AS seq, event_type AS kind FROM events")
 def log_appends(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, events = scratch(spark, "log"), _t(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.col("event_type").alias("kind"))
@@ -98,14 +130,18 @@ def golden_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.golden_records(spark, path).select("rid", "error")
 
 
-@query("SELECT unnest(['now', 'in three days']) AS at, unnest([0, 5]) AS n")
+@query("WITH n AS (SELECT count(DISTINCT s_nationkey) AS n FROM supplier) SELECT unnest(['moved now', 'moved in three days', 'left', 'in the archive']) AS what, unnest([0, n, 0, n]) AS n FROM n")
 def archive_due(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five results just written: none is due now, all are in three days."""
-    path, now = scratch(spark, "outbox"), datetime.now()
-    spark.range(5).select(F.to_json(F.struct("id")).alias("value")).repartitionByRange(5, "value").write.text(path)
-    written = spark.read.option("pathGlobFilter", "*.txt").text(path).select(F.col("_metadata.file_modification_time").alias("modified"))
-    counts = [files.aged(written, now + timedelta(days=days)).agg(F.count("*").alias("n")).select(F.lit(at).alias("at"), "n") for at, days in (("now", 0), ("in three days", 3))]
-    return counts[0].unionByName(counts[1])
+    """A result of each nation's suppliers, just written: none is due now, all are in three days."""
+    path, archive, now = scratch(spark, "outbox"), scratch(spark, "archive"), datetime.now()
+    rows = _t(spark, sf_dir, "supplier").select("s_nationkey", F.to_json(F.struct("s_suppkey", "s_name")).alias("value"))
+    rows.repartition("s_nationkey").write.partitionBy("s_nationkey").text(path)
+    moved = [inbox.archived(spark, path, archive, now + timedelta(days=days), pattern="*.txt") for days in (0, 3)]
+    count = lambda folder: spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", True).load(folder).select("path").distinct().agg(F.count("*").alias("n"))
+    out = spark.createDataFrame([("moved now", moved[0]), ("moved in three days", moved[1])], "what string, n long")
+    for what, folder in (("left", path), ("in the archive", archive)):
+        out = out.unionByName(count(folder).select(F.lit(what).alias("what"), "n"))
+    return out
 
 
 @query("SELECT '01_lines' AS stage, (SELECT count(*) FROM lineitem) AS n UNION ALL SELECT '02_roles', (SELECT count(*) FROM lineitem WHERE l_returnflag <> 'N')")

@@ -167,9 +167,9 @@ _WORDS = "list_distinct(list_filter(regexp_split_to_array(lower(text), '[ \t]+')
 
 
 @query(f"""WITH {ROWS}, e AS MATERIALIZED (SELECT doc_id, page, row_no, y, {_WORDS} AS w FROM rows_ WHERE y < 100 OR y > 900),
-j AS (SELECT a.doc_id, a.row_no AS row_a, b.row_no AS row_b, CAST(len(list_intersect(a.w, b.w)) AS BIGINT) AS shared, CAST(len(list_distinct(list_concat(a.w, b.w))) AS BIGINT) AS total
-  FROM e a JOIN e b ON a.doc_id = b.doc_id AND a.page < b.page AND abs(a.y - b.y) < 100)
-SELECT * FROM j WHERE shared * 100 >= total * 60""")
+p AS MATERIALIZED (SELECT doc_id, a.row_no AS row_a, b.row_no AS row_b, a.page AS page_a, b.page AS page_b, a.y AS y_a, b.y AS y_b, a.w AS w_a, b.w AS w_b FROM e a JOIN e b USING (doc_id)),
+j AS (SELECT doc_id, row_a, row_b, len(list_filter(w_a, lambda w: list_contains(w_b, w))) AS shared, len(w_a) + len(w_b) AS words FROM p WHERE page_a < page_b AND abs(y_a - y_b) < 100)
+SELECT doc_id, row_a, row_b, CAST(shared AS BIGINT) AS shared, CAST(words - shared AS BIGINT) AS total FROM j WHERE shared * 100 >= (words - shared) * 60""")
 def repeat_header_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.repeated_pairs(_rows(spark, sf_dir), 60)
 
@@ -396,3 +396,9 @@ def confidence_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("confidence")
     band = F.when(c >= 0.9, ">0.9").when(c >= 0.7, "0.7-0.9").when(c >= 0.5, "0.5-0.7").otherwise("<0.5")
     return _tests(spark, sf_dir).groupBy(band.alias("band")).agg(F.count("*").alias("n"))
+
+
+@query()
+def header_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of like texts in the margins of documents' pages."""
+    return layout.clustered_texts(layout.edge_texts(_rows(spark, sf_dir)), 0.85)

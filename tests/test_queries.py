@@ -7,12 +7,12 @@ from collections import Counter
 
 import pytest
 
-from panelspark.plans import catalog, documents, files, report, stitching
+from panelspark.plans import catalog, documents, files, heads, models, report, stitching
 
 SUPPLIED = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUERIES = report.QUERIES | catalog.QUERIES | documents.QUERIES | files.QUERIES | stitching.QUERIES
-ORACLES = report.ORACLES | catalog.ORACLES | documents.ORACLES | files.ORACLES | stitching.ORACLES
+QUERIES = report.QUERIES | catalog.QUERIES | documents.QUERIES | files.QUERIES | stitching.QUERIES | heads.QUERIES | models.QUERIES
+ORACLES = report.ORACLES | catalog.ORACLES | documents.ORACLES | files.ORACLES | stitching.ORACLES | heads.ORACLES
 
 
 def plain(value):
