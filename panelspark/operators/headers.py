@@ -13,39 +13,39 @@ from panelspark.functions import text as T
 LAB_ROLES = ("PAGE_HEADER", "HEADER_LAB", "SECTION_PANEL")
 PATIENT_ROLES = ("HEADER_PATIENT", "PATIENT_INFO", "DEMOGRAPHICS")
 ORDERING_ROLES = ("HEADER_PHYSICIAN", "ORDERING_PROVIDER", "PHYSICIAN_INFO")
-PHONE = "([(]?[0-9]{3}[)]?[-. \t]?[0-9]{3}[-. \t]?[0-9]{4})"
+PHONE = r"(\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4})"
 LAB_NAMES = [
-    "(?i)([A-Z][a-z]+ (?:Laboratory|Lab|Medical Center|Health)(?:[ \t]+[A-Z][a-z]+)*)",
-    "(?i)([A-Z][A-Z \t]+(?:LABORATORY|LAB|MEDICAL)(?:[ \t]+[A-Z]+)*)",
+    r"(?i)([A-Z][a-z]+ (?:Laboratory|Lab|Medical Center|Health)(?:\s+[A-Z][a-z]+)*)",
+    r"(?i)([A-Z][A-Z\s]+(?:LABORATORY|LAB|MEDICAL)(?:\s+[A-Z]+)*)",
     "(?i)(Quest Diagnostics|LabCorp|BioReference|ARUP|Mayo)",
 ]
-ACCOUNT = "(?i)(?:Account|Acct|Client)[ \t#:]*([A-Z0-9-]+)"
-NAME_COMMA = "(?i)(?:Patient|Name)[ \t:]*([A-Z][a-z]+),[ \t]*([A-Z][a-z]+)(?:[ \t]+([A-Z][a-z]+))?"
-NAME_PLAIN = "(?i)(?:Patient|Name)[ \t:]*([A-Z][a-z]+)[ \t]+(?:([A-Z][a-z]+)[ \t]+)?([A-Z][a-z]+)"
-BIRTH = "(?i)(?:DOB|Date of Birth|Born)[ \t:]*([^,\n]+)"
-SEX = "(?i)(?:Sex|Gender)[ \t:]*([MF]|Male|Female)"
-RECORD = ["(?i)(?:MRN|Medical Record|Patient ID|ID)[ \t#:]*([A-Z0-9-]+)", "(?i)(?:Account|Acct)[ \t#:]*([0-9-]+)"]
+ACCOUNT = r"(?i)(?:Account|Acct|Client)[\s#:]*([A-Z0-9-]+)"
+NAME_COMMA = r"(?i)(?:Patient|Name)[\s:]*([A-Z][a-z]+),\s*([A-Z][a-z]+)(?:\s+([A-Z][a-z]+))?"
+NAME_PLAIN = r"(?i)(?:Patient|Name)[\s:]*([A-Z][a-z]+)\s+(?:([A-Z][a-z]+)\s+)?([A-Z][a-z]+)"
+BIRTH = r"(?i)(?:DOB|Date of Birth|Born)[\s:]*([^,\n]+)"
+SEX = r"(?i)(?:Sex|Gender)[\s:]*([MF]|Male|Female)"
+RECORD = [r"(?i)(?:MRN|Medical Record|Patient ID|ID)[\s#:]*([A-Z0-9-]+)", r"(?i)(?:Account|Acct)[\s#:]*([0-9-]+)"]
 PROVIDER = [
-    "(?i)(?:Ordering|Referring|Physician|Provider|Dr|MD)[ \t:]*([A-Z][a-z]+(?:,?[ \t]+[A-Z][a-z.]+)*(?:[ \t]+MD|DO)?)",
-    "(?i)(?:Ordered by|Referring)[ \t:]*([A-Z][a-z]+[ \t]+[A-Z][a-z]+)",
+    r"(?i)(?:Ordering|Referring|Physician|Provider|Dr|MD)[\s:]*([A-Z][a-z]+(?:,?\s+[A-Z][a-z.]+)*(?:\s+MD|DO)?)",
+    r"(?i)(?:Ordered by|Referring)[\s:]*([A-Z][a-z]+\s+[A-Z][a-z]+)",
 ]
-NPI = "(?i)(?:^|[^A-Za-z0-9_])NPI[ \t]*[:#]?[ \t]*([0-9]{10})(?:[^A-Za-z0-9_]|$)"
-SPECIMEN = "(?i)(?:^|[^A-Za-z0-9_])(?:Accession|Specimen(?:[ \t]*ID)?)[ \t]*[:#][ \t]*([A-Z0-9-]+)"
-CONTROL = "(?i)(?:Control|QC)[ \t#:]*([A-Z0-9-]+)"
-SPECIMEN_TYPE = ["(?i)(?:Specimen|Sample)[ \t:]*([A-Za-z \t]+?)(?:[ \t]|$|,)", "(?i)(Blood|Serum|Plasma|Urine|Stool|Sputum|CSF|Tissue)"]
+NPI = r"(?i)\bNPI\s*[:#]?\s*(\d{10})\b"
+SPECIMEN = r"(?i)\b(?:Accession|Specimen(?:\s*ID)?)\s*[:#]\s*([A-Z0-9-]+)"
+CONTROL = r"(?i)(?:Control|QC)[\s#:]*([A-Z0-9-]+)"
+SPECIMEN_TYPE = [r"(?i)(?:Specimen|Sample)[\s:]*([A-Za-z\s]+?)(?:\s|$|,)", "(?i)(Blood|Serum|Plasma|Urine|Stool|Sputum|CSF|Tissue)"]
 TIMES = {
-    "collected_at": ["(?i)(?:Collected|Collection)[ \t:]*([^,\n]+)"],
-    "received_at": ["(?i)(?:Received)[ \t:]*([^,\n]+)"],
-    "entered_at": ["(?i)(?:Entered)[ \t:]*([^,\n]+)"],
-    "reported_at": ["(?i)(?:Reported|Report Date)[ \t:]*([^,\n]+)", "(?i)(?:Final|Finalized)[ \t:]*([^,\n]+)"],
+    "collected_at": [r"(?i)(?:Collected|Collection)[\s:]*([^,\n]+)"],
+    "received_at": [r"(?i)(?:Received)[\s:]*([^,\n]+)"],
+    "entered_at": [r"(?i)(?:Entered)[\s:]*([^,\n]+)"],
+    "reported_at": [r"(?i)(?:Reported|Report Date)[\s:]*([^,\n]+)", r"(?i)(?:Final|Finalized)[\s:]*([^,\n]+)"],
 }
-STREET = "(?i)[0-9]+[ \t]+[A-Za-z0-9_]+[ \t]+(street|st|avenue|ave|road|rd|drive|dr|blvd)"
-STATE_ZIP = "[A-Z]{2}[ \t]+[0-9]{5}"
+STREET = r"(?i)\d+\s+\w+\s+(street|st|avenue|ave|road|rd|drive|dr|blvd)"
+STATE_ZIP = r"[A-Z]{2}\s+\d{5}"
 CLINIC = "(?i)(clinic|hospital|medical center|health|practice)"
-CLINICAL = "(?i)clinical[ \t]+information"
-COMMENTS = "(?i)(?:comments|general[ \t]+comments|notes)"
-ORDERED = "(?i)(?:ordered|requested|tests?[ \t]+ordered)"
-ORDERED_ITEM = "([A-Z][A-Za-z \t]+(?:Panel|Test|Profile|Screen))"
+CLINICAL = r"(?i)clinical\s+information"
+COMMENTS = r"(?i)(?:comments|general\s+comments|notes)"
+ORDERED = r"(?i)(?:ordered|requested|tests?\s+ordered)"
+ORDERED_ITEM = r"([A-Z][A-Za-z\s]+(?:Panel|Test|Profile|Screen))"
 
 
 @dataclass(frozen=True)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -56,40 +57,46 @@ def from_templates(templates: DataFrame, values: DataFrame, each: int) -> DataFr
     return due.join(templates, "template_no").select("value_no", "template_no", text.alias("text"))
 
 
+def _words(text: str) -> list[tuple[int, int]]:
+    """Where the white-space tokens of a text lie."""
+    return [m.span() for m in re.finditer(r"\S+", text)]
+
+
+def _name_before_number(text: str, words: list[tuple[int, int]]) -> int:
+    """Where a name ends that no pattern found: one to three tokens, the first all letters, the next one a number or a bound; 0 without one."""
+    if len(words) < 2 or not text[: words[0][1]].isalpha():
+        return 0
+    numbers = [i for i in range(1, min(4, len(words))) if text[words[i][0]] in "0123456789<>"]
+    return words[numbers[0] - 1][1] if numbers else 0
+
+
 def rule_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, label) of a row's parts by rules, stage by stage: name, flags, values, units, ranges. A stage leaves what earlier ones took."""
-    out: list[tuple[int, int, str]] = []
-    for pattern in L.SPLIT_NAMES:
-        if m := re.search(pattern, text, re.I):
-            out.append((*m.span(1), "TEST_NAME"))
-            break
-    else:
-        words = text.split()
-        for n in range(1, min(3, len(words)) + 1 if len(words) >= 2 and words[0].isalpha() else 0):
-            end = text.find(" ".join(words[:n])) + len(" ".join(words[:n]))
-            if re.match("[0-9<>]", text[end:].strip()):
-                out.append((0, end, "TEST_NAME"))
-                break
+    named = next((m.span(1) for p in L.SPLIT_NAMES if (m := re.search(p, text, re.I))), None)
+    if named is None and (end := _name_before_number(text, _words(text))):
+        named = (0, end)
+    out = [(*named, "TEST_NAME")] if named else []
+    taken = bytearray(len(text))
     for label, patterns in L.SPLIT_STAGES.items():
-        taken = list(out)
-        for m in (m for p in patterns for m in re.finditer(p, text, re.I)):
-            if not any(a < m.end() and m.start() < b for a, b, _ in taken):
-                out.append((*m.span(), label))
+        for start, end, _ in out:
+            taken[start:end] = b"\1" * (end - start)
+        out += [(*m.span(), label) for p in patterns for m in re.finditer(p, text, re.I) if 1 not in taken[m.start() : m.end()]]
     return sorted(out, key=lambda s: s[0])
 
 
 def rule_tags(text: str) -> list[str]:
     """B, I or O of each white-space token: of a type only the first token is B."""
-    places, at = [], 0
-    for word in text.split():
-        start = text.find(word, at)
-        at = start + len(word)
-        places.append((start, at))
-    tags = ["O"] * len(places)
-    for a, b, label in rule_spans(text):
-        for i, (start, end) in enumerate(places):
-            if tags[i] == "O" and a < end and start < b:
-                tags[i] = ("I-" if f"B-{label}" in tags[:i] else "B-") + label
+    words = _words(text)
+    ends = [end for _, end in words]
+    tags, began = ["O"] * len(words), {}
+    for start, end, label in rule_spans(text):
+        i = bisect_right(ends, start)  # the first token that reaches beyond the span's start
+        while i < len(words) and words[i][0] < end:
+            if tags[i] == "O":
+                first = began.setdefault(label, i)
+                tags[i] = ("I-" if first < i else "B-") + label
+                began[label] = min(first, i)
+            i += 1
     return tags
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from panelspark.functions import lexicons as L
 from panelspark.functions import predicates as P
 from panelspark.functions import tokens
 from panelspark.operators import headers, labels, layout, panels, registry, results, rows, training
@@ -112,20 +113,33 @@ def codes_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panels.codes_near(lines.where("line_no % 4 = 2"), lines, 3)
 
 
-@query("""SELECT p_partkey, p_partkey % 6 IN (0, 2, 3) AS is_comment FROM part""")
+_LINES = "ln AS (SELECT doc_id, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS line_no, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)"
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of every document."""
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    return _t(spark, sf_dir, "documents").select("doc_id", F.posexplode(lines).alias("n", "line")).select("doc_id", (F.col("n") + 1).cast("long").alias("line_no"), "line")
+
+
+_W = "string_split(line, ' ')"
+
+
+@query(f"""WITH {_LINES}, w AS (SELECT doc_id, line_no, {_W}[1] AS name, {_W}[2] AS value, {_W}[3] AS units FROM ln)
+SELECT doc_id, line_no, (coalesce(name, '') LIKE '%:' AND ({" OR ".join(f"contains(coalesce(name, ''), '{t}')" for t in L.HEADER_TERMS)})) OR (NOT regexp_matches(coalesce(value, ''), '[0-9]') AND NOT coalesce(units IN ({", ".join(f"'{u}'" for u in L.GUARD_UNITS)}), false)) AS is_comment FROM w""")
 def demoted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("p_partkey") % 6
-    name = _case(k, ["Acct # :", "Glucose", "Glucose", None, "Note:", "Client"])
-    value = _case(k, ["12", "12", "negative", None, "a4", "positive"])
-    units = _case(k, ["mg/dL", None, "furlong", None, None, "%"])
-    return _t(spark, sf_dir, "part").select("p_partkey", panels.is_comment(name, value, units).alias("is_comment"))
+    """The guard on documents' lines, read as name, value and unit by their first words."""
+    word = lambda i: F.get(F.split("line", " "), i)
+    return _lines(spark, sf_dir).select("doc_id", "line_no", panels.is_comment(word(0), word(1), word(2)).alias("is_comment"))
 
 
-@query("SELECT p_partkey, p_partkey % 6 IN (0, 1, 3, 5) AS likely, p_partkey % 6 IN (1, 3) AS names_panel FROM part")
+@query(f"""WITH {_LINES}, w AS (SELECT *, list_filter(regexp_split_to_array(line, '[ 	]+'), lambda w: w <> '') AS ws FROM ln)
+SELECT doc_id, line_no, (line_no % 3 = 0 AND len(ws) >= 2) OR len(list_filter(ws, lambda w: w = upper(w) AND w <> lower(w) AND length(w) >= 2)) >= 2 OR len(list_filter(ws, lambda w: regexp_matches(w, '[a-zA-Z]{{2,}}'))) >= 2 AS likely,
+ {" OR ".join(f"contains(lower(line), '{t}')" for t in L.PANEL_INDICATORS)} AS names_panel FROM w""")
 def likely_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("p_partkey") % 6
-    text = _case(k, ["7 x", "LIPID PANEL 2", "x 3 4", "Thyroid  function", "ABC", "ab c de"])
-    return _t(spark, sf_dir, "part").select("p_partkey", panels.likely_header(text, k == 0).alias("likely"), panels.names_panel(text).alias("names_panel"))
+    """Documents' lines, every third in bold."""
+    found = _lines(spark, sf_dir)
+    return found.select("doc_id", "line_no", panels.likely_header(F.col("line"), F.col("line_no") % 3 == 0).alias("likely"), panels.names_panel(F.col("line")).alias("names_panel"))
 
 
 @query("""SELECT l_orderkey AS doc_id, l_partkey % 3 AS panel_no, CASE WHEN (l_orderkey * 7 % 100) / 100 < 0.5 THEN 'given,continuity' ELSE 'given' END AS reasons, true AS needs_review FROM lineitem WHERE (l_orderkey * 7 % 100) / 100 >= 0.25 GROUP BY l_orderkey, l_partkey % 3""")
@@ -151,13 +165,26 @@ def panel_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Tokens ---------------------------------------------------------------------------------------------------------
 
-_TOKENS = ["01/02/1999", "2020-1-2", "January", "10:30", "9:05:01 pm", "A123456", "12D3456789", "(555) 010-2030", "5550102030", "Laboratory", "DOB:", "Patient", "mg/dL;", "plain"]
+_BARE = "regexp_replace(regexp_replace(lower(token), ':+$', ''), ',+$', '')"
+_EDGES = "[ \\t.,;:()\\[\\]{}<>+-]+"
 
 
-@query("""SELECT p_partkey, k IN (0, 1, 2) AS is_date, k IN (3, 4) AS is_time, k IN (5, 6, 8) AS is_id, k IN (7, 8) AS is_phone, k IN (9, 11) AS is_medical, k IN (9, 10, 11) AS is_label, k = 12 AS is_unit FROM (SELECT p_partkey, p_partkey % 14 AS k FROM part)""")
+def _words_in(words: list[str]) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+@query(f"""WITH w AS (SELECT DISTINCT unnest(string_split(regexp_replace(coalesce(text, ''), '[ 	
+]+', ' ', 'g'), ' ')) AS token FROM documents UNION SELECT strftime(ts, '%m/%d/%Y') FROM events UNION SELECT strftime(ts, '%H:%M:%S') FROM events UNION SELECT lpad(CAST(c_custkey % 1000 AS VARCHAR), 3, '0') || '-' || lpad(CAST(c_custkey % 997 AS VARCHAR), 3, '0') || '-' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') FROM customer UNION SELECT 'A' || (1000000 + c_custkey) FROM customer)
+SELECT token, regexp_matches(token, '{tokens.DATE_FORMS.replace("(?i)", "")}') OR regexp_matches(lower(token), '^(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)') AS is_date, regexp_matches(token, '{tokens.TIME_FORM}') AS is_time, regexp_matches(token, '{tokens.ID_FORMS}') AS is_id, regexp_matches(token, '{tokens.PHONE_FORMS}') AS is_phone,
+ lower(token) IN ({_words_in(L.MEDICAL_WORDS)}) AS is_medical, {_BARE} IN ({_words_in(L.LABEL_WORDS)}) AS is_label, regexp_replace(regexp_replace(lower(token), '^{_EDGES}', ''), '{_EDGES}$', '') IN ({_words_in(L.KNOWN_UNITS)}) AS is_unit FROM w""")
 def token_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    token = _case(F.col("p_partkey") % 14, _TOKENS)
-    return _t(spark, sf_dir, "part").select("p_partkey", tokens.token_kinds(token).alias("k"), tokens.is_unit_like(token).alias("is_unit")).select("p_partkey", "k.*", "is_unit")
+    """Every word of the documents, and dates, times, phones and numbers of other tables."""
+    words = _t(spark, sf_dir, "documents").select(F.explode(F.split(F.regexp_replace(F.coalesce("text", F.lit("")), "[ \t\n]+", " "), " ")).alias("token"))
+    events, customers, k = _t(spark, sf_dir, "events"), _t(spark, sf_dir, "customer"), F.col("c_custkey")
+    phone = F.concat_ws("-", F.lpad(_s(k % 1000), 3, "0"), F.lpad(_s(k % 997), 3, "0"), F.lpad(_s(k % 10000), 4, "0"))
+    for more in (events.select(F.date_format("ts", "MM/dd/yyyy")), events.select(F.date_format("ts", "HH:mm:ss")), customers.select(phone), customers.select(_cat("A", F.lit(1000000) + F.col("c_custkey")))):
+        words = words.union(more)
+    return words.distinct().select("token", tokens.token_kinds(F.col("token")).alias("k"), tokens.is_unit_like(F.col("token")).alias("is_unit")).select("token", "k.*", "is_unit")
 
 
 @query(r"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(text, '([,:;(){}])', ' \1 ', 'g'), '[ \t\n\r\f\x0B]+'), lambda x: x <> '') AS d, list_filter(regexp_split_to_array(text, '[^A-Za-z0-9_]+'), lambda x: x <> '') AS r FROM documents)
@@ -263,11 +290,10 @@ def diff_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.change_counts(_t(spark, sf_dir, "customer").select(_case(k, ["added", "unchanged", "modified", "unchanged"]).alias("kind")))
 
 
-@query("SELECT o_orderkey, 'job-' || o_orderkey AS base FROM orders")
+@query("SELECT page_id, string_split(coalesce(url, ''), '.')[1] AS base FROM pages")
 def result_id_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The correction log's variant: everything before the first point."""
-    name = _cat("job-", F.col("o_orderkey"), _case(F.col("o_orderkey") % 3, [".json", ".03_compose.debug.json", ""]))
-    return _t(spark, sf_dir, "orders").select("o_orderkey", F.substring_index(name, ".", 1).alias("base"))
+    """The correction log's variant: everything before the first point, of the pages' addresses."""
+    return _t(spark, sf_dir, "pages").select("page_id", F.substring_index(F.coalesce("url", F.lit("")), ".", 1).alias("base"))
 
 
 # Heads ----------------------------------------------------------------------------------------------------------
@@ -365,10 +391,23 @@ def jobs_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.newest_first(jobs, 60).select("id", F.date_format("at", "yyyy-MM-dd").alias("at"))
 
 
-@query("SELECT p_partkey, p_partkey % 6 IN (0, 5) AS servable FROM part")
+_URL = "coalesce(url, '')"
+_FOLDER = f"CASE length({_URL}) % 4 WHEN 0 THEN 'inbox' WHEN 1 THEN 'outbox' WHEN 2 THEN split_part({_URL}, '/', 3) ELSE 'golden' END"
+_NAME = f"CASE WHEN page_id % 3 = 0 THEN {_URL} ELSE split_part({_URL}, '/', CAST(1 + page_id % 6 AS INT)) END"
+
+
+def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folders and names cut from the pages' addresses."""
+    url = F.coalesce("url", F.lit(""))
+    part = lambda i: F.split_part(url, F.lit("/"), i)
+    folder = F.when(F.length(url) % 4 == 0, "inbox").when(F.length(url) % 4 == 1, "outbox").when(F.length(url) % 4 == 2, part(F.lit(3))).otherwise("golden")
+    name = F.when(F.col("page_id") % 3 == 0, url).otherwise(part((1 + F.col("page_id") % 6).cast("int")))
+    return _t(spark, sf_dir, "pages").select("page_id", folder.alias("folder"), name.alias("name"))
+
+
+@query(f"""WITH p AS (SELECT page_id, {_FOLDER} AS folder, {_NAME} AS name FROM pages) SELECT page_id, folder IN ('inbox', 'outbox', 'golden') AND NOT contains(name, '/') AND NOT contains(name, chr(92)) AND NOT contains(name, '..') AND name <> '' AS servable FROM p""")
 def servable_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("p_partkey") % 6
-    return _t(spark, sf_dir, "part").select("p_partkey", registry.is_servable(_case(k, ["inbox", "etc", "outbox", "golden", "inbox", "golden"]), _case(k, ["a.pdf", "a.pdf", "../a", "x/y", "", "b.json"])).alias("servable"))
+    return _places(spark, sf_dir).select("page_id", registry.is_servable(F.col("folder"), F.col("name")).alias("servable"))
 
 
 @query("SELECT unnest(['scanned', 'lists', 'to_migrate', 'errors']) AS kind, unnest([count(*), count(*) FILTER (event_id % 4 = 0), count(*) FILTER (event_id % 4 IN (1, 2)), count(*) FILTER (event_id % 4 = 3)]) AS n FROM events")
