@@ -452,7 +452,7 @@ w AS (SELECT id, n, CAST(NULL AS VARCHAR) AS before, status, at_, status = 'queu
   UNION ALL SELECT id, n, before, status, at_, coalesce(({_LEGAL}), false) FROM (SELECT e.id, e.n, CASE WHEN w.legal THEN w.status ELSE w.before END AS before, e.status, e.at_ FROM w JOIN e ON e.id = w.id AND e.n = w.n + 1)),
 mark AS (SELECT max(ts) - INTERVAL 1 HOUR AS at_ FROM events),
 fin AS (SELECT id, arg_max(CASE WHEN legal THEN status ELSE before END, n) AS status, max(at_) FILTER (legal) AS since FROM w GROUP BY id)
-SELECT id, before, status, at_ AS at, legal, 'event' AS cause FROM w UNION ALL SELECT id, 'processing', 'failed', since + INTERVAL 2 HOUR, true, 'stale' FROM fin, mark WHERE status = 'processing' AND since + INTERVAL 2 HOUR <= mark.at_""")
+SELECT id, before, status, at_ AS at, legal, 'event' AS cause FROM w UNION ALL SELECT id, 'processing', 'failed', date_trunc('milliseconds', since) + INTERVAL 2 HOUR, true, 'stale' FROM fin, mark WHERE status = 'processing' AND date_trunc('milliseconds', since) + INTERVAL 2 HOUR <= date_trunc('milliseconds', mark.at_)""")
 def stream_job_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each event does to its job, and jobs that went stale."""
     moved = jobs.drained_with_state(spark, lambda: jobs.job_moves(_job_events(ingest.event_stream(spark, sf_dir, 1_000_000)), stale="2 hours"))

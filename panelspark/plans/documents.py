@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from panelspark.functions import lexicons as L
 from panelspark.functions import predicates as P
 from panelspark.functions import tokens
-from panelspark.operators import headers, labels, layout, panels, registry, results, rows, training
+from panelspark.operators import headers, labels, layout, panels, registry, results, rows, stages, training
 from panelspark.plans import report
 from panelspark.plans.sql import CELLS
 from panelspark.sources.lines import synthetic_cells
@@ -343,6 +343,16 @@ def ordering_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return headers.ordering_locations(lines).join(headers.ordered_items(lines), "doc_id")
 
 
+_FIELD = lambda section, field: f"max(value) FILTER (section = '{section}' AND field = '{field}')"
+
+
+@query(f"""WITH h AS ({ORACLES["document_heads"]}), o AS (SELECT doc_id, {_FIELD("patient", "first_name")} || ' ' || coalesce({_FIELD("patient", "last_name")}, '') AS name, {", ".join(f"{_FIELD(*where)} AS {name}" for name, where in stages.LEGACY.items())},
+{", ".join(f"count(*) FILTER (section = '{section}') AS {name}" for section, name in stages.COUNTED.items())} FROM h GROUP BY doc_id) SELECT * FROM o""")
+def header_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers under the names that clients know."""
+    return stages.header_stage(_heads(spark, sf_dir))
+
+
 # Labels ---------------------------------------------------------------------------------------------------------
 
 

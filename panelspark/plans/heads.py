@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions import lexicons as L
 from panelspark.operators import header_bank as H
+from panelspark.operators import stages
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -163,3 +164,11 @@ s AS (SELECT *, (high / n) * 1.0::DOUBLE + (medium / n) * 0.6::DOUBLE + (low / n
 SELECT doc_id, high, medium, low, warnings, round(score + 1e-9, 6) AS score, CASE WHEN score >= 0.8 THEN 'high' WHEN score >= 0.6 THEN 'medium' ELSE 'low' END AS quality, concat_ws('; ', CASE WHEN low / n > 0.3 THEN 'many lines of low confidence' END, CASE WHEN warnings > n * 0.2::DOUBLE THEN 'many warnings' END) AS advice FROM s""")
 def header_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.fact_quality(H.line_facts(header_lines(spark, sf_dir))).withColumn("score", _six("score"))
+
+
+@query(f"""WITH {FACTS}, c AS (SELECT doc_id, count(*) AS total_lines, count(*) FILTER (role LIKE 'HEADER\\_%' ESCAPE '\\') AS header_lines, count(*) FILTER (role = 'TEST_ROW') AS row_lines FROM ({_RAW}) GROUP BY doc_id),
+p AS (SELECT * FROM facts WHERE kind = 'patient' QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY final_confidence DESC, line_no) = 1), s AS (SELECT * FROM facts WHERE kind = 'specimen' QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY final_confidence DESC, line_no) = 1)
+SELECT c.doc_id, total_lines, header_lines, row_lines, p.patient_name, p.sex, round(p.final_confidence + 1e-9, 6) AS patient_confidence, s.specimen_number, {", ".join("s." + d for d in H.DATES)}, round(s.final_confidence + 1e-9, 6) AS specimen_confidence FROM c LEFT JOIN p ON p.doc_id = c.doc_id LEFT JOIN s ON s.doc_id = c.doc_id""")
+def training_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = stages.training_documents(header_lines(spark, sf_dir))
+    return found.withColumns({"patient_confidence": _six("patient_confidence"), "specimen_confidence": _six("specimen_confidence")})

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelspark.operators import roles, tagger, training
+from panelspark.operators import roles, stages, tagger, training
 from panelspark.plans import models
 
 SUPPLIED = "/root/testdata/sf0.001"
@@ -98,3 +98,18 @@ def test_stage_falls_back_on_rules(spark, labelled, tmp_path):
     assert all(r.role == r.label and r.decided == "model" and r.role_confidence >= roles.SURE for r in by_model)
     for found in (roles.staged(labelled, None).collect(), roles.staged(labelled, path, sure=1.1).collect()):
         assert {r.decided for r in found} == {"rules"} and {r.role for r in found if r.label == "TEST_ROW"} == {"TEST_ROW"}
+
+
+def test_row_stage_falls_back_by_row(spark):
+    """What the model names is taken; where it names nothing, and without a model, the pattern reads the row."""
+    rows = spark.createDataFrame([(1, 1, "Glucose 105 mg/dL 70-99"), (1, 2, "zzz 7 qq"), (2, 1, ""), (2, 2, None)], "doc_id long, row_no long, text string")
+    tokens = [(d, 1, i, w, t) for d in range(50) for i, (w, t) in enumerate([("Glucose", "B-NAME"), (str(100 + d), "B-VALUE"), ("mg/dL", "B-UNIT"), (f"{d}-99", "B-RANGE")])]
+    tokens += [(100 + d, 1, i, w, "O") for d in range(50) for i, w in enumerate(["zzz", str(d % 9), "qq"])]
+    model = tagger.train(spark.createDataFrame(tokens, "doc_id long, row_no long, pos long, token string, tag string"))
+    found = stages.row_stage(rows, model)
+    got = {(r.doc_id, r.row_no): (r.test_name, r.result_value, r.units, r.reference_range, r.decided) for r in found.collect()}
+    assert got == {(1, 1): ("Glucose", "105", "mg/dL", "70-99", "model"), (1, 2): ("zzz", "7", "qq", None, "rules"), (2, 1): (None, None, None, None, "rules"), (2, 2): (None, None, None, None, "rules")}
+    stats = {r.doc_id: (r.rows, r.parsed, r.used_fallback, r.reason) for r in stages.row_stage_stats(found).collect()}
+    assert stats == {1: (2, 2, True, "per row"), 2: (2, 0, True, "no row by the model")}
+    ruled = stages.row_stage(rows, None).where("doc_id = 1 and row_no = 1").head()
+    assert (ruled.test_name, ruled.result_value, ruled.decided) == ("Glucose", "105", "rules")
