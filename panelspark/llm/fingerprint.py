@@ -8,12 +8,14 @@ of anything but ASCII white space, A-Z folded; a text of fewer than five words i
 Cases: a null text is empty; only a text without words has an empty sketch: two empty sketches are
 alike (1), an empty and another one aren't (0). Two texts without a hash under the threshold are
 compared by their least hashes, which are equal with the probability of their likeness. Documents are ordered by
-(doc_id, text), null ids first; repeated rows follow each other; of one row, it is its own next.
+doc_id, null ids first, those of one id by the crc32 of their text, then by the text; repeated rows follow each other, in one
+group, as nothing tells them apart; of one row, it is its own next.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.llm import blocks
-from panelspark.llm.hashing import FOLDED, batches, distinct, shingles
+from panelspark.llm.hashing import FOLDED, batches, distinct, shingles, slices
 from panelspark.llm.shared import buckets
 
 SHINGLE = 5
@@ -93,60 +95,84 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
+def place(texts: list[bytes]) -> np.ndarray:
+    """Where texts of one doc_id stand among each other: 32 bits, evenly spread."""
+    return np.fromiter(map(zlib.crc32, texts), np.int64, len(texts))
+
+
 def _ranges(bounds: np.ndarray):
-    """Range of each id by upper bounds; a null id (as the least integer) is in the first."""
-    return lambda ids: np.searchsorted(bounds, ids, side="left").astype(np.int32)
+    """Range of rows by their ids and places: an id that several bounds fall on is spread over as many ranges, by place; a null id is the least integer."""
+
+    def of(ids: np.ndarray, places: np.ndarray) -> np.ndarray:
+        first = np.searchsorted(bounds, ids, side="left")
+        share = np.searchsorted(bounds, ids, side="right") - first
+        return (first + np.where(share > 1, places * share >> 32, 0)).astype(np.int32)
+
+    return of
+
+
+def _bounds(docs: DataFrame, n: int) -> np.ndarray:
+    """Ids that cut the documents into about n ranges of equal counts; an id of many documents is there as often as it has ranges."""
+    total, known = docs.agg(F.count("*"), F.count("doc_id")).head()
+    missing = n * (total - known) // max(total, 1)
+    rest = n - missing
+    q = docs.agg(F.percentile_approx("doc_id", [i / rest for i in range(1, rest)], max(10_000, 20 * n))).head()[0] if rest > 1 else None
+    return np.array([blocks.NO_ID] * missing + list(q or []), np.int64)
 
 
 def edited_pairs(docs: DataFrame, k: int = SHINGLE, scale: int = SCALE) -> DataFrame:
     """Each document's fingerprint, that of its text edited with the next document's, and how alike they are.
 
-    Documents are dealt by ranges of doc_id of about equal counts, so a document's next one is in its own
-    group, or is the least of the following range, which is sent to both.
+    Documents are dealt by ranges of doc_id of about equal counts, an id of very many documents (a null one, say) over
+    several; so a document's next one is in its own group, or is the least of the following range, which is sent to both.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    n = buckets(docs, 4)
-    q = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], max(10_000, 20 * n))).head()[0] or []
-    bounds = np.unique(np.array(q, np.int64))
-    range_of = _ranges(bounds)
+    range_of = _ranges(_bounds(docs, buckets(docs, 4)))
 
     def firsts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            ids = blocks.ids_of(batch.column("doc_id"))
-            r = range_of(ids)
-            order = np.lexsort((ids, r))
+        for batch in slices(it):
+            ids, places = blocks.ids_of(batch.column("doc_id")), place(blocks.raw_texts(batch.column("text")))
+            r = range_of(ids, places)
+            order = np.lexsort((places, ids, r))
             head = order[np.flatnonzero(np.diff(r[order], prepend=-1))]
-            yield pa.RecordBatch.from_arrays([pa.array(r[head], pa.int32()), pa.array(ids[head], pa.int64())], names=["r", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(r[head], pa.int32()), pa.array(ids[head], pa.int64()), pa.array(places[head], pa.int64())], names=["r", "id", "place"])
 
-    least = sorted(tuple(x) for x in docs.select("doc_id").mapInArrow(firsts, "r int, id long").groupBy("r").agg(F.min("id")).collect())  # a row a range
-    guests = {first: least[i - 1][0] for i, (_, first) in enumerate(least)}
+    found = docs.mapInArrow(firsts, "r int, id long, place long").groupBy("r").agg(F.min(F.struct("id", "place")).alias("first"))
+    least = sorted((x.r, tuple(x.first)) for x in found.collect())  # a row a range
+    guests = {r: least[i - 1][0] for i, (r, _) in enumerate(least)}
+    heads = dict(least)
 
     def deal(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heads = np.array(sorted(guests), np.int64)
-        for batch in it:
+        for batch in slices(it):
             ids, texts = blocks.ids_of(batch.column("doc_id")), blocks.raw_texts(batch.column("text"))
-            yield blocks.send_texts(range_of(ids), ids, texts)
-            at = np.flatnonzero(np.isin(ids, heads))
-            if len(at):
-                yield blocks.send_texts(np.array([-1 - guests[i] for i in ids[at].tolist()], np.int32), ids[at], [texts[i] for i in at.tolist()])
+            places = place(texts)
+            r = range_of(ids, places)
+            yield blocks.send_texts(r, ids, texts)
+            first: dict[int, int] = {}
+            for i in np.flatnonzero(np.isin(ids, [x for x, _ in heads.values()])).tolist():
+                if heads[int(r[i])] == (ids[i], places[i]) and texts[i] <= texts[first.setdefault(int(r[i]), i)]:
+                    first[int(r[i])] = i
+            if first:
+                at = list(first.values())
+                yield blocks.send_texts(np.array([-1 - guests[x] for x in first], np.int32), ids[at], [texts[i] for i in at])
 
     def pairs(table: pa.Table) -> pa.Table:
         own = np.asarray(table.column("bucket")) >= 0
         ids, texts = blocks.received_texts(table.filter(pa.array(own)))
         if not len(ids):
             return _RESULT.empty_table()
-        rows = sorted(zip(ids.tolist(), (x.decode() for x in texts), strict=True))
-        guest = min(zip(*(x.tolist() if isinstance(x, np.ndarray) else x for x in blocks.received_texts(table.filter(pa.array(~own)))), strict=True))
-        text = [x for _, x in rows]
-        following = [*text[1:], guest[1].decode()]
+        rows = sorted(zip(ids.tolist(), place(texts).tolist(), texts, strict=True))
+        guest = min(blocks.received_texts(table.filter(pa.array(~own)))[1])
+        text = [x.decode() for _, _, x in rows]
+        following = [*text[1:], guest.decode()]
         changed = [edited(a, b) for a, b in zip(text, following, strict=True)]
         found = sketches(pa.array(following[-1:] + text, pa.large_string()), k, scale)
         own_sketch, last = found[1:], found[0]
         other = sketches(pa.array(changed, pa.large_string()), k, scale)
         return pa.Table.from_pydict(
             {
-                "doc_id": [None if i == blocks.NO_ID else i for i, _ in rows],
+                "doc_id": [None if i == blocks.NO_ID else i for i, _, _ in rows],
                 "n_chars": [len(x) for x in text],
                 "edited_sha256": [hashlib.sha256(x.encode()).hexdigest() for x in changed],
                 "fingerprint": [as_text(x) for x in own_sketch],

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -26,8 +27,8 @@ def key(doc_id):
 
 
 def edited(docs: list[tuple]) -> list[tuple]:
-    """(doc_id, n_chars, edited_sha256), of (doc_id, text) with distinct ids."""
-    rows = sorted(((d, t or "") for d, t in docs), key=lambda r: (key(r[0]), r[1]))
+    """(doc_id, n_chars, edited_sha256), of (doc_id, text)."""
+    rows = sorted(((d, t or "") for d, t in docs), key=lambda r: (key(r[0]), zlib.crc32(r[1].encode()), r[1]))
     out = []
     for i, (d, t) in enumerate(rows):
         n = len(t) // 2

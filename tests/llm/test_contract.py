@@ -97,6 +97,23 @@ def test_fingerprint_of_short_texts(spark, tmp_path):
         assert (fingerprint.merge(*parts) == whole[0]).all()
 
 
+def test_fingerprint_where_one_id_has_most_rows(spark, tmp_path):
+    """Ten thousand null ids and as many of one id, spread over groups, in the order of the plain version."""
+    import pyarrow as pa
+
+    from panelspark.llm import blocks, fingerprint
+
+    rows = [(None, f"text {i} of nobody") for i in range(10_000)] + [(7, f"text {i} of seven") for i in range(10_000)] + [(i, f"text of {i}") for i in range(100)] + [(None, "same")] * 50
+    fixtures.documents(str(tmp_path), rows)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").select("doc_id", "text")
+    bounds = fingerprint._bounds(docs, 32)
+    texts = [t.encode() for _, t in rows]
+    groups = fingerprint._ranges(bounds)(blocks.ids_of(pa.array([d for d, _ in rows], pa.int64())), fingerprint.place(texts))
+    assert np.bincount(groups).max() < 1_500
+    got = [tuple(r) for r in QUERIES["op1_fingerprint"](spark, str(tmp_path)).select("doc_id", "n_chars", "edited_sha256").collect()]
+    assert ordered(got) == ordered(brute.edited(rows))
+
+
 def test_substrings(spark, place):
     got = result(spark, "op2_substrings", place, "doc_id", "n_words", "n_removed", "kept_sha256")
     assert ordered(got) == ordered(brute.repeats(table(place, "documents", "doc_id", "text")))
