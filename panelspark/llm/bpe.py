@@ -25,6 +25,7 @@ from __future__ import annotations
 from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +47,6 @@ class Vocabulary:
     """Tokens and their ranks, and which token may follow which."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        import ahocorasick
         import regex
 
         self.ranks, self.pattern = ranks, regex.compile(pattern)
@@ -58,10 +58,17 @@ class Vocabulary:
         self._parts: dict[int, tuple[int, int] | None] = {}
         self._edges: tuple[dict, dict] = {}, {}
         self._pairs: dict[int, bool] = {}
-        self._ends = ahocorasick.Automaton()
-        for token, rank in ranks.items():
-            self._ends.add_word(token.decode("latin-1"), rank)
-        self._ends.make_automaton()
+
+    @cached_property
+    def _ends(self):
+        """Finds every token that stands in a text; only encoding needs it."""
+        import ahocorasick
+
+        found = ahocorasick.Automaton()
+        for token, rank in self.ranks.items():
+            found.add_word(token.decode("latin-1"), rank)
+        found.make_automaton()
+        return found
 
     def merged(self, token: int) -> list[int]:
         """What merging makes of a token's bytes before the token itself would arise."""
