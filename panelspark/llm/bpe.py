@@ -26,6 +26,7 @@ from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cached_property
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -209,40 +210,52 @@ class Prefixes:
         return self.vocabulary.read(self.last, len(self.last) if end is None else end)
 
 
-class Encoder:
-    """Texts to ids and back; keeps the ids of short matches."""
+class Known(dict):
+    """Ids of matches of the pattern; those of short ones stay."""
 
     def __init__(self, vocabulary: Vocabulary):
+        super().__init__()
         self.vocabulary = vocabulary
-        self._kept: dict[str, list[int]] = {}
+
+    def __missing__(self, piece: str) -> list[int]:
+        data, v = piece.encode(), self.vocabulary
+        whole = v.ranks.get(data)
+        if whole is not None:
+            found = [whole]
+        else:
+            last: list[int] | array = [] if len(data) < 1 << 10 else array("i")
+            v.extend(last, data, 0)
+            found = v.read(last, len(data))
+        if len(piece) <= SHORT:
+            if len(self) >= KEPT:
+                self.clear()
+            self[piece] = found
+        return found
+
+
+class Encoder:
+    """Texts to ids and back."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary, self._known = vocabulary, Known(vocabulary)
 
     def match(self, piece: str) -> list[int]:
         """Ids of one match of the pattern."""
-        found = self._kept.get(piece)
-        if found is None:
-            data, v = piece.encode(), self.vocabulary
-            whole = v.ranks.get(data)
-            if whole is not None:
-                found = [whole]
-            else:
-                last: list[int] | array = [] if len(data) < 1 << 10 else array("i")
-                v.extend(last, data, 0)
-                found = v.read(last, len(data))
-            if len(piece) <= SHORT:
-                if len(self._kept) >= KEPT:
-                    self._kept.clear()
-                self._kept[piece] = found
-        return found
+        return self._known[piece]
+
+    def _lots(self, text: str) -> Iterator[list[str]]:
+        """The matches of a text, of a long one so many at a time."""
+        if len(text) <= LOT:
+            yield self.vocabulary.pattern.findall(text)
+            return
+        matches = self.vocabulary.pattern.finditer(text)
+        while some := [m[0] for m in islice(matches, LOT >> 4)]:
+            yield some
 
     def encode(self, text: str) -> array:
         out = array("I")
-        kept, match, some = self._kept.get, self.match, []
-        for piece in self.vocabulary.pattern.findall(text):
-            some += kept(piece) or match(piece)
-            if len(some) > LOT:
-                out.extend(some)
-                some = []
-        out.extend(some)
+        for pieces in self._lots(text):
+            out.extend(chain.from_iterable(map(self._known.__getitem__, pieces)))
         return out
 
     def decode(self, ids) -> bytes:
