@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.functions import text as T
-from panelspark.operators import corrections, meta, registry, training
+from panelspark.operators import corrections, meta, registry, roles, training
 from panelspark.plans.report import ROLES, _roles
 from panelspark.sources.scratch import scratch
 from panelspark.streaming import ingest, jobs
@@ -413,8 +413,8 @@ def role_classifier_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     training.role_features(_roles(spark, sf_dir).select("doc_id", "text", "y", "is_bold", F.col("role").alias("label"))).write.parquet(path)
     rows = spark.read.parquet(path)
     model = training.fit_role_classifier(rows.where("doc_id % 5 <> 0"))
-    out = model.transform(rows.where("doc_id % 5 = 0").withColumn("weight", F.lit(1.0)))
-    return out.groupBy("label", (F.col("index") == F.col("prediction")).alias("right")).agg(F.count("*").alias("n"))
+    out = model.transform(roles.alike(rows.where("doc_id % 5 = 0").withColumn("weight", F.lit(1.0))))
+    return out.groupBy("label", (F.col("index") == F.col("prediction")).alias("right")).agg(F.sum("n").alias("n"))
 
 
 # Streams (beyond the batch surface) -------------------------------------------------------------------------------

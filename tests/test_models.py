@@ -113,3 +113,12 @@ def test_row_stage_falls_back_by_row(spark):
     assert stats == {1: (2, 2, True, "per row"), 2: (2, 0, True, "no row by the model")}
     ruled = stages.row_stage(rows, None).where("doc_id = 1 and row_no = 1").head()
     assert (ruled.test_name, ruled.result_value, ruled.decided) == ("Glucose", "105", "rules")
+
+
+def test_like_rows_enter_a_model_once(labelled):
+    """A thousand copies of the rows weigh as before and are no more rows to the regression."""
+    weighed = roles.weighed(labelled.select("text", "y", "bold", "tertile", "label"))
+    one, many = roles.alike(weighed), roles.alike(weighed.crossJoin(labelled.sparkSession.range(10).select("id")))
+    assert one.count() == many.count() < weighed.count()
+    assert many.agg(F.sum("n")).first()[0] == 10 * weighed.count()
+    assert many.agg(F.sum("weight")).first()[0] == pytest.approx(10 * one.agg(F.sum("weight")).first()[0])
