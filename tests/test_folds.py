@@ -23,3 +23,28 @@ def test_a_fold_needs_no_call_a_document(spark):
     plan = layout.greedy_repeats(rows, 30)._jdf.queryExecution().toString()
     assert "FlatMapGroups" not in plan and "MapInArrow" in plan
     assert layout.greedy_repeats(rows, 30).count() == 40
+
+
+def test_codes_near_against_all_pairs_on_a_crowded_page(spark):
+    """Ties in x, spots with several lines, heights in fractions; and no pair of all targets with all codes."""
+    import random
+
+    from panelspark.operators import panels
+
+    r = random.Random(5)
+    rows = [(d, 1 + n % 2, n, r.randrange(12), r.randrange(40) / 4, r.choice([f"LOINC: {r.randrange(900)}-5", f"CPT #80{n % 7}", f"LOINC: {n}-1 CPT #81{n % 9}", "plain"])) for d in range(3) for n in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, page long, line_no long, x long, y double, text string")
+    got = panels.codes_near(df.where("line_no % 3 = 0"), df, 2)
+    df.createOrReplaceTempView("crowded")
+    t, c = df.where("line_no % 3 = 0").collect(), df.collect()
+    import re
+
+    want = {}
+    for a in t:
+        near = sorted((abs(b.x - a.x), b.line_no, b.text) for b in c if (b.doc_id, b.page) == (a.doc_id, a.page) and abs(b.y - a.y) <= 2 and b.text != "plain")
+        first = lambda form: next((m.group(1) for _, _, text in near if (m := re.search(form, text))), None)
+        if near:
+            want[a.doc_id, a.line_no] = (first(r"LOINC: (\d+-\d)"), first(r"CPT #(\d+)"))
+    found = {(x.doc_id, x.line_no): (x.loinc, x.cpt) for x in got.collect()}
+    assert found.keys() == want.keys()
+    assert found == want
