@@ -48,3 +48,18 @@ def test_codes_near_against_all_pairs_on_a_crowded_page(spark):
     found = {(x.doc_id, x.line_no): (x.loinc, x.cpt) for x in got.collect()}
     assert found.keys() == want.keys()
     assert found == want
+
+
+def test_items_lie_in_partitions_by_their_number(spark, tmp_path, monkeypatch):
+    """More items make more partitions, not larger ones, and a document is in one of them."""
+    from pyspark.sql import functions as F
+
+    from panelspark.sources import lines
+
+    monkeypatch.setattr(lines, "ITEMS_A_PARTITION", 10)
+    monkeypatch.setattr(lines, "LEAST_ITEMS", 5)
+    for n in (40, 400):
+        spark.range(n).select((F.col("id") % (n // 4)).alias("l_orderkey"), "id").write.parquet(f"{tmp_path}/{n}/lineitem.parquet")
+        items = lines._items(spark, f"{tmp_path}/{n}")
+        assert items.rdd.getNumPartitions() == max(n // 10, 8)
+        assert items.groupBy("doc_id").agg(F.countDistinct(F.spark_partition_id()).alias("k")).where("k > 1").count() == 0
