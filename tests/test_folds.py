@@ -62,4 +62,4 @@ def test_items_lie_in_partitions_by_their_number(spark, tmp_path, monkeypatch):
         spark.range(n).select((F.col("id") % (n // 4)).alias("l_orderkey"), "id").write.parquet(f"{tmp_path}/{n}/lineitem.parquet")
         items = lines._items(spark, f"{tmp_path}/{n}")
         assert items.rdd.getNumPartitions() == max(n // 10, 8)
-        assert items.groupBy("doc_id").agg(F.countDistinct(F.spark_partition_id()).alias("k")).where("k > 1").count() == 0
+        assert items.select("doc_id", F.spark_partition_id().alias("k")).distinct().count() == n // 4
