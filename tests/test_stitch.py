@@ -235,3 +235,14 @@ def test_report_from_lines_to_scores(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], LINES)
     assert stitch.read_rows(df).collect() == []
+
+
+def test_neighbours_and_columns_are_found_without_joins(spark, tmp_path):
+    """Lines that lie with their document are shuffled once, as items, whatever is read from them."""
+    from panelspark.plans import stitching
+
+    spark.range(40).selectExpr("id % 9 l_orderkey", "id l_partkey", "id l_suppkey", "cast(id as int) l_linenumber", "1d l_quantity", "1d l_extendedprice", "0d l_discount", "0d l_tax", "'R' l_returnflag", "'O' l_linestatus", "now() l_shipdate").write.parquet(f"{tmp_path}/lineitem.parquet")
+    for name in ("rows_read", "split_rows_merged", "split_row_reasons", "column_fills", "stitched_fields"):
+        plan = stitching.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan, name
+        assert plan.count("Exchange") == 1, name
