@@ -63,3 +63,19 @@ def test_items_lie_in_partitions_by_their_number(spark, tmp_path, monkeypatch):
         items = lines._items(spark, f"{tmp_path}/{n}")
         assert items.rdd.getNumPartitions() == max(n // 10, 8)
         assert items.select("doc_id", F.spark_partition_id().alias("k")).distinct().count() == n // 4
+
+
+def test_repeated_pairs_against_all_pairs_and_without_joins(spark):
+    import random
+
+    from panelspark.operators import layout
+
+    r = random.Random(3)
+    rows = [(d, n, 1 + n // 3, r.choice([5.0, 60.0, 99.5, 905.0, 950.25, 999.0, 500.0]), " ".join(r.choices("Page of report lab a b c".split(), k=r.randrange(6)))) for d in (1, 2, None) for n in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, row_no long, page long, y double, text string")
+    got = layout.repeated_pairs(df, 60)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    edges = [(d, n, p, y, set(t.lower().split())) for d, n, p, y, t in rows if d and (y < 100 or y > 900) and t]
+    want = {(a[0], a[1], b[1], len(a[4] & b[4]), len(a[4] | b[4])) for a in edges for b in edges if a[0] == b[0] and a[2] < b[2] and abs(a[3] - b[3]) < 100 and 100 * len(a[4] & b[4]) >= 60 * len(a[4] | b[4])}
+    found = [tuple(x) for x in got.where("doc_id is not null").collect()]
+    assert set(found) == want and len(found) == len(want) > 30
