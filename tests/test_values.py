@@ -83,3 +83,14 @@ def test_client_patches(spark):
 )
 def test_rows_tagged_by_rule(text, want):
     assert " ".join(labels.rule_tags(text)) == want
+
+
+def test_best_panels_are_ranked_by_the_score_shown(spark):
+    """Three equal confidences have a mean a last place below one of them; that decides nothing."""
+    from panelspark.plans import report
+
+    low = (0.85775 + 0.85775 + 0.85775) / 3
+    assert low < 0.85775
+    rows = [(d, 1, 3, a, a * 0.5 + 0.5, "", False) for d, a in ((1, 0.85775), (2, low), (3, 0.85775), (4, 0.85775), (5, 0.9))]
+    scored = spark.createDataFrame(rows, "doc_id long, panel_no long, n_tests long, avg_confidence double, score double, reasons string, needs_review boolean")
+    assert [r.doc_id for r in report.best_panels(scored, 3).collect()] == [5, 1, 2]
