@@ -79,3 +79,43 @@ def test_repeated_pairs_against_all_pairs_and_without_joins(spark):
     want = {(a[0], a[1], b[1], len(a[4] & b[4]), len(a[4] | b[4])) for a in edges for b in edges if a[0] == b[0] and a[2] < b[2] and abs(a[3] - b[3]) < 100 and 100 * len(a[4] & b[4]) >= 60 * len(a[4] | b[4])}
     found = [tuple(x) for x in got.where("doc_id is not null").collect()]
     assert set(found) == want and len(found) == len(want) > 30
+
+
+def test_rows_are_merged_as_a_plain_loop_does_without_grouping(spark, tmp_path):
+    """Cells of a document are sorted for windows; grouping them, as before, sorted and packed each list twice."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from panelspark.operators import layout
+    from panelspark.plans import documents, report
+
+    r = random.Random(8)
+    cells = [(d, n, 1 + n // 20, r.randrange(0, 120), r.randrange(5) * 50, r.choice(["a", " 7 ", "", None, "long enough text", "Bold"]), r.random() < 0.4, r.choice([8, 10, 12, None])) for d in (1, 2, None) for n in range(60)]
+    df = spark.createDataFrame(cells, "doc_id long, line_no long, page int, y int, x int, text string, is_bold boolean, font int")
+    bins: dict = {}
+    for d, p in sorted({(str(c[0]), c[2]) for c in cells}):
+        at, last = 0, None
+        for c in sorted((c for c in cells if (str(c[0]), c[2]) == (d, p)), key=lambda c: (c[3], c[1])):
+            at += last is None or c[3] - last > 6
+            last = c[3]
+            bins.setdefault((d, p, at), []).append(c)
+    want, numbers = {}, {}
+    for (d, p, b), held in sorted(bins.items()):
+        held.sort(key=lambda c: (c[4], c[1]))
+        text = "\t".join(c[5].strip() for c in held if c[5] is not None)
+        fonts = sorted(c[7] for c in held if c[7] is not None)
+        bold, font = any(c[6] for c in held), (fonts[(len(fonts) - 1) // 2] + fonts[len(fonts) // 2]) / 2 if fonts else None
+        if len(held) >= 2 or any(ch.isdigit() for ch in text) or (bold and (font or 0) >= 11) or len(text) >= 10:
+            numbers[d] = numbers.get(d, 0) + 1
+            want[d, numbers[d]] = (p, b, text, sum(c[3] for c in held) / len(held), bold, font, held[0][4], held[-1][4], len(held), min(c[1] for c in held))
+    got = layout.merge_rows(df, 6)
+    found = {(str(x.doc_id), x.row_no): (x.page, x.bin, x.text, x.y, x.is_bold, x.font, x.x_left, x.x_right, x.n_cells, x.first_line) for x in got.collect()}
+    assert found == want and len(want) < len(bins)
+
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate", "l_linestatus"]
+    spark.range(300).select((F.col("id") % 70).alias("l_orderkey"), *(F.col("id").alias(c) for c in order), F.lit("R").alias("l_returnflag")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    for name, query in [*((n, report.QUERIES[n]) for n in ("quarantine_basic", "repeat_header_exact", "split_row_lead", "document_scores")), *((n, documents.QUERIES[n]) for n in ("expected_panels", "role_documents"))]:
+        assert query(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1, name
+    plan = report.quarantine_basic(spark, str(tmp_path))._jdf.queryExecution().sparkPlan().toString()
+    assert "Aggregate" not in plan and "lambda" not in plan
