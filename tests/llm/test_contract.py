@@ -131,6 +131,27 @@ def test_substrings_over_more_levels(spark, odd, window, shortest, lengths):
     assert all(brute.sha(r.kept) == r.kept_sha256 for r in got.collect())
 
 
+def test_substrings_keep_candidates_of_copies_packed():
+    """A whole text of candidates takes next to nothing in the state, and comes back as it was."""
+    import numpy as np
+    import pyarrow as pa
+
+    from panelspark.llm import substrings
+    from panelspark.llm.hashing import PLAIN, batches, encoded
+
+    text = " ".join(f"w{i}" for i in range(20_000))
+    (_, words), *_ = batches(encoded([text]), PLAIN, 1 << 20)
+    rows = substrings._Rows(0)
+    for doc in (5, 6):
+        rows.open(doc, words, 0, text.encode(), np.arange(19_988))
+    state = rows.table()
+    assert max(len(x.as_py()) for x in state.column("candidates")) < 1_000
+    back = list(substrings._read_state(pa.table(state)))
+    assert np.concatenate([ids for ids, _, _ in back]).tolist() == [5, 6]
+    assert sum(len(at) for _, _, at in back) == 2 * 19_988 and (np.diff(back[0][2][:19_988]) == 1).all()
+    assert list(substrings._lots(np.array([1 << 21, 1 << 21, 1, 1 << 30, 3]))) == [(0, 2), (2, 3), (3, 4), (4, 5)]
+
+
 def test_decontaminate(spark, place):
     got = result(spark, "op3_decontaminate", place, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     items = [("" if n is None else n, t) for n, t in table(place, "benchmark", "item_id", "text")]
