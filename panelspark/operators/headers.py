@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.functions import text as T
+from panelspark.operators.stitch import settled
 
 # Roles and forms of fields.
 LAB_ROLES = ("PAGE_HEADER", "HEADER_LAB", "SECTION_PANEL")
@@ -57,54 +58,85 @@ class Field:
     value: Column
 
 
-def _first(text: Column, *patterns: str, group: int = 1) -> Column:
-    return F.coalesce(*(F.nullif(F.regexp_extract(text, p, group), F.lit("")) for p in patterns))
+#: What is looked for in a line, each once, in order: patterns and their groups.
+_LOOKED_FOR = {
+    "lab": [(p, 1) for p in LAB_NAMES],
+    "account": [(ACCOUNT, 1)],
+    "number": [(PHONE, 1)],
+    **{f"comma{g}": [(NAME_COMMA, g)] for g in (1, 2, 3)},
+    **{f"plain{g}": [(NAME_PLAIN, g)] for g in (1, 2, 3)},
+    "birth": [(BIRTH, 1)],
+    "sex": [(SEX, 1)],
+    "record": [(p, 1) for p in RECORD],
+    "provider": [(p, 1) for p in PROVIDER],
+    "npi": [(NPI, 1)],
+    "specimen": [(SPECIMEN, 1)],
+    "control": [(CONTROL, 1)],
+    "kind": [(p, 1) for p in SPECIMEN_TYPE],
+    **{name: [(p, 1) for p in patterns] for name, patterns in TIMES.items()},
+}
+
+
+def _all(name: str) -> list[Column]:
+    return [F.nullif(F.col(f"_{name}{i}"), F.lit("")) for i in range(len(_LOOKED_FOR[name]))]
+
+
+def _first(name: str) -> Column:
+    return F.coalesce(*_all(name))
+
+
+def _looked_for(lines: DataFrame) -> DataFrame:
+    """Lines with what each pattern finds, worked out once a line and only on the lines that may have it."""
+    out = settled(lines, {"_t": F.trim("text"), "_low": F.lower(F.trim("text"))})
+    lab, named = F.col("role").isin(*LAB_ROLES), F.col("role").isin(*PATIENT_ROLES) | F.col("_low").contains("patient")
+    only = {"lab": lab, "account": lab} | {f"{form}{g}": named for form in ("comma", "plain") for g in (1, 2, 3)}
+    found = {f"_{name}{i}": F.regexp_extract("_t", p, g) for name, some in _LOOKED_FOR.items() for i, (p, g) in enumerate(some)}
+    return settled(out, {f"_{name}{i}": F.when(only[name], found[f"_{name}{i}"]) if name in only else found[f"_{name}{i}"] for name, some in _LOOKED_FOR.items() for i in range(len(some))})
 
 
 def _fields() -> list[Field]:
-    text, role = F.trim("text"), F.col("role")
-    low = F.lower(text)
+    """Fields of lines of _looked_for()."""
+    role, low = F.col("role"), F.col("_low")
     lab, patient = role.isin(*LAB_ROLES), role.isin(*PATIENT_ROLES)
-    number = T.normalize_phone(_first(text, PHONE))
-    named = patient | low.contains("patient")
-    comma = lambda g: _first(text, NAME_COMMA, group=g)
-    plain = lambda g: _first(text, NAME_PLAIN, group=g)
+    number = T.normalize_phone(_first("number"))
+    comma = lambda g: _first(f"comma{g}")
+    plain = lambda g: _first(f"plain{g}")
     person = F.when(comma(1).isNotNull(), F.struct(comma(1).alias("last_name"), comma(2).alias("first_name"), comma(3).alias("middle")))
     person = person.when(plain(1).isNotNull(), F.struct(plain(3).alias("last_name"), plain(1).alias("first_name"), plain(2).alias("middle")))
-    sex = F.upper(_first(text, SEX))
-    kind = F.trim(_first(text, *SPECIMEN_TYPE))
-    dated = lambda patterns: F.coalesce(*(T.normalize_date(_first(text, p)) for p in patterns))
-    person = F.when(named & (text != ""), person)
+    sex = F.upper(_first("sex"))
+    kind = F.trim(_first("kind"))
+    dated = lambda name: F.coalesce(*(T.normalize_date(x) for x in _all(name)))
     return [
-        Field("vendor", "name", F.when(lab, F.trim(_first(text, *LAB_NAMES)))),
-        Field("vendor", "account_number", F.when(lab, _first(text, ACCOUNT))),
+        Field("vendor", "name", F.when(lab, F.trim(_first("lab")))),
+        Field("vendor", "account_number", F.when(lab, _first("account"))),
         Field("vendor", "phone", F.when(lab & low.contains("phone"), number)),
         Field("vendor", "fax", F.when(lab & low.contains("fax"), number)),
         # the three names come from one line
         Field("patient", "last_name", person["last_name"]),
         Field("patient", "first_name", person["first_name"]),
         Field("patient", "middle", F.when(person["last_name"].isNotNull(), F.coalesce(person["middle"], F.lit("")))),
-        Field("patient", "dob", T.normalize_date(_first(text, BIRTH))),
+        Field("patient", "dob", dated("birth")),
         Field("patient", "sex", F.when(sex.isin("M", "MALE"), "M").when(sex.isin("F", "FEMALE"), "F")),
-        Field("patient", "mrn", _first(text, *RECORD)),
+        Field("patient", "mrn", _first("record")),
         Field("patient", "phone", F.when(patient | low.contains("phone"), number)),
-        Field("ordering", "provider_name", F.trim(_first(text, *PROVIDER))),
-        Field("ordering", "npi", _first(text, NPI)),
-        Field("specimen", "id", _first(text, SPECIMEN)),
-        Field("specimen", "control_id", _first(text, CONTROL)),
+        Field("ordering", "provider_name", F.trim(_first("provider"))),
+        Field("ordering", "npi", _first("npi")),
+        Field("specimen", "id", _first("specimen")),
+        Field("specimen", "control_id", _first("control")),
         Field("specimen", "type", F.when(F.length(kind).between(1, 49), kind)),
-        *(Field("specimen", name, dated(patterns)) for name, patterns in TIMES.items()),
+        *(Field("specimen", name, dated(name)) for name in TIMES),
     ]
 
 
 def document_fields(lines: DataFrame) -> DataFrame:
     """lines(doc_id, line_no, role, text) -> doc_id, section, field, value: a row a field that some line has.
 
-    One aggregate by document: the first line's value of every field, whatever their number.
+    One aggregate by document: the first line's value of every field, whatever their number. A line's values are worked out before it, once.
     """
     fields = _fields()
-    firsts = [F.min_by(f.value, F.when(f.value.isNotNull(), F.col("line_no"))).alias(f"f{i}") for i, f in enumerate(fields)]
-    one = lines.groupBy("doc_id").agg(*firsts)
+    valued = settled(_looked_for(lines), {f"f{i}": f.value for i, f in enumerate(fields)})
+    firsts = [F.min_by(f"f{i}", F.when(F.col(f"f{i}").isNotNull(), F.col("line_no"))).alias(f"f{i}") for i in range(len(fields))]
+    one = valued.groupBy("doc_id").agg(*firsts)
     found = F.array(*(F.struct(F.lit(f.section).alias("section"), F.lit(f.name).alias("field"), F.nullif(F.col(f"f{i}"), F.lit("")).alias("value")) for i, f in enumerate(fields)))
     return one.select("doc_id", F.explode(F.filter(found, lambda x: x["value"].isNotNull())).alias("x")).select("doc_id", "x.*")
 

@@ -299,9 +299,16 @@ def result_id_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Heads ----------------------------------------------------------------------------------------------------------
 
 
+#: Customers a partition: a table of few bytes has many lines, which one task would work out alone.
+_HEADS_A_PARTITION, _LEAST_HEADS = 10_000, 1_000
+
+
 def _heads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Eight head lines a customer."""
-    k = F.col("c_custkey")
+    """Eight head lines a customer, dealt out by document before they are made."""
+    k = F.col("doc_id")
+    customers = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"))
+    n, usual = customers.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    customers = customers.repartition(max(1, -(-n // _HEADS_A_PARTITION), min(usual, -(-n // _LEAST_HEADS))), "doc_id")
     four = F.lpad(_s(k % 10000), 4, "0")
     two = F.lpad(_s(k % 28 + 1), 2, "0")
     person = _case(k % 3, ["Patient: Smith, Ann", "Patient: Doe, Jane Quinn", "Name: Robert Lee Gray"])
@@ -317,7 +324,7 @@ def _heads(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("FREE_TEXT", _cat("LabCorp Account: B", k, " Phone: 555-999-", four)),
     ]
     lines = F.array(*(F.struct(F.lit(i).alias("line_no"), F.lit(role).alias("role"), text.alias("text")) for i, (role, text) in enumerate(made)))
-    return _t(spark, sf_dir, "customer").select(k.alias("doc_id"), F.explode(lines).alias("l")).select("doc_id", "l.*")
+    return customers.select("doc_id", F.explode(lines).alias("l")).select("doc_id", "l.*")
 
 
 @query("""WITH c AS (SELECT c_custkey AS k, lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') AS four, lpad(CAST(c_custkey % 28 + 1 AS VARCHAR), 2, '0') AS two FROM customer),
