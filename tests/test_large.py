@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import re
+from datetime import datetime
 
 import pytest
+from pyspark.sql import Row
 
 from panelspark.operators import headers
 from panelspark.plans import documents
+from panelspark.streaming import jobs
 
 def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
@@ -34,3 +37,35 @@ def test_head_lines_are_dealt_out_once(spark, tmp_path, name):
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert whole.count("Exchange ") == 1 and whole.count("Exchange hashpartitioning(doc_id") == 1
+
+
+def test_job_asks_the_store_once():
+    """A job's events cost one question and one answer, and a timer only where one changes."""
+    asked = []
+
+    class Store:
+        held = None
+
+        def getValueState(self, *_):
+            return self
+
+        def get(self):
+            asked.append("get")
+            return self.held
+
+        def update(self, value):
+            asked.append("update")
+            self.held = value
+
+        def __getattr__(self, name):
+            return lambda *a: asked.append((name, *a))
+
+    store, at = Store(), datetime(2024, 1, 1)
+    states = jobs.JobStates(1000)
+    states.init(store)
+    said = lambda *some: [r.legal for r in states.handleInputRows((1,), iter([Row(id=1, seq=i, status=s, at=at) for i, s in enumerate(some)]), None)]
+    ms = int(at.timestamp()) * 1000
+    assert said("queued", "processing") == [True, True]
+    assert said("queued") == [False]
+    assert said("completed") == [True]
+    assert asked == ["get", "update", ("registerTimer", ms + 1000), "get", "get", "update", ("deleteTimer", ms + 1000)]
