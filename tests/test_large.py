@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 from datetime import datetime
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row
 
-from panelspark.operators import headers
+from panelspark.operators import headers, stitch
 from panelspark.plans import documents
 from panelspark.streaming import jobs
 
@@ -69,3 +70,25 @@ def test_job_asks_the_store_once():
     assert said("queued") == [False]
     assert said("completed") == [True]
     assert asked == ["get", "update", ("registerTimer", ms + 1000), "get", "get", "update", ("deleteTimer", ms + 1000)]
+
+
+def test_rows_are_walked_in_order_across_batches():
+    """Chains of used-up rows and panels' counts go on from batch to batch, and rows of no chain aren't looked at one by one."""
+    names = ["_may_go", "_1gives", "_1near", "_1empties", "_2gives", "_2empties"]
+    rows = [  # the first uses up the second, which so can't use up the third; that one uses up the fifth, which the fourth passes over
+        (False, True, True, True, False, False),
+        (True, True, True, True, False, False),
+        (True, False, True, False, True, True),
+        (True, False, False, False, True, False),
+        (True, True, True, False, False, False),
+    ]
+    for cut in range(1, len(rows) + 1):
+        parts = [rows[:cut], rows[cut:]]
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], pa.bool_()) for i in range(6)], names=names) for part in parts]
+        got = [x for b in stitch._walked(iter(batches)) for x in b.column("took").to_pylist()]
+        assert got == [1, 2, 2], cut
+    panels, merged = [1, 1, 1, 2, 2, 3], [5, None, 6, None, 7, None]
+    for cut in range(7):
+        batches = [pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ([9] * len(p), p, m)], names=["doc_id", "panel_no", "merged_from"]) for p, m in ((panels[:cut], merged[:cut]), (panels[cut:], merged[cut:]))]
+        got = [tuple(r.values()) for b in stitch._counted(iter(batches)) for r in b.to_pylist()]
+        assert got == [(9, 1, 2, 3), (9, 2, 1, 2), (9, 3, 0, 1)], cut
